@@ -106,8 +106,7 @@ class Document:
             tree = SegmentTree([len(text)] if text else [], [len(enc.tokenizer.encode(text, add_special_tokens=False).ids)] if text else [])
         elif tree is None:
             pieces = enc.split(text)
-            known = enc.learn(set(pieces))
-            tree = SegmentTree(list(map(len, pieces)), [len(known[p]) for p in pieces])
+            tree = SegmentTree(list(map(len, pieces)), enc.counts(pieces))
         self.tree = tree
 
     def edit(self, pos: int, delete: int, insert: str) -> None:
