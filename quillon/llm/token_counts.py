@@ -136,8 +136,7 @@ class Document:
             at = m.end()
         else:
             j, b = len(tree.leaves) - 1, len(tree.leaves[-1][0])
-        known = self.enc.learn(set(pieces))
-        tree.replace((i, a), (j, b), list(map(len, pieces)), [len(known[p]) for p in pieces])
+        tree.replace((i, a), (j, b), list(map(len, pieces)), self.enc.counts(pieces))
         self.text, self.reencoded = new, self.reencoded + at - start
 
 
