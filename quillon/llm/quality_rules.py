@@ -124,7 +124,10 @@ def fences(sketched: DataFrame) -> DataFrame:
 
 
 def thresholds(measured: DataFrame, *, lang_col: str = "lang", source_col: str = "source", least_rows: int = LEAST_ROWS) -> DataFrame:
-    """One row a language and source: (lang, source, <measure>_lower, <measure>_upper)."""
+    """One row a language and source: (lang, source, <measure>_lower, <measure>_upper).
+
+    Written to shared storage, so Spark knows its size and broadcasts it only if that is small.
+    """
     f = store(fences(sketch(measured, lang_col=lang_col, source_col=source_col)), "fences")
     own = f.where("level = 2").select("lang", "source", "measure", "rows", "lower", "upper")
     by_lang = f.where("level = 1").select(F.col("lang").alias("_lang"), F.col("measure").alias("_m"), F.col("rows").alias("_rows"), F.col("lower").alias("_lo"), F.col("upper").alias("_up"))
@@ -132,7 +135,8 @@ def thresholds(measured: DataFrame, *, lang_col: str = "lang", source_col: str =
     joined = own.join(by_lang, F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("measure") == F.col("_m"))).join(of_all, F.col("measure") == F.col("__m"))
     pick = lambda a, b, c: F.when(F.col("rows") >= least_rows, F.col(a)).when(F.col("_rows") >= least_rows, F.col(b)).otherwise(F.col(c))
     chosen = joined.select("lang", "source", "measure", pick("lower", "_lo", "__lo").alias("lower"), pick("upper", "_up", "__up").alias("upper"))
-    return chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in RULES for side in ("lower", "upper")])
+    wide = chosen.groupBy("lang", "source").agg(*[F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in RULES for side in ("lower", "upper")])
+    return store(wide, "thresholds")
 
 
 def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
