@@ -7,6 +7,12 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Batches to Python workers: (setting, Spark's default, ours). Long texts make the default batches large;
+#: a session's own setting is left alone.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8m"),
+)
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -19,6 +25,9 @@ def ship(spark: SparkSession) -> SparkSession:
     parts = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in parts:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *parts])
+    for key, default, held in BATCHES:
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, held)
     return spark
 
 
