@@ -112,19 +112,17 @@ def int8_codes(v: Column, scales: Column) -> Column:
     return F.zip_with(v, scales, lambda x, s: F.rint(x / s))
 
 
-def cascade(queries: DataFrame, filed: DataFrame, centroids: Column, books: Column, sub: int, scale: Column, *, k: int, probes: int, keep: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
-    """Cells, then sign bits, then product codes, then int8, then exact: (top k, rows alive per level)."""
-    own = F.array_repeat(scale, F.size("img"))
-    coded = filed.withColumn("sign", vec.bits("img")).withColumn("codes", pq_encode(F.col("img"), books, sub)).withColumn("i8", int8_codes(F.col("img"), own))
-    asked = probe_cells(queries, centroids, probes).withColumn("qsign", vec.bits("qv")).withColumn("tables", adc_tables(F.col("qv"), books, sub)).withColumn("q8", int8_codes(F.col("qv"), F.array_repeat(scale, F.size("qv"))))
-    l0 = coded.join(F.broadcast(asked), "cell")
-    l1 = top_k(l0.withColumn("near", -vec.hamming("sign", "qsign")), keep[0], by="near")
+def funnel(alive: DataFrame, *, k: int, keep: tuple[int, int, int]) -> tuple[DataFrame, DataFrame]:
+    """Candidates of the probed cells by sign bits, product codes, int8 products, then exactly.
+
+    Expects sign/qsign, codes/tables, i8/q8 and img/qv; returns the top k and the rows alive per level.
+    """
+    l1 = top_k(alive.withColumn("near", -vec.hamming("sign", "qsign")), keep[0], by="near")
     l2 = top_k(l1.withColumn("adc", F.round(adc_score(F.col("codes"), F.col("tables")), 9)), keep[1], by="adc")
     l3 = top_k(l2.withColumn("idot", vec.dot("i8", "q8")), keep[2], by="idot")
     l4 = top_k(l3.withColumn("score", vec.dot("img", "qv")), k)
-    levels = [l0, l1, l2, l3, l4]
     counts = None
-    for n, level in enumerate(levels):
+    for n, level in enumerate((alive, l1, l2, l3, l4)):
         part = level.groupBy("qid").agg(F.count("*").alias("alive")).withColumn("level", F.lit(n))
         counts = part if counts is None else counts.unionByName(part)
     return l4, counts

@@ -1 +1,397 @@
-"""Queries."""
+"""Retrieval by codes and cells, retrieval metrics, ranking and recommendation."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import vec
+from ..operators import dedupe, index, rank, retrieve
+from ..session import table
+from ..sources.gallery import gallery, likes, queries
+from .registry import GALLERY, LOO, PAIRS, query
+
+SUB, KS, PROBES = 8, 16, 4
+#: Fixed models of the oracle-checked queries: sixteen stored vectors as centroids and as code words.
+MODEL_SQL = f"""{GALLERY}, cents AS (SELECT id AS c, img AS cv FROM gallery WHERE id < {KS}),
+q AS (SELECT id AS qid, img AS qv FROM gallery WHERE id < 20),
+near AS (SELECT qid, qv, c FROM (SELECT qid, qv, c, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(qv, cv) DESC, c) AS r FROM q, cents) WHERE r <= {PROBES}),
+filed AS (SELECT id, img, c AS cell FROM (SELECT id, img, c, row_number() OVER (PARTITION BY id ORDER BY list_dot_product(img, cv) DESC, c) AS r FROM gallery, cents) WHERE r = 1),
+dist AS (SELECT g.id, j, c, list_sum(list_transform(range(1, {SUB + 1}), lambda i: (g.img[j * {SUB} + i] - cv[j * {SUB} + i]) * (g.img[j * {SUB} + i] - cv[j * {SUB} + i]))) AS d FROM gallery g, cents, (SELECT unnest(range(0, 8)) AS j)),
+codes AS (SELECT id, j, c FROM (SELECT *, row_number() OVER (PARTITION BY id, j ORDER BY d, c) AS r FROM dist) WHERE r = 1),
+lut AS (SELECT qid, j, c, list_dot_product(qv[j * {SUB} + 1:j * {SUB} + {SUB}], cv[j * {SUB} + 1:j * {SUB} + {SUB}]) AS t FROM q, cents, (SELECT unnest(range(0, 8)) AS j)),
+adc AS (SELECT qid, id, round(sum(t), 9) AS adc FROM codes JOIN lut USING (j, c) GROUP BY qid, id)"""
+
+
+def centroids(items: DataFrame) -> DataFrame:
+    """One row: the first KS vectors as an array; a model of fixed size."""
+    rows = items.where(F.col("id") < KS).agg(F.array_sort(F.collect_list(F.struct("id", "img"))).alias("m"))
+    return rows.select(F.transform("m", lambda x: x["img"]).alias("cents"))
+
+
+def books(items: DataFrame) -> DataFrame:
+    """One row: cents and, per subspace, their subvectors."""
+    part = lambda j: F.transform("cents", lambda v: F.slice(v, j * SUB + 1, SUB))
+    return centroids(items).withColumn("books", F.array(*[part(j) for j in range(8)]))
+
+
+@query(f"""WITH {MODEL_SQL}, s AS (SELECT qid, id, list_dot_product(img, qv) AS score, count(*) OVER (PARTITION BY qid) AS scanned FROM near JOIN filed ON near.c = filed.cell),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, scanned FROM r WHERE rank <= 10""")
+def ivf_search(spark, sf):
+    items = gallery(spark, sf)
+    m = F.broadcast(centroids(items))
+    filed = retrieve.assign_cells(items.crossJoin(m), F.col("cents")).drop("cents")
+    asked = queries(items).crossJoin(m)
+    hits = retrieve.ivf_search(asked, filed, F.col("cents"), 10, PROBES)
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"), "scanned")
+
+
+@query(f"""WITH {MODEL_SQL} SELECT cell, count(*) AS n, sum(count(*)) OVER (ORDER BY cell) - count(*) AS start FROM filed GROUP BY cell""")
+def ivf_lists(spark, sf):
+    """Sizes and offsets of the inverted lists."""
+    items = gallery(spark, sf)
+    n = retrieve.assign_cells(items.crossJoin(F.broadcast(centroids(items))), F.col("cents")).groupBy("cell").agg(F.count("*").alias("n"))
+    return n.select(F.col("cell").cast("long").alias("cell"), "n", (F.sum("n").over(Window.orderBy("cell")) - F.col("n")).alias("start"))
+
+
+@query(f"""WITH {MODEL_SQL}, s AS (SELECT cell, p, avg(img[p]) AS x FROM filed, (SELECT unnest(range(1, 65)) AS p) GROUP BY cell, p), v AS (SELECT cell, list(x ORDER BY p) AS v FROM s GROUP BY cell)
+SELECT cell, round(sqrt(list_dot_product(v, v)), 6) AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM v""")
+def kmeans_step(spark, sf):
+    """One assignment and update of spherical k-means."""
+    from .vector_queries import mean_vectors
+
+    items = gallery(spark, sf)
+    filed = retrieve.assign_cells(items.crossJoin(F.broadcast(centroids(items))), F.col("cents"))
+    m = mean_vectors(filed, F.col("cell"))
+    return m.select(F.col("key").cast("long").alias("cell"), F.round(vec.norm("mean"), 6).alias("length"), F.round(F.get(vec.unit("mean"), F.lit(0)), 6).alias("first"))
+
+
+@query(f"""WITH {MODEL_SQL} SELECT id, list(c ORDER BY j) AS codes FROM codes GROUP BY id""")
+def pq_encode(spark, sf):
+    items = gallery(spark, sf)
+    coded = items.crossJoin(F.broadcast(books(items))).select("id", retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"))
+    return coded.select("id", F.transform("codes", lambda c: c.cast("long")).alias("codes"))
+
+
+@query(f"""WITH {MODEL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY adc DESC, id) AS rank FROM adc),
+e AS (SELECT r.qid, r.id, list_dot_product(img, qv) AS score FROM r JOIN gallery USING (id) JOIN q ON q.qid = r.qid WHERE rank <= 50),
+f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM e)
+SELECT 'codes' AS stage, qid, id, CAST(rank AS INTEGER) AS rank, round(adc, 6) AS score FROM r WHERE rank <= 10 UNION ALL SELECT 'exact', qid, id, CAST(rank AS INTEGER), round(score, 6) FROM f WHERE rank <= 10""")
+def pq_search(spark, sf):
+    """Search over product codes, and the same after an exact second look at fifty candidates."""
+    items = gallery(spark, sf)
+    model = F.broadcast(books(items))
+    coded = items.crossJoin(model).select("id", retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"))
+    asked = queries(items).crossJoin(model).select("qid", "qv", retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"))
+    scored = coded.crossJoin(F.broadcast(asked)).withColumn("score", F.round(retrieve.adc_score(F.col("codes"), F.col("tables")), 9))
+    short = retrieve.top_k(scored, 50)
+    exact = retrieve.top_k(short.drop("rank", "score").join(items.select("id", "img"), "id").withColumn("score", vec.dot("img", "qv")), 10)
+    show = lambda d, s: d.select(F.lit(s).alias("stage"), "qid", "id", "rank", F.round("score", 6).alias("score"))
+    return show(short.where("rank <= 10"), "codes").unionByName(show(exact, "exact"))
+
+
+@query(f"""WITH {MODEL_SQL} SELECT id, round(sqrt(sum(d)), 6) AS error FROM (SELECT d.id, d.d FROM dist d JOIN codes USING (id, j, c)) GROUP BY id""")
+def pq_reconstruct(spark, sf):
+    items = gallery(spark, sf)
+    m = items.crossJoin(F.broadcast(books(items)))
+    back = m.select("id", "img", retrieve.reconstruct(retrieve.pq_encode(F.col("img"), F.col("books"), SUB), F.col("books")).alias("r"))
+    return back.select("id", F.round(vec.norm(vec.subtract("img", "r")), 6).alias("error"))
+
+
+@query(f"""WITH {MODEL_SQL}, rot AS (SELECT id, list_concat(img[2:64], img[1:1]) AS v FROM gallery), rc AS (SELECT id AS c, v AS cv FROM rot WHERE id < {KS}),
+rd AS (SELECT rot.id, j, c, list_sum(list_transform(range(1, {SUB + 1}), lambda i: (v[j * {SUB} + i] - cv[j * {SUB} + i]) * (v[j * {SUB} + i] - cv[j * {SUB} + i]))) AS d FROM rot, rc, (SELECT unnest(range(0, 8)) AS j)),
+rcode AS (SELECT id, j, c FROM (SELECT *, row_number() OVER (PARTITION BY id, j ORDER BY d, c) AS r FROM rd) WHERE r = 1),
+rl AS (SELECT rot.id AS qid, j, c, list_dot_product(v[j * {SUB} + 1:j * {SUB} + {SUB}], cv[j * {SUB} + 1:j * {SUB} + {SUB}]) AS t FROM rot, rc, (SELECT unnest(range(0, 8)) AS j) WHERE rot.id < 20),
+s AS (SELECT qid, id, round(sum(t), 9) AS score FROM rcode JOIN rl USING (j, c) GROUP BY qid, id), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def opq_search(spark, sf):
+    """Product codes after a given rotation (here a shift of the axes); the query is rotated too."""
+    items = gallery(spark, sf).withColumn("img", F.concat(F.slice("img", 2, 63), F.slice("img", 1, 1)))
+    model = F.broadcast(books(items))
+    coded = items.crossJoin(model).select("id", retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"))
+    asked = queries(items).crossJoin(model).select("qid", retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"))
+    hits = retrieve.top_k(coded.crossJoin(F.broadcast(asked)).withColumn("score", F.round(retrieve.adc_score(F.col("codes"), F.col("tables")), 9)), 10)
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {PAIRS}, sc AS (SELECT list(CASE WHEN m = 0 THEN 1 ELSE m / 127 END ORDER BY p) AS s FROM (SELECT p, max(abs(img[p])) AS m FROM gallery, (SELECT unnest(range(1, 65)) AS p) GROUP BY p)),
+i8 AS (SELECT id, list_transform(range(1, 65), lambda i: round_even(img[i] / s[i], 0)) AS c, s FROM gallery, sc),
+x AS (SELECT qid, i8.id, list_dot_product(c, list_transform(range(1, 65), lambda i: s[i] * qv[i])) AS score, cos_image FROM pairs JOIN i8 USING (id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS true_rank FROM x)
+SELECT qid, count(*) FILTER (rank <= 10 AND true_rank <= 10) / 10.0::DOUBLE AS recall, round(max(score), 6) AS best FROM r GROUP BY qid""")
+def int8_search(spark, sf):
+    """Per-dimension int8 codes, the scales folded into the query; recall of the top ten against exact."""
+    items = gallery(spark, sf)
+    peak = items.select(F.posexplode("img").alias("pos", "x")).groupBy("pos").agg(F.max(F.abs("x")).alias("m"))
+    scales = peak.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m") / 127).alias("s")))), lambda s: s["s"]).alias("scales"))
+    coded = items.crossJoin(F.broadcast(scales)).select("id", "img", retrieve.int8_codes(F.col("img"), F.col("scales")).alias("i8"))
+    asked = queries(items).crossJoin(F.broadcast(scales)).select("qid", "qv", F.zip_with("scales", "qv", lambda s, x: s * x).alias("sq"))
+    s = coded.crossJoin(F.broadcast(asked)).select("qid", "id", vec.dot("i8", "sq").alias("score"), vec.dot("img", "qv").alias("cos"))
+    w = Window.partitionBy("qid")
+    r = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("true_rank", F.row_number().over(w.orderBy(F.desc("cos"), "id")))
+    return r.groupBy("qid").agg((F.count_if((F.col("rank") <= 10) & (F.col("true_rank") <= 10)) / 10).alias("recall"), F.round(F.max("score"), 6).alias("best"))
+
+
+@query(f"""WITH {GALLERY}, s AS (SELECT max(list_max(list_transform(img, lambda x: abs(x)))) / 127 AS s FROM gallery), d AS (SELECT id, img, list_transform(img, lambda x: round_even(x / s, 0)) AS c FROM gallery, s),
+p AS (SELECT a.id AS qid, b.id, list_dot_product(a.img, b.img) AS x, list_dot_product(a.c, b.c) AS y FROM d a JOIN d b ON a.id <> b.id WHERE a.id < 100),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rx, row_number() OVER (PARTITION BY qid ORDER BY y DESC, id) AS ry FROM p),
+l AS (SELECT qid, list(id ORDER BY rx) FILTER (rx <= 3) AS a, list(id ORDER BY ry) FILTER (ry <= 3) AS b FROM r GROUP BY qid)
+SELECT count(*) AS n, count(*) FILTER (a = b) AS same FROM l""")
+def int8_agreement(spark, sf):
+    """How many of a hundred items keep their three nearest neighbours under one shared int8 scale."""
+    items = gallery(spark, sf)
+    scale = items.agg((F.max(F.array_max(F.transform("img", lambda x: F.abs(x)))) / 127).alias("s"))
+    coded = items.crossJoin(F.broadcast(scale)).select("id", "img", retrieve.int8_codes(F.col("img"), F.array_repeat("s", 64)).alias("c"))
+    asked = coded.where("id < 100").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("c").alias("qc"))
+    p = coded.crossJoin(F.broadcast(asked)).where("qid <> id").select("qid", "id", vec.dot("img", "qv").alias("x"), vec.dot("c", "qc").alias("y"))
+    best = lambda by, n: retrieve.top_k(p, 3, by=by).groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias(n))
+    return best("x", "a").join(best("y", "b"), "qid").agg(F.count("*").alias("n"), F.count_if(F.col("a") == F.col("b")).alias("same"))
+
+
+@query(f"""WITH {PAIRS}, h AS (SELECT qid, id, list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (img[i] > 0) <> (qv[i] > 0) THEN 1 ELSE 0 END)) AS d FROM pairs),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, id) AS rank FROM h)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, CAST(d AS INTEGER) AS bits FROM r WHERE rank <= 10""")
+def binary_search(spark, sf):
+    """Sign bits packed in longs, nearest by differing bits."""
+    items = gallery(spark, sf)
+    asked = queries(items).select("qid", vec.bits("qv").alias("qb"))
+    h = items.select("id", vec.bits("img").alias("b")).crossJoin(F.broadcast(asked)).withColumn("bits", vec.hamming("b", "qb"))
+    return retrieve.top_k(h.withColumn("near", -F.col("bits")), 10, by="near").select("qid", "id", "rank", "bits")
+
+
+KEEP = (60, 30, 15)
+CASCADE_SQL = f"""WITH {MODEL_SQL}, sc AS (SELECT max(list_max(list_transform(img, lambda x: abs(x)))) / 127 AS s FROM gallery),
+l0 AS (SELECT qid, qv, id, img FROM near JOIN filed ON near.c = filed.cell),
+l1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY list_sum(list_transform(range(1, 65), lambda i: CASE WHEN (img[i] > 0) <> (qv[i] > 0) THEN 1 ELSE 0 END)), id) AS r FROM l0) WHERE r <= {KEEP[0]}),
+l2 AS (SELECT * FROM (SELECT l1.*, row_number() OVER (PARTITION BY qid ORDER BY adc DESC, id) AS r2 FROM l1 JOIN adc USING (qid, id)) WHERE r2 <= {KEEP[1]}),
+l3 AS (SELECT * FROM (SELECT l2.*, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(list_transform(img, lambda x: round_even(x / s, 0)), list_transform(qv, lambda x: round_even(x / s, 0))) DESC, id) AS r3 FROM l2, sc) WHERE r3 <= {KEEP[2]}),
+l4 AS (SELECT * FROM (SELECT qid, id, list_dot_product(img, qv) AS score, row_number() OVER (PARTITION BY qid ORDER BY list_dot_product(img, qv) DESC, id) AS rank FROM l3) WHERE rank <= 5)
+"""
+
+
+def _cascade(spark, sf):
+    items = gallery(spark, sf)
+    scale = items.agg((F.max(F.array_max(F.transform("img", lambda x: F.abs(x)))) / 127).alias("scale"))
+    model = F.broadcast(books(items).crossJoin(scale))
+    filed = retrieve.assign_cells(items.crossJoin(model), F.col("cents"))
+    asked = queries(items).select("qid", "qv").crossJoin(model)
+    # the model's columns stand on both sides; the queries' copy is dropped once its tables are made
+    asked = asked.withColumnsRenamed({"cents": "q_cents", "books": "q_books", "scale": "q_scale"})
+    return filed, asked
+
+
+def _run_cascade(spark, sf):
+    filed, asked = _cascade(spark, sf)
+    near = retrieve.probe_cells(asked, F.col("q_cents"), PROBES)
+    near = near.withColumn("qsign", vec.bits("qv")).withColumn("tables", retrieve.adc_tables(F.col("qv"), F.col("q_books"), SUB)).withColumn("q8", retrieve.int8_codes(F.col("qv"), F.array_repeat("q_scale", 64))).drop("q_cents", "q_books", "q_scale")
+    coded = filed.withColumn("sign", vec.bits("img")).withColumn("codes", retrieve.pq_encode(F.col("img"), F.col("books"), SUB)).withColumn("i8", retrieve.int8_codes(F.col("img"), F.array_repeat("scale", 64))).drop("cents", "books", "scale")
+    return retrieve.funnel(coded.join(F.broadcast(near), "cell"), k=5, keep=KEEP)
+
+
+@query(CASCADE_SQL + "SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM l4")
+def cascade_search(spark, sf):
+    return _run_cascade(spark, sf)[0].select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(CASCADE_SQL + "SELECT qid, 0 AS level, count(*) AS alive FROM l0 GROUP BY qid UNION ALL SELECT qid, 1, count(*) FROM l1 GROUP BY qid UNION ALL SELECT qid, 2, count(*) FROM l2 GROUP BY qid UNION ALL SELECT qid, 3, count(*) FROM l3 GROUP BY qid UNION ALL SELECT qid, 4, count(*) FROM l4 GROUP BY qid")
+def cascade_survivors(spark, sf):
+    return _run_cascade(spark, sf)[1]
+
+
+@query(f"""WITH {LOO}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM loo)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(cos, 6) AS score FROM r WHERE rank <= 3""")
+def neighbours(spark, sf):
+    """Three nearest other items of every item, by dense blocks."""
+    items = gallery(spark, sf)
+    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
+    hits = retrieve.exact_blocks(everyone, items, 4).where("qid <> id")
+    return retrieve.top_k(hits.drop("rank"), 3).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {LOO}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM loo),
+m AS (SELECT qid, count(*) FILTER (rel AND rank <= 1) / 1.0 AS p1, count(*) FILTER (rel AND rank <= 3) / 3.0 AS p3, count(*) FILTER (rel AND rank <= 5) / 5.0 AS p5, coalesce(1.0 / min(rank) FILTER (rel), 0) AS rr FROM r GROUP BY qid)
+SELECT round(avg(CAST(p1 AS DOUBLE)), 6) AS p_at_1, round(avg(CAST(p3 AS DOUBLE)), 6) AS p_at_3, round(avg(CAST(p5 AS DOUBLE)), 6) AS p_at_5, round(avg(CAST(rr AS DOUBLE)), 6) AS mrr FROM m""")
+def retrieval_metrics(spark, sf):
+    """Leave-one-out precision at 1, 3, 5 (over k even where fewer rows) and mean reciprocal rank."""
+    items = gallery(spark, sf)
+    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
+    s = retrieve.score_all(everyone, items, exclude_self=True).select("qid", "id", "score", F.arrays_overlap("tags", "qtags").alias("rel"))
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    p = lambda k: F.count_if(F.col("rel") & (F.col("rank") <= k)) / k
+    m = r.groupBy("qid").agg(p(1).alias("p1"), p(3).alias("p3"), p(5).alias("p5"), F.coalesce(1 / F.min(F.when(F.col("rel"), F.col("rank"))), F.lit(0.0)).alias("rr"))
+    return m.agg(*[F.round(F.avg(a), 6).alias(b) for a, b in (("p1", "p_at_1"), ("p3", "p_at_3"), ("p5", "p_at_5"), ("rr", "mrr"))])
+
+
+@query(f"""WITH {LOO}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM loo)
+SELECT qid, round(max(cos) FILTER (rank = 1) - avg(cos) FILTER (rank BETWEEN 2 AND 5), 6) AS margin, round(max(cos) FILTER (rank = 1) - avg(cos) FILTER (rank > 1), 6) AS margin_all FROM r GROUP BY qid""")
+def margins(spark, sf):
+    """How far the best hit stands from the next four, and from all others."""
+    items = gallery(spark, sf)
+    s = retrieve.score_all(items.select(F.col("id").alias("qid"), F.col("img").alias("qv")), items, exclude_self=True).select("qid", "id", "score")
+    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    top = F.max(F.when(F.col("rank") == 1, F.col("score")))
+    return r.groupBy("qid").agg(F.round(top - F.avg(F.when(F.col("rank").between(2, 5), F.col("score"))), 6).alias("margin"), F.round(top - F.avg(F.when(F.col("rank") > 1, F.col("score"))), 6).alias("margin_all"))
+
+
+TAGS_SQL = f"""WITH {GALLERY}, vc AS (SELECT label, p, avg(img[p]) AS x FROM gallery, (SELECT unnest(range(1, 65)) AS p) GROUP BY label, p),
+vv AS (SELECT 'c' || CAST(label AS VARCHAR) AS tag, list(x ORDER BY p) AS v FROM vc GROUP BY label), vocab AS (SELECT tag, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS tv FROM vv),
+s AS (SELECT id, label, tag, list_dot_product(img, tv) AS score FROM gallery, vocab), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, tag) AS rank FROM s)
+"""
+
+
+def _tagged(spark, sf):
+    from .vector_queries import mean_vectors
+
+    items = gallery(spark, sf)
+    vocab = mean_vectors(items, F.concat(F.lit("c"), F.col("label").cast("string"))).select(F.col("key").alias("tag"), vec.unit("mean").alias("tv"))
+    s = items.crossJoin(F.broadcast(vocab)).select("id", "label", "tag", vec.dot("img", "tv").alias("score"))
+    return s.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "tag")))
+
+
+@query(TAGS_SQL + "SELECT id, tag, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 3")
+def top_tags(spark, sf):
+    """The three nearest words of a vocabulary (here the labels' mean vectors)."""
+    return _tagged(spark, sf).where("rank <= 3").select("id", "tag", "rank", F.round("score", 6).alias("score"))
+
+
+@query(TAGS_SQL + "SELECT count(DISTINCT id) AS n, count(*) FILTER (rank = 1 AND tag = 'c' || CAST(label AS VARCHAR)) AS top1, count(*) FILTER (rank <= 5 AND tag = 'c' || CAST(label AS VARCHAR)) AS top5 FROM r")
+def hit_rates(spark, sf):
+    hit = F.col("tag") == F.concat(F.lit("c"), F.col("label").cast("string"))
+    return _tagged(spark, sf).agg(F.countDistinct("id").alias("n"), F.count_if(hit & (F.col("rank") == 1)).alias("top1"), F.count_if(hit & (F.col("rank") <= 5)).alias("top5"))
+
+
+@query(TAGS_SQL + ", p AS (SELECT id, tag, round_even(1 / (1 + exp(-5 * (score - 0.05))), 4) AS p FROM r) SELECT id, list(tag ORDER BY p DESC, tag) AS labels, max(p) AS best FROM p WHERE p >= 0.55 GROUP BY id")
+def multi_label(spark, sf):
+    """Every word whose probability clears the bar, best first; a set of any size."""
+    p = _tagged(spark, sf).select("id", "tag", F.bround(1 / (1 + F.exp(-5 * (F.col("score") - 0.05))), 4).alias("p")).where("p >= 0.55")
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("p")).alias("n"), "tag")))
+    return p.groupBy("id").agg(F.transform(ordered, lambda x: x["tag"]).alias("labels"), F.max("p").alias("best"))
+
+
+@query(f"""WITH {GALLERY}, n AS (SELECT count(*) AS n FROM embeddings), l AS (SELECT DISTINCT user_id, event_id % n AS id FROM events, n WHERE event_type IN ('click', 'purchase') AND user_id < 25),
+c AS (SELECT user_id, p, avg(img[p]) AS x FROM l JOIN gallery USING (id), (SELECT unnest(range(1, 65)) AS p) GROUP BY user_id, p), u AS (SELECT user_id, list(x ORDER BY p) AS v FROM c GROUP BY user_id),
+s AS (SELECT user_id, id, list_dot_product(img, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS score FROM u, gallery WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = u.user_id AND l.id = gallery.id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+SELECT user_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def recommend(spark, sf):
+    """Five items nearest to the mean of a user's likes, for the users of one batch."""
+    out = rank.recommend(likes(spark, sf).where("user_id < 25"), gallery(spark, sf), 5)
+    return out.select("user_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
+CAND_SQL = f"""WITH {GALLERY}, c AS (SELECT a.id AS qid, b.id, list_dot_product(a.img, b.img) AS cos_image, list_dot_product(a.txt, b.txt) AS cos_text, len(list_intersect(a.tags, b.tags)) AS tag_overlap FROM gallery a JOIN gallery b ON a.id <> b.id WHERE a.id < 20),
+f AS (SELECT *, 1.0::DOUBLE / row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS rank_prior FROM c)
+"""
+
+
+def _candidates(spark, sf):
+    items = gallery(spark, sf)
+    asked = items.where("id < 20").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
+    return rank.candidates(items.crossJoin(F.broadcast(asked)).where("qid <> id"))
+
+
+@query(CAND_SQL + """, s AS (SELECT *, 0.5 * (cos_image + cos_image * 6 * tag_overlap) + 0.5 * cos_text AS dcn FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dcn, 9) DESC, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(dcn, 6) AS dcn_score FROM r WHERE rank <= 10""")
+def cross_rerank(spark, sf):
+    """Feature-cross re-ranking with one hand-set cross: image cosine by tag overlap."""
+    c = _candidates(spark, sf)
+    s = c.withColumn("dcn_score", rank.dcn_score(rank.features(), rank.hand_set(4, 2, 0, 0, 2, 6.0))).withColumn("by", F.round("dcn_score", 9))
+    return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("dcn_score", 6).alias("dcn_score"))
+
+
+@query(CAND_SQL + """, u AS (SELECT qid, avg(cos_image / 2 - 0.5) AS x1, avg(cos_text / 2 - 0.5) AS x2, avg(tag_overlap / 5.0::DOUBLE) AS x3, avg(rank_prior) AS x4 FROM f WHERE rank_prior >= 0.2 GROUP BY qid),
+l AS (SELECT f.*, (1 + 0.75 * x1) * (cos_image / 2 - 0.5) + 0.75 * x2 * (cos_text / 2 - 0.5) + 0.75 * x3 * (tag_overlap / 5.0::DOUBLE) + 0.75 * x4 * rank_prior AS learned, (cos_image + cos_text) / 2 AS base FROM f JOIN u USING (qid)),
+m AS (SELECT *, (base - min(base) OVER (PARTITION BY qid)) / (max(base) OVER (PARTITION BY qid) - min(base) OVER (PARTITION BY qid)) AS b, (learned - min(learned) OVER (PARTITION BY qid)) / (max(learned) OVER (PARTITION BY qid) - min(learned) OVER (PARTITION BY qid)) AS lr FROM l),
+s AS (SELECT qid, id, (1 - 0.3125) * b + 0.3125 * lr AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s)
+SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
+def learned_rerank(spark, sf):
+    """Blend of base and learned scores after five likes a query (weights by Rocchio, n = 5)."""
+    c = _candidates(spark, sf).withColumn("features", rank.features()).withColumn("base_score", (F.col("cos_image") + F.col("cos_text")) / 2)
+    liked = c.where("rank_prior >= 0.2").select("qid", "features", F.lit(1).alias("label"))
+    w = rank.rocchio(liked, "qid")
+    s = rank.blend(c.join(F.broadcast(w), "qid"), F.col("w"), F.lit(5.0)).withColumn("by", F.round("score", 9))
+    return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
+@query()
+def ranknet_fit(spark, sf):
+    """Weights and importances per query from ordered feedback on its best candidates."""
+    c = retrieve.top_k(_candidates(spark, sf), 12, by="cos_image").select(F.col("qid").alias("user_id"), F.col("rank").alias("seq"), rank.features().alias("features"), (F.col("id") % 2).cast("int").alias("label"))
+    fit = rank.ranknet(c)
+    return fit.select("user_id", "n", "n_pairs", F.transform("w", lambda x: F.round(x, 6)).alias("w"), F.transform(rank.importance(F.col("w")), lambda x: F.round(x, 3)).alias("importance"))
+
+
+PHRASINGS = 4
+PHRASE_SQL = f"""WITH {GALLERY}, ph AS (SELECT a.id AS qid, k AS phrasing, list_transform(range(1, 65), lambda i: a.img[i] + k * 0.3 * b.img[i]) AS v FROM gallery a JOIN gallery b ON b.id = a.id + 100, (SELECT unnest(range(0, {PHRASINGS})) AS k) WHERE a.id < 20),
+pu AS (SELECT qid, phrasing, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM ph),
+s AS (SELECT qid, phrasing, id, (list_dot_product(img, v) + list_dot_product(txt, v)) / 2 AS score FROM pu, gallery), r AS (SELECT *, row_number() OVER (PARTITION BY qid, phrasing ORDER BY score DESC, id) AS rank FROM s),
+m AS (SELECT qid, phrasing, round(max(score) FILTER (rank = 1) - avg(score) FILTER (rank > 1), 9) AS margin FROM r WHERE rank <= 5 GROUP BY qid, phrasing),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY margin DESC, phrasing) AS n FROM m) WHERE n = 1)
+SELECT qid, CASE WHEN margin >= 0.1 THEN CAST(phrasing AS INTEGER) ELSE -1 END AS chose, round(margin, 6) AS margin FROM b"""
+
+
+@query(PHRASE_SQL)
+def phrasing_search(spark, sf):
+    """The most decisive of four phrasings of each query, or -1 for their ensemble if none is decisive."""
+    items = gallery(spark, sf)
+    other = items.select((F.col("id") - 100).alias("qid"), F.col("img").alias("b"))
+    ph = queries(items).join(other, "qid").withColumn("phrasing", F.explode(F.sequence(F.lit(0), F.lit(PHRASINGS - 1))))
+    ph = ph.select("qid", "phrasing", vec.unit(vec.add("qv", vec.scaled("b", F.col("phrasing") * 0.3))).alias("qv"))
+    s = retrieve.score_all(ph, items, "fused").withColumn("rank", F.row_number().over(Window.partitionBy("qid", "phrasing").orderBy(F.desc("score"), "id"))).where("rank <= 5")
+    m = s.groupBy("qid", "phrasing").agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.avg(F.when(F.col("rank") > 1, F.col("score"))), 9).alias("margin"))
+    best = m.groupBy("qid").agg(F.max_by(F.struct("phrasing", "margin"), F.struct("margin", -F.col("phrasing"))).alias("b"))
+    return best.select("qid", F.when(F.col("b.margin") >= 0.1, F.col("b.phrasing")).otherwise(-1).alias("chose"), F.round("b.margin", 6).alias("margin"))
+
+
+@query()
+def guarded_feedback(spark, sf):
+    """Ledger of evaluator-guarded relevance feedback for twenty queries."""
+    items = gallery(spark, sf)
+    return retrieve.refine(queries(items), items)[1].select("qid", "pass", F.round("ev", 6).alias("ev"), F.round("margin", 6).alias("margin"), "verdict")
+
+
+@query(f"""WITH {GALLERY} SELECT a.id AS i, b.id AS j FROM gallery a JOIN gallery b ON a.id < b.id WHERE list_dot_product(a.img, b.img) >= 0.35""")
+def near_pairs(spark, sf):
+    return dedupe.close_pairs(gallery(spark, sf), 0.35)
+
+
+@query()
+def greedy_dedup(spark, sf):
+    return dedupe.greedy_keep(gallery(spark, sf), 0.35)
+
+
+@query()
+def ivf_train(spark, sf):
+    """Trained cells: size and mean cosine to the centroid."""
+    items = gallery(spark, sf).select("id", "img")
+    c = index.kmeans(items, 16)
+    f = index.filed(items, c)
+    return f.groupBy("cell").agg(F.count("*").alias("n"))
+
+
+@query()
+def pq_train(spark, sf):
+    """Mean squared reconstruction error of trained product codes and of rotated ones."""
+    items = gallery(spark, sf).select("id", "img")
+    out = []
+    for name, (r, b) in (("pq", (None, index.pq_train(items, 8, 16))), ("opq", index.opq_train(items, 8, 16))):
+
+        def err(batches, r=r, b=b):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                x = index.block(batch, 0)
+                back = index.encode(x, b, r)[1]
+                e = (((x if r is None else x @ r.T) - back) ** 2).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(np.asarray(e))], names=["e"])
+
+        out.append(items.select("img").mapInArrow(err, "e double").agg(F.round(F.avg("e"), 6).alias("mse")).select(F.lit(name).alias("model"), "mse"))
+    return out[0].unionByName(out[1])
+
+
+@query("SELECT 'i8' AS name, CAST(500 AS BIGINT) AS rows, count(*) AS now, count(*) IS DISTINCT FROM 500 AS stale FROM embeddings UNION ALL SELECT 'opq', 7, count(*), count(*) IS DISTINCT FROM 7 FROM embeddings UNION ALL SELECT 'ivf', NULL, count(*), true FROM embeddings")
+def index_freshness(spark, sf):
+    meta = spark.createDataFrame([("i8", 500), ("opq", 7), ("ivf", None)], "name string, rows long")
+    return index.stale(meta, table(spark, sf, "embeddings"))
