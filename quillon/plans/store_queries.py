@@ -1 +1,211 @@
-"""Queries."""
+"""Storage, ingest, manifests, crawling, encoders and streams."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import encode, text, vec
+from ..operators import dedupe
+from ..session import table
+from ..sources import store
+from ..sources.gallery import gallery
+from ..streaming import jobs
+from .registry import GALLERY, query
+
+
+@query("WITH r AS (SELECT o_custkey AS path, o_orderkey AS seq, o_totalprice AS caption, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) SELECT path, seq, caption FROM r WHERE n = 1")
+def upsert(spark, sf):
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("path"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("caption"))
+    return store.upsert(o.where("seq % 2 = 0"), o.where("seq % 2 = 1"), "path", "seq")
+
+
+@query(f"WITH {GALLERY} SELECT path, 'a photo of ' || array_to_string(tags, ', ') AS caption, 2 AS n_labels, 128 AS dims, 'stub' AS model FROM gallery")
+def item_tower(spark, sf):
+    g = gallery(spark, sf)
+    records = g.select("path", text.caption(F.col("tags")).alias("caption"), F.map_from_arrays("tags", F.array(F.lit(0.9), F.lit(0.8))).alias("labels"), vec.fuse("img", "txt").alias("item_emb"), F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    t = store.one_model(store.publish(records, "stub"))
+    labels = F.from_json(F.to_json("labels"), "map<string,double>")
+    return t.select("path", "caption", F.size(labels).alias("n_labels"), F.size("item_emb").alias("dims"), "model")
+
+
+@query(f"""WITH {GALLERY}, j AS (SELECT id, path, list_transform(img, lambda x: round(x, 5)) AS a, list_transform(txt, lambda x: round(x, 5)) AS b, tags FROM gallery)
+SELECT id, path AS file, array_to_string(tags, ' ') AS tags, round(list_dot_product(a, a) / 2 + list_dot_product(b, b) / 2, 6) AS fused_norm2 FROM j""")
+def gallery_roundtrip(spark, sf):
+    """Items to interchange JSON and back."""
+    g = gallery(spark, sf).withColumn("caption", text.caption(F.col("tags")))
+    back = store.read_gallery_json(store.gallery_json(g))
+    return back.select("id", "file", F.array_join("tags", " ").alias("tags"), F.round(vec.dot("fused", "fused"), 6).alias("fused_norm2"))
+
+
+RAW_SQL = f"""{GALLERY}, raw AS (SELECT id AS pos, CASE WHEN id % 11 = 3 THEN img[1:63] ELSE list_transform(img, lambda x: x * 3) END AS v, id % 13 <> 5 AS whole, CASE WHEN id % 3 = 0 THEN '  ' ELSE ' dish ' || CAST(id AS VARCHAR) || ' ' END AS name, CASE WHEN id % 5 = 0 THEN '' ELSE repeat('tasty ', CAST(id % 70 AS BIGINT)) END AS description FROM gallery),
+cl AS (SELECT pos, len(v) = 64 AND whole AS ok, coalesce(nullif(trim(name), ''), substr(coalesce(nullif(description, ''), 'food'), 1, 60)) AS name, substr(description, 1, 300) AS caption, CASE WHEN pos % 2 = 0 THEN 'cafe ' || CAST(pos AS VARCHAR) ELSE '' END AS cafe, v FROM raw)"""
+
+
+def raw_records(spark, sf):
+    """Source records as they arrive: vectors as JSON, some short or broken, cafes as JSON."""
+    g = gallery(spark, sf)
+    v = F.when(F.col("id") % 11 == 3, F.slice("img", 1, 63)).otherwise(vec.scaled("img", 3.0))
+    whole = F.col("id") % 13 != 5
+    return g.select(F.col("id").alias("pos"), F.when(whole, F.to_json(v)).otherwise("[1, oops]").alias("vector"), F.when(F.col("id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" dish "), F.col("id").cast("string"), F.lit(" "))).alias("name"), F.when(F.col("id") % 5 == 0, "").otherwise(F.expr("repeat('tasty ', cast(id % 70 as int))")).alias("description"), F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("cafe "), F.col("id").cast("string")).alias("name")))).otherwise("{}").alias("cafe"), F.lit(None).cast("string").alias("image"))
+
+
+@query(f"WITH {RAW_SQL} SELECT row_number() OVER (ORDER BY pos) - 1 AS id, pos, name, caption, cafe, '' AS url, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM cl WHERE ok ORDER BY pos LIMIT 400")
+def ingest(spark, sf):
+    """Cleaned records with consecutive ids, at most four hundred."""
+    good = store.clean(raw_records(spark, sf), 64).where("ok").drop("ok")
+    return store.numbered(good, ["pos"], 400).select("id", "pos", "name", "caption", "cafe", "url", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+
+
+@query(f"WITH {RAW_SQL} SELECT count(*) AS n, count(*) FILTER (NOT ok) AS skipped FROM cl")
+def ingest_counts(spark, sf):
+    return store.clean(raw_records(spark, sf), 64).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("skipped"))
+
+
+@query(f"WITH {GALLERY}, r(id, rank) AS (VALUES (7, 1), (3, 2), (499, 3), (99999, 4), (0, 5)) SELECT rank, r.id, path FROM r JOIN gallery ON gallery.id = r.id")
+def ordered_lookup(spark, sf):
+    r = spark.createDataFrame([(7, 1), (3, 2), (499, 3), (99999, 4), (0, 5)], "id long, rank int")
+    return store.lookup(r, gallery(spark, sf)).select("rank", "id", "path")
+
+
+@query(f"WITH {GALLERY}, s AS (SELECT greatest(1, count(*) // 40) AS s FROM gallery) SELECT id, path FROM gallery, s WHERE id % s = 0 ORDER BY id LIMIT 40")
+def strided_sample(spark, sf):
+    return store.strided(gallery(spark, sf), 40).select("id", "path")
+
+
+@query("WITH m(key, value) AS (VALUES ('rows', 690000), ('dim', 512)) SELECT coalesce(max(value) FILTER (key = 'rows'), 0) AS rows, coalesce(max(value) FILTER (key = 'none'), 0) AS missing FROM m")
+def metadata_lookup(spark, sf):
+    m = spark.createDataFrame([("rows", 690000), ("dim", 512)], "key string, value int")
+    get = lambda k: F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(0))
+    return m.agg(get("rows").alias("rows"), get("none").alias("missing"))
+
+
+@query("SELECT count(*) AS n, count(*) AS same FROM embeddings")
+def vector_blobs(spark, sf):
+    """Vectors to float32 bytes and back."""
+    e = table(spark, sf, "embeddings").select("embedding", store.to_blob(F.col("embedding")).alias("b"))
+    back = e.select("embedding", store.from_blob(F.col("b")).alias("v"))
+    return back.agg(F.count("*").alias("n"), F.count_if(F.col("v") == F.col("embedding")).alias("same"))
+
+
+#: A search service's answer; the third picture has no address.
+ANSWER = '{"query":{"pages":{"1":{"title":"File:Cat.jpg","imageinfo":[{"thumburl":"https://t/cat.jpg","descriptionurl":"https://d/cat","extmetadata":{"Artist":{"value":"Ann"},"LicenseShortName":{"value":"CC0"}}}]},"2":{"title":"File:Dog.jpg","imageinfo":[{"url":"https://u/dog.jpg"}]},"3":{"title":"File:None.jpg"}}}}'
+
+
+@query("SELECT * FROM (VALUES ('Cat.jpg', 'https://t/cat.jpg', 'https://d/cat', 'Ann', 'CC0', 'pets'), ('Dog.jpg', 'https://u/dog.jpg', '', '', '', 'pets')) t(name, thumb_url, source, author, license, term)")
+def discover(spark, sf):
+    return store.discovered(spark.createDataFrame([(ANSWER,)], "json string"), "pets")
+
+
+PROVIDERS_SQL = "p AS (SELECT event_type AS provider, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS provider_pos, event_id AS pos, 'thumb' || CAST(user_id AS VARCHAR) AS thumb_url FROM events)"
+
+
+def _providers(spark, sf):
+    pos = F.when(F.col("event_type") == "view", 0).when(F.col("event_type") == "click", 1).when(F.col("event_type") == "purchase", 2).when(F.col("event_type") == "signup", 3).otherwise(4)
+    return table(spark, sf, "events").select(F.col("event_type").alias("provider"), pos.alias("provider_pos"), F.col("event_id").alias("pos"), F.concat(F.lit("thumb"), F.col("user_id").cast("string")).alias("thumb_url"))
+
+
+@query(f"WITH {PROVIDERS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY thumb_url ORDER BY provider_pos, pos) AS n FROM p) SELECT provider, provider_pos, pos, thumb_url FROM r WHERE n = 1 ORDER BY provider_pos, pos LIMIT 12")
+def provider_fanout(spark, sf):
+    """Results of five providers, each picture once, the first provider's; at most twelve are shown."""
+    return store.merge_providers(_providers(spark, sf))[0]
+
+
+@query(f"WITH {PROVIDERS_SQL} SELECT provider, count(*) AS n FROM p GROUP BY provider")
+def provider_ledger(spark, sf):
+    return store.merge_providers(_providers(spark, sf))[1]
+
+
+@query("SELECT DISTINCT o_custkey AS name FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
+def unseen(spark, sf):
+    """What a crawl finds that its manifest doesn't hold."""
+    found = table(spark, sf, "orders").select(F.col("o_custkey").alias("name")).distinct()
+    return store.unseen(found, table(spark, sf, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("name")), "name")
+
+
+@query(r"""WITH u AS (SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path FROM pages), h AS (SELECT DISTINCT host FROM u), r AS (SELECT host AS rule_host, '/' AS prefix, true AS allow FROM h UNION ALL SELECT host, '/de/', false FROM h UNION ALL SELECT host, '/de/1', true FROM h),
+j AS (SELECT page_id, allow, row_number() OVER (PARTITION BY page_id ORDER BY length(prefix) DESC) AS n FROM u JOIN r ON host = rule_host AND starts_with(path, prefix)) SELECT page_id, allow AS allowed FROM j WHERE n = 1""")
+def robots(spark, sf):
+    """Pages that robots rules allow: the longest prefix decides."""
+    p = table(spark, sf, "pages")
+    u = p.select("page_id", F.regexp_extract("url", "://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", "://[^/?#]+([^?#]*)", 1).alias("path"))
+    rules = u.select(F.col("host").alias("rule_host")).distinct().withColumn("r", F.explode(F.array(*[F.struct(F.lit(a).alias("prefix"), F.lit(b).alias("allow")) for a, b in (("/", True), ("/de/", False), ("/de/1", True))]))).select("rule_host", "r.*")
+    return store.allowed(u, rules).select("page_id", "allowed")
+
+
+@query("SELECT page_id, length(html) * 8 >= 20000 AND least(page_id * 7 % 400, 300) >= 160 AS keep FROM pages")
+def quality_gate(spark, sf):
+    return table(spark, sf, "pages").select("page_id", store.keepable(F.length("html") * 8, F.col("page_id") * 7 % 400, F.lit(300)).alias("keep"))
+
+
+@query("WITH h AS (SELECT doc_id, substr(sha1(text), 1, 12) AS hash, row_number() OVER (PARTITION BY substr(sha1(text), 1, 12) ORDER BY doc_id) AS n FROM documents) SELECT doc_id, hash FROM h WHERE n = 1")
+def content_dedup(spark, sf):
+    """The first document of each content hash; only hashes are shuffled."""
+    d = table(spark, sf, "documents").select("doc_id", F.substring(F.sha1("text"), 1, 12).alias("hash"))
+    return store.first_of(d, ["hash"], [F.col("doc_id")])
+
+
+@query("""WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href FROM pages), e AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM l a JOIN l b USING (href) WHERE a.href <> '/The' AND length(a.href) > 5),
+b(node, level) AS (SELECT min(page_id), 0 FROM pages UNION SELECT dst, level + 1 FROM b JOIN e ON src = node WHERE level < 2) SELECT node, min(level) AS level FROM b GROUP BY node""")
+def bfs_crawl(spark, sf):
+    """Pages reached from the first over shared link targets, at most two steps away."""
+    p = table(spark, sf, "pages")
+    l_ = p.select("page_id", F.explode(F.array_distinct(text.hrefs(F.col("html")))).alias("href")).where("href <> '/The' and length(href) > 5")
+    # two steps through the bipartite graph of pages and targets, so pages that share a target never pair up
+    out = l_.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("t"), F.col("href")).alias("dst"))
+    edges = out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    seed = p.agg(F.concat(F.lit("p"), F.min("page_id").cast("string")).alias("node"))
+    reached = dedupe.crawl(seed, edges, 4).where("node like 'p%'")
+    return reached.select(F.substring("node", 2, 30).cast("long").alias("node"), (F.col("level") / 2).cast("int").alias("level"))
+
+
+@query(f"""WITH {GALLERY}, s AS (SELECT * FROM gallery WHERE id < 60), n AS (SELECT * FROM gallery WHERE id >= 50 AND id < 90) SELECT id, path FROM (SELECT id, path FROM s UNION ALL SELECT id, path FROM n)""")
+def merge_seed(spark, sf):
+    """Seed items and fresh ones together, repeats kept."""
+    g = gallery(spark, sf)
+    return g.where("id < 60").unionByName(g.where("id >= 50 and id < 90").drop("label"), allowMissingColumns=True).select("id", "path")
+
+
+AGENT_SQL = f"""WITH {GALLERY}, t AS (SELECT id, k, list_transform(range(1, 65), lambda i: img[i] + k * 0.8 * txt[i]) AS v FROM gallery, (SELECT unnest(range(0, 4)) AS k)),
+d AS (SELECT id, k, list_dot_product(g.img, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS aligned, 0.4 + 0.1 * k + 0.01 * (id % 10) AS confident FROM t JOIN gallery g USING (id)),
+s AS (SELECT *, aligned >= 0.7 AND confident >= 0.6 AS ok, aligned / 0.7 + confident / 0.6 AS score FROM d),
+r AS (SELECT *, bool_or(ok) OVER (PARTITION BY id) AS any_ok, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN ok THEN k ELSE 99 END, round(score, 9) DESC, k) AS n FROM s)"""
+
+
+@query(AGENT_SQL + " SELECT id, CAST(k AS INTEGER) AS template, any_ok AS published, round(score, 6) AS score FROM r WHERE n = 1")
+def propose_critique(spark, sf):
+    """All proposals judged at once: the first that satisfies the critic, else the best; published if satisfied."""
+    g = gallery(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    draft = vec.unit(vec.add("img", vec.scaled("txt", F.col("k") * 0.8)))
+    s = g.select("id", "k", vec.dot("img", draft).alias("aligned"), (0.4 + 0.1 * F.col("k") + 0.01 * (F.col("id") % 10)).alias("confident"))
+    ok = (F.col("aligned") >= 0.7) & (F.col("confident") >= 0.6)
+    s = s.withColumn("ok", ok).withColumn("score", F.col("aligned") / 0.7 + F.col("confident") / 0.6)
+    one = s.groupBy("id").agg(F.bool_or("ok").alias("published"), F.min_by(F.struct("k", "score"), F.when(F.col("ok"), F.col("k"))).alias("first"), F.max_by(F.struct("k", "score"), F.struct(F.round("score", 9), -F.col("k"))).alias("best"))
+    pick = F.when(F.col("published"), F.col("first")).otherwise(F.col("best"))
+    return one.select("id", pick["k"].alias("template"), "published", F.round(pick["score"], 6).alias("score"))
+
+
+@query()
+def stub_encoder(spark, sf):
+    """Captions encoded by the stub, each distinct caption once; the nearest caption of each is its own."""
+    g = gallery(spark, sf).select("id", text.caption(F.col("tags")).alias("caption"))
+    e = encode.encode_texts(g, "caption", lambda: encode.stub(64))
+    return e.select("id", "caption", F.round(vec.norm("text_emb"), 6).alias("length"), F.round(F.get("text_emb", F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS window_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
+def stream_daily(spark, sf):
+    """Daily windows of the event stream."""
+    return jobs.drained(jobs.daily(jobs.events(spark, sf)), "complete").select("window_id", "n", F.round("total", 4).alias("total"))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_distinct(spark, sf):
+    """Users as a repeated crawl would append them: once each."""
+    return jobs.drained(jobs.append_new(jobs.events(spark, sf).select("user_id"), "user_id"), "append")
+
+
+@query("SELECT event_type, count(*) AS n_valid, round(sum(least(value / 100, 1) * 0.7) / sum(0.7), 6) AS mean, round(max(least(value / 100, 1)) - min(least(value / 100, 1)), 6) AS spread FROM events GROUP BY event_type")
+def stream_votes(spark, sf):
+    """A council's running ruling over votes that stream in."""
+    v = jobs.events(spark, sf).select("event_type", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), F.lit(0.7).alias("confidence"))
+    return jobs.drained(jobs.votes(v, ["event_type"]), "complete").select("event_type", "n_valid", F.round(F.col("sw") / F.col("w"), 6).alias("mean"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread"))

@@ -1 +1,148 @@
-"""Queries."""
+"""Text: keyword search, templates, evidence, gates, and scalar functions."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text
+from ..operators import explain, retrieve
+from ..session import table
+from ..sources.gallery import gallery, queries
+from .registry import GALLERY, PAIRS, query
+
+ASKED = ("c3 m5", "photo c1", "zebra", "m2")
+_ASKED_SQL = "w AS (SELECT q, list_filter(string_split_regex(lower(q), '\\s+'), lambda x: x <> '') AS ws FROM (SELECT unnest([" + ", ".join(f"'{a}'" for a in ASKED) + "]) AS q))"
+
+
+def captioned(spark, sf):
+    return gallery(spark, sf).withColumn("caption", text.caption(F.col("tags")))
+
+
+@query(f"""WITH {GALLERY}, c AS (SELECT id, tags, 'a photo of ' || array_to_string(tags, ', ') AS caption FROM gallery), {_ASKED_SQL},
+s AS (SELECT q, id, len(list_filter(ws, lambda x: len(list_filter(tags, lambda t: contains(t, x))) > 0 OR contains(caption, x))) AS score FROM w, c), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, id) AS rank FROM s WHERE score > 0)
+SELECT q, id, CAST(score AS INTEGER) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 8""")
+def keyword_search(spark, sf):
+    """The fallback without vectors: query words found in tags or the caption."""
+    asked = spark.createDataFrame([(a,) for a in ASKED], "q string").withColumn("ws", text.words(F.col("q")))
+    s = captioned(spark, sf).crossJoin(F.broadcast(asked)).withColumn("score", text.keyword_score(F.col("ws"), F.col("tags"), F.col("caption"))).where("score > 0")
+    return retrieve.top_k(s, 8, per="q").select("q", "id", "score", "rank")
+
+
+@query(f"""WITH {GALLERY}, {_ASKED_SQL} SELECT q, id, CAST(len(list_filter(tags, lambda t: len(list_filter(ws, lambda x: contains(t, x) OR contains(x, t))) > 0)) AS INTEGER) AS overlap FROM w, gallery WHERE id < 50""")
+def live_overlap(spark, sf):
+    asked = spark.createDataFrame([(a,) for a in ASKED], "q string").withColumn("ws", text.words(F.col("q")))
+    return gallery(spark, sf).where("id < 50").crossJoin(F.broadcast(asked)).select("q", "id", text.overlap_live(F.col("ws"), F.col("tags")).alias("overlap"))
+
+
+@query("WITH v AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in text.VOCABULARY) + "]) AS tag), t AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in text.TEMPLATE_POOL) + "]) AS template) SELECT tag, template, replace(template, '{tag}', tag) AS prompt FROM v, t")
+def tag_prompts(spark, sf):
+    """Every tag in every template."""
+    v, t = spark.createDataFrame([(w,) for w in text.VOCABULARY], "tag string"), spark.createDataFrame([(x,) for x in text.TEMPLATE_POOL], "template string")
+    return v.crossJoin(F.broadcast(t)).select("tag", "template", text.fill(F.col("template"), "tag", F.col("tag")).alias("prompt"))
+
+
+EV_SQL = f"""WITH {PAIRS}, s AS (SELECT qid, id, tags, cos_image AS score, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS rank FROM pairs),
+h AS (SELECT qid, list(tags ORDER BY rank) AS tg, list(round_even(score, 2) ORDER BY rank) AS sc FROM s WHERE rank <= 3 GROUP BY qid),
+e AS (SELECT qid, list_sort(list_distinct(flatten(tg))) AS tags, list_filter(tg[1], lambda t: list_contains(tg[2], t) AND list_contains(tg[3], t)) AS shared, sc, list_max(sc) AS top FROM h),
+b AS (SELECT *, CASE WHEN top >= 0.3 THEN 'strong' WHEN top >= 0.25 THEN 'moderate' WHEN top >= 0.2 THEN 'weak' ELSE 'very weak' END AS strength FROM e)
+"""
+
+
+def _evidence(spark, sf):
+    items = gallery(spark, sf)
+    hits = retrieve.top_k(retrieve.score_all(queries(items), items), 3)
+    rows = hits.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "tags", "score"))), lambda x: F.struct(x["tags"].alias("tags"), x["score"].alias("score"))).alias("hits"))
+    return rows.withColumn("ev", explain.evidence(F.lit("a query"), F.col("hits")))
+
+
+@query(EV_SQL + "SELECT qid, array_to_string(tags, ' ') AS tags, array_to_string(shared, ' ') AS shared, round(top, 2) AS top, strength FROM b")
+def evidence(spark, sf):
+    e = _evidence(spark, sf)
+    return e.select("qid", F.array_join(F.array_sort("ev.tags"), " ").alias("tags"), F.array_join("ev.shared", " ").alias("shared"), F.round("ev.top", 2).alias("top"), "ev.strength")
+
+
+@query(EV_SQL + """SELECT qid, CASE WHEN len(shared) > 0 THEN 'The top 3 results all show ' || CASE WHEN len(shared) = 1 THEN shared[1] ELSE array_to_string(shared[1:len(shared) - 1], ', ') || ' and ' || shared[len(shared)] END || '.' ELSE 'The top 3 results share no single tag — they match the query in different ways.' END
+|| ' The strongest match scores ' || printf('%.2f', top) || ' (' || strength || ').' || CASE WHEN strength IN ('weak', 'very weak') THEN ' Treat them as loose matches — the model isnt confident.' ELSE '' END AS said FROM b""")
+def describe(spark, sf):
+    return _evidence(spark, sf).select("qid", explain.describe(F.col("ev")).alias("said"))
+
+
+@query(EV_SQL + "SELECT qid, true AS own_words_pass, 3 AS stripped FROM b")
+def lexical_gate(spark, sf):
+    """An evidence-made text passes its own gate; a draft of false claims is stripped whole."""
+    e = _evidence(spark, sf)
+    own = explain.verify(explain.describe(F.col("ev")), F.col("ev"))
+    false = F.lit("These all show a car. The match is perfect at 0.99. It radiates serenity.")
+    none = lambda x: F.size(F.filter(x, lambda s: F.size(s["reasons"]) > 0))
+    return e.select("qid", (none(own) == 0).alias("own_words_pass"), none(explain.verify(false, F.col("ev"))).alias("stripped"))
+
+
+@query()
+def explained(spark, sf):
+    """Drafts after the gate, with the description as the floor."""
+    draft = F.concat(F.lit("The top results match the query. "), F.lit("They show a castle."))
+    return _evidence(spark, sf).select("qid", explain.explain(draft, F.col("ev")).alias("said"))
+
+
+@query(r"""SELECT page_id, regexp_extract(url, '^([a-z]+)://', 1) AS scheme, regexp_extract(url, '://([^/?#]+)', 1) AS host, regexp_extract(url, '://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(regexp_extract(url, '://[^/?#]+([^?#]*)', 1), '([^/]*)$', 1) AS last_segment,
+lpad(CAST(page_id AS VARCHAR), 3, '0') AS padded, substr(sha1(html), 1, 12) AS content_hash, regexp_replace(url, '[^A-Za-z0-9._-]', '_', 'g') AS file_name, starts_with(url, 'https') AS secure, contains(url, 'utm_') AS tracked, url_encode(url) AS encoded, regexp_replace('File:' || url, '^File:', '') AS unprefixed FROM pages""")
+def url_functions(spark, sf):
+    p = table(spark, sf, "pages")
+    u = F.col("url")
+    path = F.regexp_extract(u, "://[^/?#]+([^?#]*)", 1)
+    return p.select("page_id", F.regexp_extract(u, "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(u, "://([^/?#]+)", 1).alias("host"), path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("last_segment"), F.lpad(F.col("page_id").cast("string"), 3, "0").alias("padded"), F.substring(F.sha1("html"), 1, 12).alias("content_hash"), text.safe_name(u).alias("file_name"), u.startswith("https").alias("secure"), F.contains(u, F.lit("utm_")).alias("tracked"), F.url_encode(u).alias("encoded"), F.regexp_replace(F.concat(F.lit("File:"), u), "^File:", "").alias("unprefixed"))
+
+
+@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(href, '#.*$', '') END AS target, count(*) AS n FROM l GROUP BY ALL""")
+def page_links(spark, sf):
+    """Every link of every page, made absolute."""
+    l_ = table(spark, sf, "pages").select("page_id", "url", F.explode(text.hrefs(F.col("html"))).alias("href"))
+    return l_.groupBy("page_id", "href", text.url_join(F.col("url"), F.col("href")).alias("target")).agg(F.count("*").alias("n"))
+
+
+@query(r"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS ws FROM documents WHERE lang = 'en'),
+n AS (SELECT doc_id, list_transform(ws, lambda x: regexp_replace(x, '[^\p{L}\p{M}\p{Nd}\p{Pc}.%-]', '', 'g')) AS ws FROM d), p AS (SELECT doc_id, list_transform(ws, lambda x: CASE WHEN length(x) > 3 AND ends_with(x, 's') THEN substr(x, 1, length(x) - 1) ELSE x END) AS ws FROM n)
+SELECT doc_id, len(ws) AS n_words, len(list_distinct(ws)) AS n_distinct FROM p""")
+def token_normalise(spark, sf):
+    d = table(spark, sf, "documents").where("lang = 'en'").select("doc_id", F.transform(text.words(F.col("text")), text.norm).alias("ws"))
+    return d.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"))
+
+
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ceil(value) AS up, floor(value) AS down, round_even(value, 2) AS even2, least(greatest(value, 10), 50) AS clipped, round(ln(value + 1), 6) AS ln1, round(sqrt(value), 6) AS root, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, bit_count(event_id) AS ones FROM events WHERE event_id < 2000""")
+def scalar_functions(spark, sf):
+    e = table(spark, sf, "events").where("event_id < 2000")
+    v = F.col("value")
+    return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.ceil(v).cast("double").alias("up"), F.floor(v).cast("double").alias("down"), F.bround(v, 2).alias("even2"), F.least(F.greatest(v, F.lit(10.0)), F.lit(50.0)).alias("clipped"), F.round(F.log(v + 1), 6).alias("ln1"), F.round(F.sqrt(v), 6).alias("root"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.bit_count("event_id").alias("ones"))
+
+
+@query(f"""WITH {GALLERY}, o AS (SELECT a.id AS i, b.id AS j, list_sort(list_intersect(a.tags, b.tags)) AS shared, list_sort(list_distinct(list_concat(a.tags, b.tags))) AS merged FROM gallery a, gallery b WHERE a.id < 15 AND b.id < 15)
+SELECT i, j, array_to_string(shared, ' ') AS shared, array_to_string(merged, ' ') AS merged, len(shared) = 2 AS all_shared, len(shared) > 0 AS any_shared FROM o""")
+def tag_sets(spark, sf):
+    few = gallery(spark, sf).where("id < 15")
+    o = few.select(F.col("id").alias("i"), F.col("tags").alias("a")).crossJoin(F.broadcast(few.select(F.col("id").alias("j"), F.col("tags").alias("b"))))
+    both = F.array_intersect("a", "b")
+    return o.select("i", "j", F.array_join(F.array_sort(both), " ").alias("shared"), F.array_join(F.array_sort(F.array_union("a", "b")), " ").alias("merged"), F.forall("a", lambda t: F.array_contains(F.col("b"), t)).alias("all_shared"), F.exists("a", lambda t: F.array_contains(F.col("b"), t)).alias("any_shared"))
+
+
+#: Failures as connectors report them: (kind, message).
+FAILURES = (("TimeoutError", "x"), ("Error", "Fetch is aborted"), ("Error", "signal timed out"), ("TypeError", "Load failed"), ("Error", "network down"), ("Error", "HTTP 404"))
+
+
+@query("WITH f(kind, message) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in FAILURES) + ") SELECT kind, message, CASE WHEN kind IN ('TimeoutError', 'AbortError') OR regexp_matches(message, '(?i)abort|timed? ?out') THEN 'no answer in 8s' WHEN kind = 'TypeError' OR regexp_matches(message, '(?i)load failed|failed to fetch|network') THEN 'unreachable — blocked or offline' ELSE message END AS said FROM f")
+def error_texts(spark, sf):
+    return spark.createDataFrame(list(FAILURES), "kind string, message string").select("kind", "message", text.describe_error(F.col("kind"), F.col("message")).alias("said"))
+
+
+@query("WITH u AS (SELECT min(url) AS a, max(url) AS b FROM pages WHERE url LIKE 'https://%'), p AS (SELECT a, b, unnest(range(1, 200)) AS i FROM u) SELECT a[1:CAST(max(i) AS BIGINT)] AS prefix FROM p WHERE substr(a, 1, i) = substr(b, 1, i) AND i <= length(a) GROUP BY a")
+def common_prefix(spark, sf):
+    """Longest common prefix of a set: that of its least and greatest member."""
+    ends = table(spark, sf, "pages").where("url like 'https://%'").agg(F.min("url").alias("a"), F.max("url").alias("b"))
+    i = F.filter(F.sequence(F.lit(1), F.length("a")), lambda k: F.substring(F.col("a"), F.lit(1), k) == F.substring(F.col("b"), F.lit(1), k))
+    return ends.select(F.substring(F.col("a"), F.lit(1), F.coalesce(F.array_max(i), F.lit(0))).alias("prefix"))
+
+
+@query("SELECT role, count(*) AS n, sum(CASE WHEN position('?' IN text) > 0 THEN 1 ELSE 0 END)::BIGINT AS asked FROM conversations GROUP BY role")
+def conversation_roles(spark, sf):
+    return table(spark, sf, "conversations").groupBy("role").agg(F.count("*").alias("n"), F.count_if(F.contains("text", F.lit("?"))).alias("asked"))
+
+
