@@ -213,13 +213,23 @@ def neighbours(spark, sf):
 m AS (SELECT qid, count(*) FILTER (rel AND rank <= 1) / 1.0 AS p1, count(*) FILTER (rel AND rank <= 3) / 3.0 AS p3, count(*) FILTER (rel AND rank <= 5) / 5.0 AS p5, coalesce(1.0 / min(rank) FILTER (rel), 0) AS rr FROM r GROUP BY qid)
 SELECT round(avg(CAST(p1 AS DOUBLE)), 6) AS p_at_1, round(avg(CAST(p3 AS DOUBLE)), 6) AS p_at_3, round(avg(CAST(p5 AS DOUBLE)), 6) AS p_at_5, round(avg(CAST(rr AS DOUBLE)), 6) AS mrr FROM m""")
 def retrieval_metrics(spark, sf):
-    """Leave-one-out precision at 1, 3, 5 (over k even where fewer rows) and mean reciprocal rank."""
+    """Leave-one-out precision at 1, 3, 5 (over k even where fewer rows) and mean reciprocal rank.
+
+    Precision needs five hits a query and the reciprocal rank only the best relevant item and how many
+    items stand before it, so no ranking of all pairs is made.
+    """
+    from .monitoring_queries import _tag_pairs
+
     items = gallery(spark, sf)
-    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
-    s = retrieve.score_all(everyone, items, exclude_self=True).select("qid", "id", "score", F.arrays_overlap("tags", "qtags").alias("rel"))
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
+    top = retrieve.exact_blocks(everyone, items, 6).where("qid <> id").drop("rank")
+    tags = items.select(F.col("id").alias("qid"), F.col("tags").alias("qtags"))
+    top = retrieve.top_k(top, 5).join(tags, "qid").join(items.select("id", "tags"), "id").withColumn("rel", F.arrays_overlap("tags", "qtags"))
     p = lambda k: F.count_if(F.col("rel") & (F.col("rank") <= k)) / k
-    m = r.groupBy("qid").agg(p(1).alias("p1"), p(3).alias("p3"), p(5).alias("p5"), F.coalesce(1 / F.min(F.when(F.col("rel"), F.col("rank"))), F.lit(0.0)).alias("rr"))
+    hits = top.groupBy("qid").agg(p(1).alias("p1"), p(3).alias("p3"), p(5).alias("p5"))
+    best = _tag_pairs(items).groupBy("qid").agg(F.max("cos").alias("hit_score"), F.max_by("id", F.struct("cos", -F.col("id"))).alias("hit_id"))
+    above = retrieve.count_above(everyone.join(best, "qid"), items)
+    m = hits.join(above, "qid", "left").withColumn("rr", F.coalesce(1 / (F.col("above") + 1), F.lit(0.0)))
     return m.agg(*[F.round(F.avg(a), 6).alias(b) for a, b in (("p1", "p_at_1"), ("p3", "p_at_3"), ("p5", "p_at_5"), ("rr", "mrr"))])
 
 
