@@ -130,11 +130,13 @@ class Scanner:
         words, found = ids.tolist(), []
         for t, offsets in diagonals.items():
             template, last = self.ids[t], None
+            # narrower than the template, so that a neighbouring copy stays out of the band
+            band = max(1, min(BAND, len(template) // 4))
             for o in sorted(offsets):
-                if last is not None and o - last <= BAND // 2:
+                if last is not None and o - last <= band // 2:
                     continue
                 last = o
-                m, a, b = align(template, words, o)
+                m, a, b = align(template, words, o, band)
                 if m >= self.coverage * len(template):
                     found.append((m, t, a, b))
         found.sort(key=lambda x: (-x[0], x[2], self.names[x[1]]))

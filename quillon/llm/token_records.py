@@ -82,7 +82,7 @@ class Writer:
             self.name = f"{self.folder}/part-{self.part:05d}-{self.seq:04d}-{uuid.uuid4().hex[:12]}"
             self.fs, path = file_system(self.name)
             self.fs.create_dir(path.rpartition("/")[0], recursive=True)
-            self.path, self.out, self.index, self.ids, self.at = path, self.fs.open_output_stream(f"{path}.rec"), [], 0, 0
+            self.path, self.out, self.index, self.ids, self.at = path, self.fs.open_output_stream(f"{path}.rec", compression=None), [], 0, 0
         record = frame(doc_id, ids)
         self.out.write(record)
         self.index.append(struct.pack("<QQ", self.at, len(ids)))
@@ -95,7 +95,7 @@ class Writer:
         if self.out is None:
             return
         self.out.close()
-        with self.fs.open_output_stream(f"{self.path}.idx") as f:
+        with self.fs.open_output_stream(f"{self.path}.idx", compression=None) as f:
             f.write(b"".join(self.index))
         self.done.append((self.part, self.seq, self.name, len(self.index), self.ids, self.at))
         self.out, self.seq = None, self.seq + 1
@@ -148,7 +148,7 @@ def read_records(manifest: DataFrame) -> DataFrame:
             for path, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 fs, p = file_system(path)
                 rows = []
-                with fs.open_input_stream(f"{p}.rec") as f:
+                with fs.open_input_stream(f"{p}.rec", compression=None) as f:
                     while (payload := read_record(f)) is not None:
                         doc_id, ids = unframe(payload)
                         rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
@@ -175,7 +175,7 @@ def shuffled(manifest: DataFrame, seed: int) -> DataFrame:
         for batch in batches:
             for path in batch.column(0).to_pylist():
                 fs, p = file_system(path)
-                with fs.open_input_stream(f"{p}.idx") as f:
+                with fs.open_input_stream(f"{p}.idx", compression=None) as f:
                     offsets = [o for o, _ in struct.iter_unpack("<QQ", f.read())]
                 yield pa.RecordBatch.from_arrays([pa.array([path] * len(offsets), pa.string()), pa.array(offsets, pa.int64())], names=["path", "offset"])
 

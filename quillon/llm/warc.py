@@ -78,7 +78,7 @@ class Writer:
         trained = dictionary(self.held)
         raw = trained.as_bytes()
         self.packer = z.ZstdCompressor(level=LEVEL, dict_data=trained, write_content_size=True)
-        self.out, self.records, self.at = fs.open_output_stream(path), 0, len(raw) + 8
+        self.out, self.records, self.at = fs.open_output_stream(path, compression=None), 0, len(raw) + 8
         self.out.write(struct.pack("<II", SKIPPABLE, len(raw)) + raw)
         for data in self.held:
             self.write(data)
@@ -185,7 +185,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
             for path in batch.column(0).to_pylist():
                 fs, p = file_system(path)
                 rows = []
-                with fs.open_input_stream(p) as f:
+                with fs.open_input_stream(p, compression=None) as f:
                     for head, body in read_file(f):
                         kind, said = head["WARC-Type"], head["WARC-Payload-Digest"].removeprefix("sha256:")
                         if kind == "response" and hashlib.sha256(body).hexdigest() != said:
