@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import saved
+from ..sources.store import numbered
+
 INF = float("inf")
 #: Rulings of the drift monitor.
 PSI_SHIFT, PSI_DRIFT, COVERAGE_SLACK, EPS, BINS = 0.10, 0.25, 0.10, 1e-6, 8
@@ -20,12 +23,12 @@ def kth(n: Column, alpha: Column | float) -> Column:
 def calibrate(scores: DataFrame, alphas: list[float], value: str = "score") -> DataFrame:
     """(alpha, n, qhat): the k-th smallest score per alpha; infinity where k > n.
 
-    Equal scores are counted together first, so the running count goes over distinct values.
+    Ranks come from sorted ranges and the counts before them, so no task sorts everything.
     """
-    runs = scores.groupBy(value).agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy(value)))
+    ranked = numbered(scores.select(F.col(value).alias("q")), ["q"], name="_r")
     total = scores.agg(F.count("*").alias("n"))
     levels = total.select("n", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")).withColumn("k", kth(F.col("n"), F.col("alpha")))
-    found = runs.crossJoin(F.broadcast(levels)).where("upto >= k").groupBy("alpha").agg(F.min(value).alias("q"))
+    found = ranked.join(F.broadcast(levels), F.col("_r") + 1 == F.col("k")).select("alpha", "q")
     return levels.join(found, "alpha", "left").select("alpha", "n", F.coalesce("q", F.lit(INF)).alias("qhat"))
 
 
@@ -34,12 +37,13 @@ def jackknife(scores: DataFrame, alphas: list[float], value: str = "score") -> D
 
     Without row i, the k-th of the others is the k-th or the next of all, by i's rank.
     """
-    n = F.count("*").over(Window.partitionBy())
-    ranked = scores.select(value, F.row_number().over(Window.orderBy(value)).alias("r"), n.alias("n"))
-    rows = ranked.withColumn("alpha", F.explode(F.array(*[F.lit(float(a)) for a in alphas]))).withColumn("k", kth(F.col("n") - 1, F.col("alpha")))
-    cuts = rows.groupBy("alpha").agg(F.max(F.when(F.col("r") == F.col("k"), F.col(value))).alias("at"), F.max(F.when(F.col("r") == F.col("k") + 1, F.col(value))).alias("next"), F.first("k").alias("kk"))
+    ranked = saved(numbered(scores.select(value), [value], name="_r").withColumn("r", F.col("_r") + 1).drop("_r"))
+    levels = ranked.agg(F.count("*").alias("n")).select("n", F.explode(F.array(*[F.lit(float(a)) for a in alphas])).alias("alpha")).withColumn("k", kth(F.col("n") - 1, F.col("alpha")))
+    near = ranked.join(F.broadcast(levels), F.col("r").between(F.col("k"), F.col("k") + 1))
+    cuts = near.groupBy("alpha").agg(F.max(F.when(F.col("r") == F.col("k"), F.col(value))).alias("at"), F.max(F.when(F.col("r") == F.col("k") + 1, F.col(value))).alias("next"))
+    rows = ranked.crossJoin(F.broadcast(levels.join(cuts, "alpha", "left")))
     covered = F.when(F.col("k") > F.col("n") - 1, True).when(F.col("r") > F.col("k"), F.col(value) <= F.col("at")).otherwise(F.col(value) <= F.col("next"))
-    return rows.join(F.broadcast(cuts), "alpha").groupBy("alpha").agg(F.avg(covered.cast("int")).alias("coverage"))
+    return rows.groupBy("alpha").agg(F.avg(covered.cast("int")).alias("coverage"))
 
 
 def edges(ref: DataFrame, value: str = "value", bins: int = BINS) -> DataFrame:
@@ -99,6 +103,13 @@ def monitor(ref: DataFrame, live: DataFrame, alpha: float = 0.2, *, value: str =
     return rows.withColumn("reasons", fired).withColumn("level", level).withColumn("failure_rate", 1 - F.col("coverage"))
 
 
+def gate(reference: DataFrame, live: DataFrame, alpha: float = 0.2) -> DataFrame:
+    """One row: whether no window drifted, for a job that fails on drift; without a reference it passes."""
+    frozen = reference.agg(F.count("*").alias("frozen"))
+    bad = monitor(reference, live, alpha).agg(F.count_if(F.col("level") == "drift").alias("drifted"))
+    return frozen.crossJoin(bad).select((F.col("frozen") > 0).alias("frozen"), "drifted", ((F.col("frozen") == 0) | (F.col("drifted") == 0)).alias("passed"))
+
+
 def contaminate(sample: DataFrame, fraction: float, drop: float = 0.2, *, value: str = "value", order: str = "seq") -> DataFrame:
     """An evenly spaced share of rows (half-up count) lowered by ``drop``, not below 0.
 

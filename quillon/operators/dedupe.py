@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import saved
 
 
 def close_pairs(items: DataFrame, threshold: float, *, column: str = "img") -> DataFrame:
@@ -29,34 +30,25 @@ def greedy_keep(items: DataFrame, threshold: float, *, column: str = "img") -> D
 
     Rows without an undecided earlier neighbour are decided in rounds; each round writes its state.
     """
-    spark = items.sparkSession
-    pairs = _saved(close_pairs(items, threshold, column=column), spark)
-    state = _saved(items.select("id", F.lit(None).cast("boolean").alias("kept")), spark)
+    pairs = saved(close_pairs(items, threshold, column=column))
+    state = saved(items.select("id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         known = state.select(F.col("id").alias("i"), F.col("kept").alias("k"))
         seen = pairs.join(known, "i").groupBy("j").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_or(F.col("k").isNull()).alias("wait"))
         now = state.join(seen, state["id"] == seen["j"], "left")
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)
-        state = _saved(now.select("id", kept.alias("kept")), spark)
+        state = saved(now.select("id", kept.alias("kept")))
         if not state.where("kept is null").limit(1).count():
             return state
 
 
-def _saved(df: DataFrame, spark) -> DataFrame:
-    """Written to the checkpoint folder where there is one; cached in tests."""
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
-
-
 def crawl(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     """(node, level): breadth-first levels from the seeds along edges (src, dst), at most ``depth`` deep."""
-    spark = edges.sparkSession
-    seen = _saved(seeds.select("node").distinct().withColumn("level", F.lit(0)), spark)
+    seen = saved(seeds.select("node").distinct().withColumn("level", F.lit(0)))
     for n in range(1, depth + 1):
         front = seen.where(F.col("level") == n - 1)
         step = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
         fresh = step.join(seen, "node", "left_anti").withColumn("level", F.lit(n))
-        seen = _saved(seen.unionByName(fresh), spark)
+        seen = saved(seen.unionByName(fresh))
     return seen
 

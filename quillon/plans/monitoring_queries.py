@@ -123,10 +123,13 @@ def ks_windows(spark, sf):
     return k.select("window_id", F.round("ks", 6).alias("ks"), "n_ref", "n_live", F.round(cal.ks_critical(F.col("n_ref"), F.col("n_live")), 6).alias("critical"))
 
 
-@query(PSI_SQL + f""", {KS_SQL}, rs AS (SELECT 1 - value AS s, row_number() OVER (ORDER BY 1 - value) AS r, count(*) OVER () AS n FROM ref), qh AS (SELECT s AS qhat FROM rs WHERE r = ceil((n + 1)::DOUBLE * (1.0::DOUBLE - 0.2::DOUBLE))),
+DRIFT_SQL = PSI_SQL + f""", {KS_SQL}, rs AS (SELECT 1 - value AS s, row_number() OVER (ORDER BY 1 - value) AS r, count(*) OVER () AS n FROM ref), qh AS (SELECT s AS qhat FROM rs WHERE r = ceil((n + 1)::DOUBLE * (1.0::DOUBLE - 0.2::DOUBLE))),
 cov AS (SELECT window_id, avg((value >= 1 - qhat)::INT) AS coverage, max(1 - qhat) AS bar FROM live, qh GROUP BY 1),
 d AS (SELECT window_id, psi, ks, 1.36 * sqrt((n_ref + n_live) / (n_ref * n_live)::DOUBLE) AS crit, coverage, bar FROM psi JOIN ks USING (window_id) JOIN cov USING (window_id))
-SELECT window_id, round(psi, 6) AS psi, round(ks, 6) AS ks, round(coverage, 6) AS coverage, round(bar, 6) AS bar,
+"""
+
+
+@query(DRIFT_SQL + """SELECT window_id, round(psi, 6) AS psi, round(ks, 6) AS ks, round(coverage, 6) AS coverage, round(bar, 6) AS bar,
 CASE WHEN psi > 0.25 OR ks > crit OR coverage < 0.8 - 0.1 THEN 'drift' WHEN psi > 0.1 OR ks > crit * 0.75 THEN 'shift' ELSE 'stable' END AS level,
 concat_ws(',', CASE WHEN psi > 0.25 THEN 'psi' END, CASE WHEN ks > crit THEN 'ks' END, CASE WHEN coverage < 0.8 - 0.1 THEN 'coverage' END) AS reasons FROM d""")
 def drift_monitor(spark, sf):
@@ -135,6 +138,12 @@ def drift_monitor(spark, sf):
     return m.select("window_id", *[F.round(c, 6).alias(c) for c in ("psi", "ks", "coverage", "bar")], "level", F.array_join("reasons", ",").alias("reasons"))
 
 
+@query(DRIFT_SQL + "SELECT true AS frozen, count(*) FILTER (psi > 0.25 OR ks > crit OR coverage < 0.8 - 0.1) AS drifted, count(*) FILTER (psi > 0.25 OR ks > crit OR coverage < 0.8 - 0.1) = 0 AS passed FROM d")
+def drift_gate(spark, sf):
+    """The verdict row of a scheduled gate."""
+    return cal.gate(*windows(spark, sf))
+
+
 #: Shares of contaminated rows of the four simulated windows.
 STREAM = (("t0", 0.0), ("t1", 0.15), ("t2", 0.35), ("t3", 0.6))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import dedupe, index, rank, retrieve
+from ..operators import dedupe, index, rank, retrieve, search
 from ..session import table
 from ..sources.gallery import gallery, likes, queries
 from .registry import GALLERY, LOO, PAIRS, query
@@ -405,3 +405,15 @@ def pq_train(spark, sf):
 def index_freshness(spark, sf):
     meta = spark.createDataFrame([("i8", 500), ("opq", 7), ("ivf", None)], "name string, rows long")
     return index.stale(meta, table(spark, sf, "embeddings"))
+
+
+@query(f"""WITH {PAIRS}, r AS (SELECT qid, id, cos_image AS score, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS rank FROM pairs),
+m AS (SELECT unnest(['exact', 'blocks', 'int8']) AS method) SELECT method, qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r, m WHERE rank <= 5""")
+def search_methods(spark, sf):
+    """The same five hits by each method that ends in exact scores."""
+    items, out = gallery(spark, sf), None
+    scales = F.array_repeat(F.lit(1 / 127), 64)
+    for method in ("exact", "blocks", "int8"):
+        hits = search.search(queries(items), items, method=method, k=5, scales=scales).select(F.lit(method).alias("method"), "qid", "id", "rank", F.round("score", 6).alias("score"))
+        out = hits if out is None else out.unionByName(hits)
+    return out

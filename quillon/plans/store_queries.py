@@ -209,3 +209,17 @@ def stream_votes(spark, sf):
     """A council's running ruling over votes that stream in."""
     v = jobs.events(spark, sf).select("event_type", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), F.lit(0.7).alias("confidence"))
     return jobs.drained(jobs.votes(v, ["event_type"]), "complete").select("event_type", "n_valid", F.round(F.col("sw") / F.col("w"), 6).alias("mean"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread"))
+
+
+@query(f"""WITH {GALLERY}, b AS (SELECT a.img AS c1, b.img AS c2 FROM gallery a, gallery b WHERE a.id = 0 AND b.id = 1), d AS (SELECT id, path, tags, img, list_dot_product(img, c1) AS x, list_dot_product(img, c2) AS y FROM gallery, b),
+e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d)
+SELECT id, lpad(CAST(id AS VARCHAR), 3, '0') || '_' || path AS file, 'a photo of ' || array_to_string(tags, ', ') AS caption, round((x - x0) / (x1 - x0), 4) AS map_x, round((y - y0) / (y1 - y0), 4) AS map_y, round(img[1], 5) AS first FROM d, e WHERE id < 100""")
+def export_items(spark, sf):
+    """Export rows: numbered names, captions, a two-dimensional map on a stored basis, rounded vectors."""
+    g = gallery(spark, sf)
+    basis = g.where("id = 0").select(F.col("img").alias("c1")).crossJoin(g.where("id = 1").select(F.col("img").alias("c2")))
+    d = g.crossJoin(F.broadcast(basis)).select("id", "path", "tags", "img", vec.dot("img", "c1").alias("x"), vec.dot("img", "c2").alias("y"))
+    ends = d.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))])
+    at = lambda c: F.round((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")), 4)
+    rows = d.crossJoin(F.broadcast(ends)).where("id < 100")
+    return rows.select("id", F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("_"), "path").alias("file"), text.caption(F.col("tags")).alias("caption"), at("x").alias("map_x"), at("y").alias("map_y"), F.round(F.get("img", F.lit(0)), 5).alias("first"))

@@ -34,3 +34,11 @@ def ship(spark: SparkSession) -> SparkSession:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of a data folder; the path may be in any store that Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Materialised, with its lineage cut: in the cluster's checkpoint folder, or cached where there is none."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.cache()

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import vec
+from ..session import saved
 
 #: Limits of cleaned text fields, and of crawled images.
 NAME_CHARS, DESCRIPTION_CHARS, CAFE_CHARS = 60, 300, 80
@@ -74,16 +75,18 @@ def clean(records: DataFrame, dim: int) -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: list[str], limit: int | None = None) -> DataFrame:
-    """Consecutive ids from 0 in ``order``: sorted ranges, then each range's start from the counts before it."""
-    from pyspark.sql.functions import spark_partition_id
+def numbered(rows: DataFrame, order: list[str], limit: int | None = None, name: str = "id") -> DataFrame:
+    """Consecutive numbers from 0 in ``order``: sorted ranges, then each range's start from the counts before it.
 
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", spark_partition_id())
+    No task sees more than one range.  The ranges are materialised first, as their bounds come from a sample
+    and both uses must see the same ones.
+    """
+    ranged = saved(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_c"))
     start = counts.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_start"))
     w = Window.partitionBy("_p").orderBy(*order)
-    out = ranged.join(F.broadcast(start), F.col("_p") == F.col("_q")).withColumn("id", F.col("_start") + F.row_number().over(w) - 1).drop("_p", "_q", "_start")
-    return out if limit is None else out.where(F.col("id") < limit)
+    out = ranged.join(F.broadcast(start), F.col("_p") == F.col("_q")).withColumn(name, F.col("_start") + F.row_number().over(w) - 1).drop("_p", "_q", "_start")
+    return out if limit is None else out.where(F.col(name) < limit)
 
 
 def lookup(ranked: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
