@@ -210,5 +210,6 @@ def count_edited(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
                             doc.edit(e["pos"] or 0, e["del"] or 0, e["ins"] or "")
                     out.append((before, doc.tree.n_tokens, len(doc.text), pieces, doc.reencoded))
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in zip(*out, strict=True))], names=["doc_id", *(x.split()[0] for x in RESULT.split(", "))])
+        enc.trim()
 
     return rows.mapInArrow(count, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {RESULT}")

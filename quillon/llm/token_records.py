@@ -127,6 +127,7 @@ def write_records(docs: DataFrame, vocabulary: str, *, end_id: int | None = 2, i
                         ids.append(end_id)
                     out.add(doc_id, ids)
         out.close()
+        enc.trim()
         names = ["part", "seq", "path", "records", "ids", "bytes"]
         types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         columns = list(zip(*out.done, strict=True)) or [()] * 6

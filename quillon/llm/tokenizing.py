@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import struct
 from array import array
 
 #: Letters and numbers among the usual characters, the pre-token pattern of byte-level BPE
@@ -21,7 +22,7 @@ NUMBERS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 PRE_TOKEN = rf" ?[{LETTERS}]+| ?[{NUMBERS}]+|'(?:s|t|re|ve|m|ll|d)| ?[^\s{LETTERS}{NUMBERS}]+|\s+(?!\S)|\s+"
 PRINTABLE = (*range(33, 127), *range(161, 173), *range(174, 256))
 _UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\u024f]")
-MOST_KEPT = 300_000
+MOST_KEPT = 200_000
 MOST_CHARS = 64
 
 _encoders: dict[str, Encoder] = {}
@@ -63,9 +64,15 @@ class Encoder:
         self.plain = said["normalizer"] is None and said["post_processor"] is None and before.get("type") == "ByteLevel" and before.get("use_regex") is True and before.get("add_prefix_space") is False and said["model"]["type"] == "BPE"
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         characters, model = byte_characters(), self.tokenizer.model
+        packers = [struct.Struct(f"<{n}I").pack for n in range(16)]
 
         def ask(piece: str) -> bytes:
-            return array("I", [t.id for t in model.tokenize(piece.encode().decode("latin-1").translate(characters))]).tobytes()
+            if piece.isascii() and piece.isprintable():
+                mapped = piece.replace(" ", characters[32])
+            else:
+                mapped = piece.encode().decode("latin-1").translate(characters)
+            ids = [t.id for t in model.tokenize(mapped)]
+            return packers[len(ids)](*ids) if len(ids) < len(packers) else array("I", ids).tobytes()
 
         self.ask, self.known = ask, Known(ask, {})
 
@@ -79,6 +86,10 @@ class Encoder:
             self.known = Known(self.ask, self.known)
         return self.known
 
+    def trim(self) -> None:
+        """Forget the older generation: for the end of a task, as a worker may stay idle for a while."""
+        self.known.old = {}
+
     def counts(self, pieces: list[str]) -> list[int]:
         """Numbers of tokens of pre-tokens."""
         return [len(x) // 4 for x in map(self.table().__getitem__, pieces)]
