@@ -47,7 +47,7 @@ def ivf_search(spark, sf):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"), "scanned")
 
 
-@query(f"""WITH {MODEL_SQL} SELECT cell, count(*) AS n, sum(count(*)) OVER (ORDER BY cell) - count(*) AS start FROM filed GROUP BY cell""")
+@query(f"""WITH {MODEL_SQL} SELECT cell, count(*) AS n, CAST(sum(count(*)) OVER (ORDER BY cell) - count(*) AS BIGINT) AS start FROM filed GROUP BY cell""")
 def ivf_lists(spark, sf):
     """Sizes and offsets of the inverted lists."""
     items = gallery(spark, sf)

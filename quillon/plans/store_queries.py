@@ -61,7 +61,7 @@ def ingest_counts(spark, sf):
     return store.clean(raw_records(spark, sf), 64).agg(F.count("*").alias("n"), F.count_if(~F.col("ok")).alias("skipped"))
 
 
-@query(f"WITH {GALLERY}, r(id, rank) AS (VALUES (7, 1), (3, 2), (499, 3), (99999, 4), (0, 5)) SELECT rank, r.id, path FROM r JOIN gallery ON gallery.id = r.id")
+@query(f"WITH {GALLERY}, r(id, rank) AS (VALUES (7, 1), (3, 2), (499, 3), (99999, 4), (0, 5)) SELECT rank, CAST(r.id AS BIGINT) AS id, path FROM r JOIN gallery ON gallery.id = r.id")
 def ordered_lookup(spark, sf):
     r = spark.createDataFrame([(7, 1), (3, 2), (499, 3), (99999, 4), (0, 5)], "id long, rank int")
     return store.lookup(r, gallery(spark, sf)).select("rank", "id", "path")

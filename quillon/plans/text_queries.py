@@ -108,7 +108,7 @@ def token_normalise(spark, sf):
     return d.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ceil(value) AS up, floor(value) AS down, round_even(value, 2) AS even2, least(greatest(value, 10), 50) AS clipped, round(ln(value + 1), 6) AS ln1, round(sqrt(value), 6) AS root, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, bit_count(event_id) AS ones FROM events WHERE event_id < 2000""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ceil(value) AS up, floor(value) AS down, round_even(value, 2) AS even2, least(greatest(value, 10), 50) AS clipped, round(ln(value + 1), 6) AS ln1, round(sqrt(value), 6) AS root, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(bit_count(event_id) AS INTEGER) AS ones FROM events WHERE event_id < 2000""")
 def scalar_functions(spark, sf):
     e = table(spark, sf, "events").where("event_id < 2000")
     v = F.col("value")
