@@ -14,7 +14,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import local_schema
 from .words import plain
 
 RATE, LEAST_CHARS = 0.05, 20
@@ -154,7 +153,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id",
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", rate: float = RATE) -> DataFrame:
     """Docs that hold no test item; same columns, no shuffle."""
-    rows = docs.select(*local_schema(docs, "_leaks"))
+    rows = docs
     for items in item_blocks(benchmark):
         rows = rows.where(F.size(hits(F.col(text_col), items, rate)) == 0)
     return rows

@@ -14,7 +14,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import local_schema, store
+from .storage import only, put_back, set_aside, store
 
 STEPS, CANDIDATES, DIGITS = 6, 16, 6
 BITS, LEVELS = 10, 2
@@ -60,10 +60,17 @@ def bisect(sources: DataFrame, *, entropy: float | None = None, repeats: float |
     return round(hi if repeats is not None else lo, DIGITS)
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, tokens: Column | None) -> DataFrame:
-    """(docs' columns, _source, _tokens, _key): the key orders a source's permuted pass."""
+#: Working names, and those of the columns that ``realise`` adds.
+WORKING = ("_source", "_tokens", "_key", "_s", "passes", "cut", "rest")
+ADDED = ("epoch", "key", "n_tokens")
+PLACING = ("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "weight")
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, tokens: Column | None) -> tuple[DataFrame, dict[str, str]]:
+    """(docs' columns, _source, _tokens, _key) and the docs' columns set aside; the key orders a source's permuted pass."""
     measure = word_count(F.col(text_col)) if tokens is None else tokens
-    return docs.select(*[F.col(c) for c in docs.columns], F.col(source_col).alias("_source"), measure.alias("_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("_key"))
+    moved = set_aside(docs, *WORKING, *ADDED)[1]
+    return docs.select(*[F.col(c).alias(moved.get(c, c)) for c in docs.columns], F.col(source_col).alias("_source"), measure.alias("_tokens"), F.xxhash64(F.lit(seed), F.col(id_col), F.col(source_col)).alias("_key")), moved
 
 
 def _cut(slim: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def plan(docs: DataFrame, *, budget: int | None = None, entropy: float | None =
     A source without tokens has weight 0 and one pass, as nothing says how often to use it.
     """
     # the table of keys and tokens is slim: texts are read once and never shuffled
-    slim = store(_keyed(docs, id_col, text_col, source_col, seed, tokens).select("_source", "_tokens", "_key"), "mix-keys")
+    slim = store(_keyed(docs, id_col, text_col, source_col, seed, tokens)[0].select("_source", "_tokens", "_key"), "mix-keys")
     sums = slim.groupBy("_source").agg(F.sum("_tokens").alias("tokens"), F.count("*").alias("rows"))
     total = sums.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     sources = store(sums.withColumn("share", F.when(F.col("tokens") > 0, F.col("tokens") / F.lit(max(1, total)))), "mix-sources")
@@ -117,18 +124,30 @@ def plan(docs: DataFrame, *, budget: int | None = None, entropy: float | None =
     return store(joined.withColumn("rest", F.col("cut").isNotNull() & ~F.col("none")).drop("none"), "mix-plan")
 
 
-def realise(docs: DataFrame, planned: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, tokens: Column | None = None) -> DataFrame:
-    """The mix: each row once for every pass of its source, with ``epoch``, ``key`` and ``n_tokens``.
-
-    Decided row by row from the plan's one row a source; the plan's parameters must be repeated.  Input
-    columns named epoch, key or n_tokens are replaced.
-    """
-    rows = _keyed(docs.select(*local_schema(docs, "epoch", "key", "n_tokens")), id_col, text_col, source_col, seed, tokens)
+def _repeated(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 7, tokens: Column | None = None) -> tuple[DataFrame, dict[str, str]]:
+    """Each row once for every pass of its source, with ADDED, and the docs' columns set aside."""
+    rows, moved = _keyed(docs, id_col, text_col, source_col, seed, tokens)
     p = planned.select(F.col("_source").alias("_s"), "passes", "cut", "rest")
     joined = rows.join(p, F.col("_source").eqNullSafe(F.col("_s")))
     copies = F.col("passes") + (F.col("rest") & (F.col("_key") <= F.col("cut"))).cast("int")
     mixed = joined.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return mixed.withColumnsRenamed({"_key": "key", "_tokens": "n_tokens"}).drop("_source", "_s", "passes", "cut", "rest")
+    return mixed.withColumnsRenamed({"_key": "key", "_tokens": "n_tokens"}).drop("_source", "_s", "passes", "cut", "rest"), moved
+
+
+def realise(docs: DataFrame, planned: DataFrame, **options) -> DataFrame:
+    """The mix: each row once for every pass of its source, with ``epoch``, ``key`` and ``n_tokens``.
+
+    Decided row by row from the plan's one row a source; the plan's options (columns, seed, tokens) must be
+    repeated.  Input columns named epoch, key or n_tokens are replaced.
+    """
+    mixed, moved = _repeated(docs, planned, **options)
+    return put_back(mixed.drop(*[new for c, new in moved.items() if c.lower() in ADDED]), {c: new for c, new in moved.items() if c.lower() not in ADDED})
+
+
+def mix(docs: DataFrame, planned: DataFrame, **options) -> DataFrame:
+    """The mix with the docs' own columns alone, whatever those are called; options as for ``realise``."""
+    mixed, moved = _repeated(docs, planned, **options)
+    return only(mixed, docs.columns, moved)
 
 
 def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_col: str = "source") -> DataFrame:
@@ -137,7 +156,8 @@ def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_co
     A row's block follows from the tokens of its source before it, summed over key ranges first, so each
     sum runs over one range.
     """
-    rows = mixed.drop("block").withColumn("_range", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - BITS))
+    own, moved = set_aside(mixed.drop("block"), *PLACING)
+    rows = own.withColumn("_range", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - BITS))
     by = ["_source", "epoch", "_range"]
     rows = rows.withColumn("_source", F.col(source_col))
     sums = rows.groupBy(*by).agg(F.sum("n_tokens").alias("t"))
@@ -149,4 +169,4 @@ def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_co
     w = planned.select(F.col("_source").alias("_w"), "weight")
     out = placed.join(w, F.col("_source").eqNullSafe(F.col("_w")))
     block = F.when(F.col("weight") > 0, F.floor(F.col("_before") / (F.col("weight") * F.lit(block_tokens)))).otherwise(0)
-    return out.withColumn("block", block.cast("long")).drop("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "weight")
+    return put_back(out.withColumn("block", block.cast("long")).drop(*PLACING), moved)

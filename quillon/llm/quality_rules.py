@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import local_schema, store
+from .storage import local_schema, only, put_back, set_aside, store
 from .words import BLANKS, encode
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -141,19 +141,21 @@ def thresholds(measured: DataFrame, *, lang_col: str = "lang", source_col: str =
 
 def measure(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """Docs with MEASURES and base_failed; input columns of those names are replaced."""
+    docs, moved = set_aside(docs, "_measures")
     rows = docs.select(*local_schema(docs, *MEASURES, "base_failed", "kept"), measures(F.col(text_col)).alias("_measures"))
     rows = rows.select(*[c for c in rows.columns if c != "_measures"], "_measures.*")
-    return rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words")))
+    return put_back(rows.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))), moved)
 
 
 def judge(measured: DataFrame, limits: DataFrame, *, lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """Adds ``kept``: false for base failures, else whether every measure lies within its group's fences."""
     t = limits.withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    joined = measured.join(t, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left")
+    own, moved = set_aside(measured, *t.columns)
+    joined = own.join(t, F.col(lang_col).eqNullSafe(F.col("_lang")) & F.col(source_col).eqNullSafe(F.col("_source")), "left")
     within = F.lit(True)
     for m, (e, _, _) in RULES.items():
         within = within & F.expr(f"if(base_failed, true, {e.replace(' n_words', ' greatest(n_words, 1)')} between {m}_lower and {m}_upper)")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(*measured.columns, "kept")
+    return put_back(joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(False))).select(*own.columns, "kept"), moved)
 
 
 def assess(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -166,3 +168,9 @@ def assess(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", s
     """
     measured = store(measure(docs, text_col=text_col), "measured")
     return judge(measured, thresholds(measured, lang_col=lang_col, source_col=source_col), lang_col=lang_col, source_col=source_col)
+
+
+def keep(docs: DataFrame, *, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
+    """The docs that ``assess`` keeps, with their own columns alone, whatever those are called."""
+    own, moved = set_aside(docs, *MEASURES, "base_failed", "kept")
+    return only(assess(own, text_col=text_col, lang_col=lang_col, source_col=source_col).where("kept"), docs.columns, moved)

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import local_schema, store
+from .storage import only, set_aside, store
 from .words import encode, lower_ascii
 
 SHINGLE, DISTANCE, BLOCKS = 3, 3, 6
@@ -163,8 +163,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     Of rows repeated under that id one stays.  Input columns keep their names and order.
     """
     mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
-    kept = store(docs.select(*local_schema(docs, "_fp", "_row"), fingerprints(F.col(text_col), shingle).alias("_fp"), F.monotonically_increasing_id().alias("_row")), "marked")
+    own, moved = set_aside(docs, "_fp", "_row", "_dropped")
+    kept = store(own.select(*own.columns, fingerprints(F.col(text_col), shingle).alias("_fp"), F.monotonically_increasing_id().alias("_row")), "marked")
     slim = kept.select(F.col("_fp").alias("fp"), "_row", id_col)
     of = classes(slim, F.min(mark), distance).select(F.col("fp").alias("_f"), F.col("first.row").alias("first"))
     dropped = slim.join(of, F.col("fp") == F.col("_f")).where("_row <> first").select(F.col("_row").alias("_dropped"))
-    return kept.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti").select(*docs.columns)
+    return only(kept.join(dropped, F.col("_row") == F.col("_dropped"), "left_anti"), docs.columns, moved)

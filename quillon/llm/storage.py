@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -53,6 +54,32 @@ def file_system(uri: str):
     return fs.LocalFileSystem(), uri
 
 
+def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """The table with its own columns of the given working names renamed, and {name: new name} of those.
+
+    Without such a clash the table stays as it is.  ``put_back`` undoes it.
+    """
+    taken, wanted, moved = {c.lower() for c in df.columns}, {n.lower() for n in names}, {}
+    for c in df.columns:
+        if c.lower() in wanted:
+            new = f"_{c}"
+            while new.lower() in taken | wanted:
+                new = f"_{new}"
+            taken.add(new.lower())
+            moved[c] = new
+    return df.withColumnsRenamed(moved), moved
+
+
+def put_back(df: DataFrame, moved: dict[str, str]) -> DataFrame:
+    """Columns that ``set_aside`` renamed under their own names again."""
+    return df.withColumnsRenamed({new: c for c, new in moved.items()})
+
+
+def only(df: DataFrame, columns: list[str], moved: dict[str, str]) -> DataFrame:
+    """The named columns alone, those that were set aside under their own names."""
+    return df.select(*[F.col(moved.get(c, c)).alias(c) for c in columns])
+
+
 def local_schema(df: DataFrame, *dropped: str) -> list[str]:
     """Input columns other than those a result is about to define (names compare case-insensitively)."""
     gone = {d.lower() for d in dropped}

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import local_schema
+from .storage import local_schema, put_back, set_aside
 from .tokenizing import encoder
 
 LEAF = 64
@@ -147,8 +147,9 @@ def attach_edits(docs: DataFrame, edits: DataFrame, *, id_col: str = "doc_id", m
     """
     listed = edits.groupBy(F.col(id_col).alias("_edit_of")).agg(F.array_sort(F.collect_list(F.struct("seq", "pos", "del", "ins"))).alias("_edits"))
     listed = listed.withColumn("_edits", F.when(F.size("_edits") > most, F.raise_error(F.lit(f"over {most} edits of a document"))).otherwise(F.col("_edits")))
-    rows = docs.select(*local_schema(docs, "edits"))
-    return rows.join(listed, rows[id_col] == listed["_edit_of"], "left").drop("_edit_of").withColumn("edits", F.transform("_edits", lambda e: F.struct(e["pos"].cast("int").alias("pos"), e["del"].cast("int").alias("del"), e["ins"].alias("ins")))).drop("_edits")
+    rows, moved = set_aside(docs.select(*local_schema(docs, "edits")), "_edit_of", "_edits")
+    joined = rows.join(listed, F.col(id_col) == F.col("_edit_of"), "left").withColumn("edits", F.transform("_edits", lambda e: F.struct(e["pos"].cast("int").alias("pos"), e["del"].cast("int").alias("del"), e["ins"].alias("ins"))))
+    return put_back(joined.drop("_edit_of", "_edits"), moved)
 
 
 def _pack(values: list[int]) -> bytes:

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import local_schema
+from .storage import local_schema, put_back, set_aside
 
 MOST_LABELLED, MOST_STEMS = 12_000, 2_000
 STEMS, LEAST_DOCS, LEAST_Z = (5, 6, 7), 6, 5.0
@@ -277,5 +277,7 @@ def score(docs: DataFrame, model: Model, *, text_col: str = "text") -> DataFrame
             out.append((model.score(x), round(math.expm1(x[2])), x[1]))
         return pd.DataFrame(out, columns=["score", "harm_clauses", "worst_clause"])
 
+    docs, moved = set_aside(docs, "_score")
     rows = docs.select(*local_schema(docs, "score", "predicted", "harm_clauses", "worst_clause"), of(F.col(text_col)).alias("_score"))
-    return rows.select(*[c for c in rows.columns if c != "_score"], "_score.*").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    out = rows.select(*[c for c in rows.columns if c != "_score"], "_score.*").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return put_back(out, moved)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import local_schema
+from .storage import local_schema, put_back, set_aside
 
 
 class Term(NamedTuple):
@@ -109,7 +109,9 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules: Sequence[Rule]
 
     made = ("host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight", "terms")
     host, path = host_path(F.col(url_col))
+    pages, moved = set_aside(pages, "_hit", "_rule")
     rows = pages.select(*[F.col(c) for c in local_schema(pages, *made) if c != url_col], F.col(url_col), host.alias("host"), path.alias("path"), match(F.col(url_col)).alias("_hit"))
     rows = rows.withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules))
     by_terms = F.when((F.col("_hit.strict_hits") > 0) | (F.col("_hit.soft_weight") >= limit), "block").otherwise("allow")
-    return rows.select(*[c for c in rows.columns if c not in ("_hit", "_rule")], F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", by_terms).alias("verdict"), "_hit.*")
+    out = rows.select(*[c for c in rows.columns if c not in ("_hit", "_rule")], F.col("_rule.rule").alias("rule"), F.coalesce("_rule.verdict", by_terms).alias("verdict"), "_hit.*")
+    return put_back(out, moved)

@@ -473,3 +473,46 @@ def test_registered_query(spark, data, name):
         assert rows == spark.read.parquet(f"{data}/pages.parquet").count()
     else:
         assert rows > 0
+
+
+INTERNAL = ("_source", "_tokens", "_key", "_s", "passes", "cut", "rest", "_range", "_e", "_r", "_base", "_before", "_w", "weight", "block", "_hit", "_rule", "_score", "_measures", "_lang", "symbols_lower", "word_length_upper", "_fp", "_row", "_dropped", "_f", "first", "_edits", "_edit_of", "_leaks", "h", "s", "tie")
+
+
+def test_working_names_in_the_input(spark, docs):
+    """Columns that are called like an operator's working columns come back as they were."""
+    odd = docs.drop(*INTERNAL).withColumns({c: F.lit(f"own {c}") for c in INTERNAL})
+    own = [F.col(c) for c in INTERNAL if c != "block"]
+    as_given = tuple(f"own {c}" for c in INTERNAL if c != "block")
+    n = odd.count()
+    pages = odd.withColumn("url", F.lit("http://x.net/fr/")).withColumn("page_id", F.col("doc_id"))
+    edits = spark.createDataFrame([(3, 0, 1, 1, "x")], "doc_id long, seq int, pos int, del int, ins string")
+    planned = mixing.plan(odd, repeats=1.5)
+    results = {
+        "assess": (quality_rules.assess(odd), n),
+        "keep": (quality_rules.keep(odd), quality_rules.assess(docs).where("kept").count()),
+        "filter_urls": (url_filters.filter_urls(pages), n),
+        "score": (toxicity.score(odd, toxicity.Model({}, [0.0] * 6)), n),
+        "attach_edits": (token_counts.attach_edits(odd, edits), n),
+        "drop_near_duplicates": (simhash.drop_near_duplicates(odd), simhash.drop_near_duplicates(docs).count()),
+        "decontaminate": (decontamination.decontaminate(odd, spark.createDataFrame([(1, "none of the documents holds this item")], "item_id long, text string")), n),
+        "realise": (mixing.realise(odd, planned), mixing.mix(odd, planned).count()),
+        "blocks": (mixing.blocks(mixing.realise(odd, planned), planned, block_tokens=500), mixing.mix(odd, planned).count()),
+    }
+    for name, (got, rows_) in results.items():
+        assert got.count() == rows_, name
+        assert [tuple(r) for r in got.select(*own).distinct().collect()] == [as_given], name
+    for name in ("keep", "drop_near_duplicates", "decontaminate"):
+        assert results[name][0].columns == odd.columns, name
+    mixed = mixing.mix(odd, planned)
+    assert mixed.columns == odd.columns and {tuple(r) for r in mixed.select("epoch", "key", "n_tokens").collect()} == {("own epoch", "own key", "own n_tokens")}
+    assert {tuple(r) for r in results["keep"][0].select("n_words", "kept").collect()} == {("own n_words", "own kept")}
+
+
+def test_mixing_by_a_column_of_the_input(docs):
+    """The measure of tokens may be a column that the mix replaces."""
+    counted = docs.withColumn("n_tokens", F.lit(7).cast("long"))
+    p = mixing.plan(counted, exponent=1.0, tokens=F.col("n_tokens"))
+    got = mixing.realise(counted, p, tokens=F.col("n_tokens"))
+    assert {r["n_tokens"] for r in got.collect()} == {7}
+    sizes = {r["source"]: 7 * r["n"] for r in counted.groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert {r["_source"]: r["tokens"] for r in p.collect()} == sizes
