@@ -17,7 +17,7 @@ ORACLE_SQL = None
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship(spark)
-    return quality_rules.assess(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The flattest mix of the sources, of the input's size, that repeats none more than REPEATS times."""
     ship(spark)
-    return mixing.realise(docs, mixing.plan(docs, repeats=REPEATS)).select(*docs.columns)
+    return mixing.mix(docs, mixing.plan(docs, repeats=REPEATS))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
