@@ -28,10 +28,14 @@ def close_pairs(items: DataFrame, threshold: float, *, column: str = "img") -> D
 def greedy_keep(items: DataFrame, threshold: float, *, column: str = "img") -> DataFrame:
     """(id, kept): a row is kept iff no kept row with a smaller id lies within the threshold.
 
-    Rows without an undecided earlier neighbour are decided in rounds; each round writes its state.
+    Of equal vectors only the first can stay, so one row of each takes part and a large group of copies forms
+    no pairs.  Rows without an undecided earlier neighbour are decided in rounds; each round writes its state.
     """
-    pairs = saved(close_pairs(items, threshold, column=column))
-    state = saved(items.select("id", F.lit(None).cast("boolean").alias("kept")))
+    rows = items.select("id", F.col(column).alias("v")).withColumn("own", F.coalesce(vec.dot("v", "v") >= threshold, F.lit(False)))
+    # a vector that isn't within the threshold of itself (zero, null) has no copies
+    firsts = saved(rows.where("own").groupBy("v").agg(F.min("id").alias("id")).select("id", "v").unionByName(rows.where("not own").select("id", "v")))
+    pairs = saved(close_pairs(firsts, threshold, column="v"))
+    state = saved(firsts.select("id", F.lit(None).cast("boolean").alias("kept")))
     while True:
         known = state.select(F.col("id").alias("i"), F.col("kept").alias("k"))
         seen = pairs.join(known, "i").groupBy("j").agg(F.bool_or(F.coalesce("k", F.lit(False))).alias("hit"), F.bool_or(F.col("k").isNull()).alias("wait"))
@@ -39,7 +43,8 @@ def greedy_keep(items: DataFrame, threshold: float, *, column: str = "img") -> D
         kept = F.when(F.col("kept").isNotNull(), F.col("kept")).when(F.coalesce("hit", F.lit(False)), False).when(~F.coalesce("wait", F.lit(False)), True)
         state = saved(now.select("id", kept.alias("kept")))
         if not state.where("kept is null").limit(1).count():
-            return state
+            decided = state.withColumnRenamed("id", "_id")
+            return items.select("id").join(decided, F.col("id") == F.col("_id"), "left").select("id", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
 def crawl(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:

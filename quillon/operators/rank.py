@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import saved
 
 #: Feature scaling, blend and learning rates.
 SCALE, OFFSET = (2.0, 2.0, 5.0, 1.0), (-0.5, -0.5, 0.0, 0.0)
@@ -117,12 +118,12 @@ def importance(w: Column) -> Column:
 def recommend(likes: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(user_id, id, score, rank): items nearest to the unit mean of a user's likes, without the likes.
 
-    User vectors are one row a user; users meet all items, so give the users of a batch.
+    User vectors are one row a user; users meet all items in blocks, so give the users of a batch.
     """
-    from .retrieve import top_k
+    from .retrieve import meet, top_k
 
     cells = likes.join(items.select("id", "img"), "id").select("user_id", F.posexplode("img").alias("pos", "x")).groupBy("user_id", "pos").agg(F.avg("x").alias("x"))
-    users = cells.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m")).select("user_id", vec.unit("m").alias("uv"))
-    scored = items.select("id", "img").crossJoin(users).withColumn("score", vec.dot("img", "uv"))
+    users = saved(cells.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m")).select("user_id", vec.unit("m").alias("uv")))
+    scored = meet(items.select("id", "img"), users, "uv", key="user_id").withColumn("score", vec.dot("img", "uv"))
     fresh = scored.join(likes.select(F.col("user_id").alias("_u"), F.col("id").alias("_i")), (F.col("user_id") == F.col("_u")) & (F.col("id") == F.col("_i")), "left_anti")
     return top_k(fresh, k, per="user_id").select("user_id", "id", "score", "rank")

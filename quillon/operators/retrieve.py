@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
+from ..session import saved
 
-#: Above this many query values, the query set isn't broadcast but scored in blocks.
+#: At most about this many query values are broadcast or shipped at once; a larger query set goes in blocks.
 QUERY_VALUES = 4_000_000
 
 
@@ -19,9 +20,28 @@ def top_k(scored: DataFrame, k: int, *, by: str = "score", per: str = "qid", tie
     return scored.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def parts(queries: DataFrame, column: str = "qv", *, key: str = "qid", times: int = 1) -> list[DataFrame]:
+    """The stated query set as it is where it holds at most QUERY_VALUES values, else in blocks by a hash of its key.
+
+    ``times``: rows that a query becomes before it is broadcast.
+    """
+    values = queries.agg(F.sum(F.size(column))).first()[0] or 0
+    n = -(-values * times // QUERY_VALUES)
+    return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
+
+
+def meet(items: DataFrame, queries: DataFrame, column: str = "qv", *, key: str = "qid") -> DataFrame:
+    """Every row beside every query of a stated set, of which one block at a time is broadcast."""
+    out = None
+    for part in parts(queries, column, key=key):
+        pairs = items.crossJoin(F.broadcast(part))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out
+
+
 def score_all(queries: DataFrame, items: DataFrame, mode: str = "image", *, exclude_self: bool = False) -> DataFrame:
-    """Every stated query against every item; the query set is small and of known size."""
-    pairs = items.crossJoin(F.broadcast(queries))
+    """Every stated query against every item."""
+    pairs = meet(items, queries)
     if exclude_self:
         pairs = pairs.where("qid <> id")
     return pairs.withColumn("score", vec.mode_score("img", "txt", "qv", mode))
@@ -119,10 +139,17 @@ def probe_cells(queries: DataFrame, centroids: Column, probes: int) -> DataFrame
 
 
 def ivf_search(queries: DataFrame, filed: DataFrame, centroids: Column, k: int, probes: int) -> DataFrame:
-    """Top k among the members of each query's nearest cells, with ``scanned`` rows per query."""
-    pairs = filed.join(F.broadcast(probe_cells(queries, centroids, probes)), "cell").withColumn("score", vec.dot("img", "qv"))
-    scanned = F.count("*").over(Window.partitionBy("qid"))
-    return top_k(pairs.withColumn("scanned", scanned), k)
+    """Top k among the members of each query's nearest cells, with ``scanned`` rows per query.
+
+    Rows scanned are summed over the cells' sizes, so that only each partition's k best rows are shuffled.
+    """
+    out = None
+    for part in parts(queries, times=probes):
+        pairs = filed.join(F.broadcast(probe_cells(part, centroids, probes)), "cell").withColumn("score", vec.dot("img", "qv"))
+        out = pairs if out is None else out.unionByName(pairs)
+    sizes = filed.groupBy("cell").agg(F.count("*").alias("scanned"))
+    scanned = probe_cells(queries, centroids, probes).join(sizes, "cell").groupBy("qid").agg(F.sum("scanned").alias("scanned"))
+    return top_k(out, k).join(scanned, "qid")
 
 
 def adc_tables(q: Column, books: Column, sub: int) -> Column:
@@ -176,7 +203,7 @@ def refine(queries: DataFrame, items: DataFrame, *, k: int = 5, passes: int = 4,
     start = queries.select("qid", vec.lift("qv").alias("q0"))
 
     def ranked(asked: DataFrame) -> DataFrame:
-        pairs = fused.crossJoin(F.broadcast(asked)).where("qid <> id").withColumn("score", vec.dot("v", "q"))
+        pairs = meet(fused, asked, "q").where("qid <> id").withColumn("score", vec.dot("v", "q"))
         hits = top_k(pairs, k)
         got = F.array_sort(F.collect_list(F.struct("rank", "id", "score", "v")))
         rows = hits.groupBy("qid").agg(got.alias("hits"), F.first("q0").alias("q0"), F.first("q").alias("q"))
@@ -186,9 +213,7 @@ def refine(queries: DataFrame, items: DataFrame, *, k: int = 5, passes: int = 4,
         margin = F.when(F.size(s) > 1, F.get(s, F.lit(0)) - mean(F.slice(s, 2, k))).otherwise(F.coalesce(F.get(s, F.lit(0)), F.lit(0.0)))
         return rows.withColumn("ev", ev).withColumn("margin", margin)
 
-    spark = items.sparkSession
-    at = ranked(start.withColumn("q", F.col("q0"))).withColumn("done", F.lit(False))
-    at = spark.createDataFrame(at.collect(), at.schema)  # a stated query set: k hits a query
+    at = saved(ranked(start.withColumn("q", F.col("q0"))).withColumn("done", F.lit(False)))
     ledger = at.select("qid", F.lit(1).alias("pass"), "ev", "margin", F.lit("initial").alias("verdict"))
     for n in range(2, passes + 1):
         top = F.slice("hits", 1, 3)
@@ -201,7 +226,7 @@ def refine(queries: DataFrame, items: DataFrame, *, k: int = 5, passes: int = 4,
         both = both.withColumn("verdict", verdict)
         better = F.col("verdict") == "accepted"
         nxt = both.select("qid", F.when(better, F.col("n_hits")).otherwise(F.col("hits")).alias("hits"), "q0", F.coalesce("n_q", "q").alias("q"), F.when(better, F.col("n_ev")).otherwise(F.col("ev")).alias("ev"), "margin", F.coalesce(~better, F.lit(True)).alias("done"), "verdict", "n_ev", "n_margin")
-        nxt = spark.createDataFrame(nxt.collect(), nxt.schema)
+        nxt = saved(nxt)
         ledger = ledger.unionByName(nxt.where("verdict is not null").select("qid", F.lit(n).alias("pass"), F.col("n_ev").alias("ev"), F.col("n_margin").alias("margin"), "verdict"))
         at = nxt.drop("verdict", "n_ev", "n_margin")
     best = at.select("qid", F.explode("hits").alias("h")).select("qid", "h.rank", "h.id", "h.score")

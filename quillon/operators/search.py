@@ -31,7 +31,7 @@ def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode:
     elif method == "int8" and scales is not None:
         coded = items.withColumn("_i8", retrieve.int8_codes(F.col("img"), scales))
         asked = queries.withColumn("_sq", F.zip_with("qv", scales, lambda x, s: x * s))
-        rough = retrieve.top_k(coded.crossJoin(F.broadcast(asked)).withColumn("score", vec.dot("_i8", "_sq")), 4 * k)
+        rough = retrieve.top_k(retrieve.meet(coded, asked).withColumn("score", vec.dot("_i8", "_sq")), 4 * k)
         hits = retrieve.top_k(rough.drop("rank").withColumn("score", vec.dot("img", "qv")), k)
     else:
         raise ValueError(f"no method {method} with what was given")

@@ -277,3 +277,48 @@ def test_encoder(spark):
     got = encode.encode_texts(d, "t", lambda: encode.stub(8)).collect()
     assert len(got) == 4 and sum(r["text_emb"] is None for r in got) == 1
     assert encode.resolve("stub-64").dim == 64 and encode.resolve("other").kind == "clip"
+
+
+def test_large_query_sets_go_in_blocks(spark, monkeypatch):
+    """Broadcasts hold at most QUERY_VALUES values; blocks give the same rows as one broadcast."""
+    from pyspark.sql import functions as F
+
+    from quillon.operators import rank, search
+
+    x = clustered(120, 8, 6, 0.3, 9)
+    items = spark.createDataFrame([(i, v.tolist(), v[::-1].tolist()) for i, v in enumerate(x)], "id long, img array<double>, txt array<double>")
+    q = items.where("id < 12").select(F.col("id").alias("qid"), F.col("img").alias("qv"))
+    cells = [x[i].tolist() for i in (0, 40, 80)]
+    centroids = F.array(*[F.array(*map(F.lit, v)) for v in cells])
+    filed = retrieve.assign_cells(items, centroids)
+    likes = spark.createDataFrame([(u, (7 * u + k) % 120) for u in range(9) for k in range(3)], "user_id long, id long")
+    scales = F.array(*[F.lit(0.01)] * 8)
+
+    def everything():
+        best, ledger = retrieve.refine(q, items)
+        results = (retrieve.top_k(retrieve.score_all(q, items), 5), retrieve.ivf_search(q, filed, centroids, 5, 2), search.search(q, items, method="int8", k=5, scales=scales), rank.recommend(likes, items, 4), best, ledger)
+        return [sorted(str([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.collect()) for d in results]
+
+    assert len(retrieve.parts(q)) == 1
+    whole = everything()
+    scanned = {r["qid"]: r["scanned"] for r in retrieve.ivf_search(q, filed, centroids, 5, 2).collect()}
+    sizes = {r["cell"]: r["count"] for r in filed.groupBy("cell").count().collect()}
+    near = dict.fromkeys(range(12), 0)
+    for r in retrieve.probe_cells(q, centroids, 2).collect():
+        near[r["qid"]] += sizes.get(r["cell"], 0)
+    assert scanned == near
+    monkeypatch.setattr(retrieve, "QUERY_VALUES", 24)
+    blocks = retrieve.parts(q)
+    assert len(blocks) == 4 and sum(b.count() for b in blocks) == 12
+    assert everything() == whole
+
+
+def test_greedy_dedup_of_copies(spark):
+    """A group of copies forms no pairs; zero and null vectors have no copies."""
+    v, w = [1.0, 0.0], [0.96, 0.28]
+    rows = [(i, v) for i in range(5, 300)] + [(1, w), (2, w), (400, [0.0, 1.0]), (401, [0.0, 0.0]), (402, [0.0, 0.0]), (403, None), (404, None)]
+    d = spark.createDataFrame(rows, "id long, img array<double>")
+    kept = lambda t: sorted(r["id"] for r in dedupe.greedy_keep(d, t).where("kept").collect())
+    assert kept(0.99) == [1, 5, 400, 401, 402, 403, 404]
+    assert kept(0.9) == [1, 400, 401, 402, 403, 404]
+    assert dedupe.greedy_keep(d, 0.9).count() == len(rows) and dedupe.greedy_keep(d.limit(0), 0.9).count() == 0
