@@ -9,6 +9,7 @@ from ..operators import calibrate as cal
 from ..operators import retrieve
 from ..session import table
 from ..sources.gallery import gallery, queries
+from ..sources.store import numbered
 from .registry import GALLERY, LOO, query
 
 ALPHAS = [0.4, 0.3, 0.2, 0.1, 0.05]
@@ -148,13 +149,12 @@ def drift_gate(spark, sf):
 STREAM = (("t0", 0.0), ("t1", 0.15), ("t2", 0.35), ("t3", 0.6))
 
 
-@query("""WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, value FROM events WHERE event_id < 300), c AS (SELECT count(*) AS n FROM s), f AS (SELECT * FROM (VALUES ('t0', 0.0::DOUBLE), ('t1', 0.15::DOUBLE), ('t2', 0.35::DOUBLE), ('t3', 0.6::DOUBLE)) t(window_id, frac)),
+@query("""WITH s AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS seq, value FROM events), c AS (SELECT count(*) AS n FROM s), f AS (SELECT * FROM (VALUES ('t0', 0.0::DOUBLE), ('t1', 0.15::DOUBLE), ('t2', 0.35::DOUBLE), ('t3', 0.6::DOUBLE)) t(window_id, frac)),
 k AS (SELECT window_id, n, CAST(floor(frac * n + 0.5) AS BIGINT) AS k FROM f, c), h AS (SELECT window_id, (i * n) // k AS seq FROM (SELECT window_id, n, k, unnest(range(0, k)) AS i FROM k))
 SELECT k.window_id, count(*) AS n, count(h.seq) AS hit, round(sum(CASE WHEN h.seq IS NOT NULL THEN greatest(0, value - 0.2) ELSE value END), 4) AS total FROM k CROSS JOIN s LEFT JOIN h ON h.window_id = k.window_id AND h.seq = s.seq GROUP BY 1""")
 def contaminated_windows(spark, sf):
-    """The simulated stream: growing shares of a sample lowered by 0.2."""
-    e = table(spark, sf, "events").where("event_id < 300")
-    s = e.select((F.row_number().over(Window.orderBy("event_id")) - 1).alias("seq"), "value", F.col("value").alias("before"))
+    """The simulated stream: growing shares of the values lowered by 0.2."""
+    s = numbered(table(spark, sf, "events").select("event_id", "value", F.col("value").alias("before")), ["event_id"], name="seq")
     out = None
     for name, f in STREAM:
         part = cal.contaminate(s, f).agg(F.count("*").alias("n"), F.count_if(F.col("value") != F.col("before")).alias("hit"), F.round(F.sum("value"), 4).alias("total")).select(F.lit(name).alias("window_id"), "n", "hit", "total")

@@ -158,11 +158,11 @@ def bfs_crawl(spark, sf):
     return reached.select(F.substring("node", 2, 30).cast("long").alias("node"), (F.col("level") / 2).cast("int").alias("level"))
 
 
-@query(f"""WITH {GALLERY}, s AS (SELECT * FROM gallery WHERE id < 60), n AS (SELECT * FROM gallery WHERE id >= 50 AND id < 90) SELECT id, path FROM (SELECT id, path FROM s UNION ALL SELECT id, path FROM n)""")
+@query(f"""WITH {GALLERY}, s AS (SELECT * FROM gallery WHERE label <= 6), n AS (SELECT * FROM gallery WHERE label >= 4) SELECT id, path FROM (SELECT id, path FROM s UNION ALL SELECT id, path FROM n)""")
 def merge_seed(spark, sf):
     """Seed items and fresh ones together, repeats kept."""
     g = gallery(spark, sf)
-    return g.where("id < 60").unionByName(g.where("id >= 50 and id < 90").drop("label"), allowMissingColumns=True).select("id", "path")
+    return g.where("label <= 6").unionByName(g.where("label >= 4").drop("label"), allowMissingColumns=True).select("id", "path")
 
 
 AGENT_SQL = f"""WITH {GALLERY}, t AS (SELECT id, k, list_transform(range(1, 65), lambda i: img[i] + k * 0.8 * txt[i]) AS v FROM gallery, (SELECT unnest(range(0, 4)) AS k)),
@@ -213,7 +213,7 @@ def stream_votes(spark, sf):
 
 @query(f"""WITH {GALLERY}, b AS (SELECT a.img AS c1, b.img AS c2 FROM gallery a, gallery b WHERE a.id = 0 AND b.id = 1), d AS (SELECT id, path, tags, img, list_dot_product(img, c1) AS x, list_dot_product(img, c2) AS y FROM gallery, b),
 e AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM d)
-SELECT id, lpad(CAST(id AS VARCHAR), 3, '0') || '_' || path AS file, 'a photo of ' || array_to_string(tags, ', ') AS caption, round((x - x0) / (x1 - x0), 4) AS map_x, round((y - y0) / (y1 - y0), 4) AS map_y, round(img[1], 5) AS first FROM d, e WHERE id < 100""")
+SELECT id, printf('%03d', id) || '_' || path AS file, 'a photo of ' || array_to_string(tags, ', ') AS caption, round((x - x0) / (x1 - x0), 4) AS map_x, round((y - y0) / (y1 - y0), 4) AS map_y, round(img[1], 5) AS first FROM d, e""")
 def export_items(spark, sf):
     """Export rows: numbered names, captions, a two-dimensional map on a stored basis, rounded vectors."""
     g = gallery(spark, sf)
@@ -221,5 +221,5 @@ def export_items(spark, sf):
     d = g.crossJoin(F.broadcast(basis)).select("id", "path", "tags", "img", vec.dot("img", "c1").alias("x"), vec.dot("img", "c2").alias("y"))
     ends = d.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))])
     at = lambda c: F.round((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")), 4)
-    rows = d.crossJoin(F.broadcast(ends)).where("id < 100")
-    return rows.select("id", F.concat(F.lpad(F.col("id").cast("string"), 3, "0"), F.lit("_"), "path").alias("file"), text.caption(F.col("tags")).alias("caption"), at("x").alias("map_x"), at("y").alias("map_y"), F.round(F.get("img", F.lit(0)), 5).alias("first"))
+    rows = d.crossJoin(F.broadcast(ends))
+    return rows.select("id", F.concat(F.format_string("%03d_", "id"), "path").alias("file"), text.caption(F.col("tags")).alias("caption"), at("x").alias("map_x"), at("y").alias("map_y"), F.round(F.get("img", F.lit(0)), 5).alias("first"))

@@ -28,10 +28,10 @@ def keyword_search(spark, sf):
     return retrieve.top_k(s, 8, per="q").select("q", "id", "score", "rank")
 
 
-@query(f"""WITH {GALLERY}, {_ASKED_SQL} SELECT q, id, CAST(len(list_filter(tags, lambda t: len(list_filter(ws, lambda x: contains(t, x) OR contains(x, t))) > 0)) AS INTEGER) AS overlap FROM w, gallery WHERE id < 50""")
+@query(f"""WITH {GALLERY}, {_ASKED_SQL} SELECT q, id, CAST(len(list_filter(tags, lambda t: len(list_filter(ws, lambda x: contains(t, x) OR contains(x, t))) > 0)) AS INTEGER) AS overlap FROM w, gallery""")
 def live_overlap(spark, sf):
     asked = spark.createDataFrame([(a,) for a in ASKED], "q string").withColumn("ws", text.words(F.col("q")))
-    return gallery(spark, sf).where("id < 50").crossJoin(F.broadcast(asked)).select("q", "id", text.overlap_live(F.col("ws"), F.col("tags")).alias("overlap"))
+    return gallery(spark, sf).crossJoin(F.broadcast(asked)).select("q", "id", text.overlap_live(F.col("ws"), F.col("tags")).alias("overlap"))
 
 
 @query("WITH v AS (SELECT unnest([" + ", ".join(f"'{w}'" for w in text.VOCABULARY) + "]) AS tag), t AS (SELECT unnest([" + ", ".join(f"'{x}'" for x in text.TEMPLATE_POOL) + "]) AS template) SELECT tag, template, replace(template, '{tag}', tag) AS prompt FROM v, t")
@@ -108,18 +108,19 @@ def token_normalise(spark, sf):
     return d.select("doc_id", F.size("ws").cast("long").alias("n_words"), F.size(F.array_distinct("ws")).cast("long").alias("n_distinct"))
 
 
-@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ceil(value) AS up, floor(value) AS down, round_even(value, 2) AS even2, least(greatest(value, 10), 50) AS clipped, round(ln(value + 1), 6) AS ln1, round(sqrt(value), 6) AS root, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(bit_count(event_id) AS INTEGER) AS ones FROM events WHERE event_id < 2000""")
+@query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ceil(value) AS up, floor(value) AS down, round_even(value, 2) AS even2, least(greatest(value, 10), 50) AS clipped, round(ln(value + 1), 6) AS ln1, round(sqrt(value), 6) AS root, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS iso, CAST(bit_count(event_id) AS INTEGER) AS ones FROM events""")
 def scalar_functions(spark, sf):
-    e = table(spark, sf, "events").where("event_id < 2000")
+    e = table(spark, sf, "events")
     v = F.col("value")
     return e.select("event_id", F.from_json("props", "k long")["k"].alias("k"), F.ceil(v).cast("double").alias("up"), F.floor(v).cast("double").alias("down"), F.bround(v, 2).alias("even2"), F.least(F.greatest(v, F.lit(10.0)), F.lit(50.0)).alias("clipped"), F.round(F.log(v + 1), 6).alias("ln1"), F.round(F.sqrt(v), 6).alias("root"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("iso"), F.bit_count("event_id").alias("ones"))
 
 
-@query(f"""WITH {GALLERY}, o AS (SELECT a.id AS i, b.id AS j, list_sort(list_intersect(a.tags, b.tags)) AS shared, list_sort(list_distinct(list_concat(a.tags, b.tags))) AS merged FROM gallery a, gallery b WHERE a.id < 15 AND b.id < 15)
+@query(f"""WITH {GALLERY}, o AS (SELECT a.id AS i, b.id AS j, list_sort(list_intersect(a.tags, b.tags)) AS shared, list_sort(list_distinct(list_concat(a.tags, b.tags))) AS merged FROM gallery a, gallery b WHERE a.id < 15)
 SELECT i, j, array_to_string(shared, ' ') AS shared, array_to_string(merged, ' ') AS merged, len(shared) = 2 AS all_shared, len(shared) > 0 AS any_shared FROM o""")
 def tag_sets(spark, sf):
-    few = gallery(spark, sf).where("id < 15")
-    o = few.select(F.col("id").alias("i"), F.col("tags").alias("a")).crossJoin(F.broadcast(few.select(F.col("id").alias("j"), F.col("tags").alias("b"))))
+    """Tags of fifteen asked items against those of every item."""
+    g = gallery(spark, sf)
+    o = g.select(F.col("id").alias("j"), F.col("tags").alias("b")).crossJoin(F.broadcast(g.where("id < 15").select(F.col("id").alias("i"), F.col("tags").alias("a"))))
     both = F.array_intersect("a", "b")
     return o.select("i", "j", F.array_join(F.array_sort(both), " ").alias("shared"), F.array_join(F.array_sort(F.array_union("a", "b")), " ").alias("merged"), F.forall("a", lambda t: F.array_contains(F.col("b"), t)).alias("all_shared"), F.exists("a", lambda t: F.array_contains(F.col("b"), t)).alias("any_shared"))
 

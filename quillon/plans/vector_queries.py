@@ -52,18 +52,19 @@ def normalise(spark, sf):
     return rows.select("id", F.round(vec.norm(vec.unit("v")), 6).alias("length"))
 
 
-@query(f"""WITH {GALLERY} SELECT a.id AS i, b.id AS j, round(list_dot_product(a.img, b.img), 6) AS image_image, round(list_dot_product(a.img, b.txt), 6) AS image_caption FROM gallery a, gallery b WHERE a.id < 30 AND b.id < 30""")
+@query(f"""WITH {GALLERY} SELECT a.id AS i, b.id AS j, round(list_dot_product(a.img, b.img), 6) AS image_image, round(list_dot_product(a.img, b.txt), 6) AS image_caption FROM gallery a, gallery b WHERE a.id < 30""")
 def similarity_matrix(spark, sf):
-    """The heat map of a stated block of items: both matrices, image by image and image by caption."""
-    few = gallery(spark, sf).where("id < 30")
-    a, b = few.select(F.col("id").alias("i"), F.col("img").alias("a")), few.select(F.col("id").alias("j"), "img", "txt")
-    return a.crossJoin(F.broadcast(b)).select("i", "j", F.round(vec.dot("a", "img"), 6).alias("image_image"), F.round(vec.dot("a", "txt"), 6).alias("image_caption"))
+    """Thirty asked items against every item: both matrices, image by image and image by caption."""
+    g = gallery(spark, sf)
+    a, b = g.where("id < 30").select(F.col("id").alias("i"), F.col("img").alias("a")), g.select(F.col("id").alias("j"), "img", "txt")
+    return b.crossJoin(F.broadcast(a)).select("i", "j", F.round(vec.dot("a", "img"), 6).alias("image_image"), F.round(vec.dot("a", "txt"), 6).alias("image_caption"))
 
 
 @query(f"""WITH {GALLERY}, m AS (SELECT round(list_dot_product(a.img, b.img), 6) AS s, a.id AS i, b.id AS j FROM gallery a, gallery b WHERE a.id < 12 AND b.id < 12),
 l AS (SELECT i, j, s, min(s) OVER () AS lo, max(s) OVER () AS hi FROM m)
 SELECT i, string_agg(substr(' .:-=+*#%@', CAST(floor((s - lo) / (hi - lo) * 9) AS INTEGER) + 1, 1), '' ORDER BY j) AS line FROM l GROUP BY i""")
 def ascii_heatmap(spark, sf):
+    """A picture of the first twelve items' similarities; its size is the feature."""
     few = gallery(spark, sf).where("id < 12")
     m = few.select(F.col("id").alias("i"), F.col("img").alias("a")).crossJoin(F.broadcast(few.select(F.col("id").alias("j"), "img"))).select("i", "j", F.round(vec.dot("a", "img"), 6).alias("s"))
     ends = m.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
@@ -159,13 +160,13 @@ def softmax_shares(spark, sf):
     return p.groupBy("qid", F.when(F.col("r") <= 5, F.col("id").cast("string")).otherwise("others").alias("item")).agg(F.round(F.sum("p"), 6).alias("p"), F.count("*").alias("n"))
 
 
-@query(f"""WITH {PAIRS}, n AS (SELECT img AS neutral FROM gallery WHERE id = 25), t AS (SELECT pairs.*, list_dot_product(qv, neutral) AS c0 FROM pairs, n WHERE id BETWEEN 30 AND 39)
+@query(f"""WITH {PAIRS}, n AS (SELECT img AS neutral FROM gallery WHERE id = 25), t AS (SELECT pairs.*, list_dot_product(qv, neutral) AS c0 FROM pairs, n)
 SELECT qid, id, round(1 / (1 + exp(-10 * (cos_image - c0))), 6) AS p_neutral, round(1 / (1 + exp(-(10 * cos_image - 1.5))), 6) AS p_bias FROM t""")
 def label_probabilities(spark, sf):
     """Sigmoid of a label against a neutral prompt, and with scale and bias."""
     items = gallery(spark, sf)
     neutral = items.where("id = 25").select(F.col("img").alias("neutral"))
-    s = retrieve.score_all(queries(items), items.where("id between 30 and 39")).crossJoin(F.broadcast(neutral))
+    s = retrieve.score_all(queries(items), items).crossJoin(F.broadcast(neutral))
     return s.select("qid", "id", F.round(1 / (1 + F.exp(-10 * (F.col("score") - vec.dot("qv", "neutral")))), 6).alias("p_neutral"), F.round(1 / (1 + F.exp(-(10 * F.col("score") - 1.5))), 6).alias("p_bias"))
 
 

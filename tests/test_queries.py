@@ -47,7 +47,7 @@ def test_plans(spark, data):
     plan = lambda n: catalogue.QUERIES[n](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan("exact_topk") and "CartesianProduct" not in plan("exact_topk")
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan("content_dedup")
-    assert "PushedFilters: [IsNotNull(event_id), LessThan(event_id,2000)]" in plan("scalar_functions")
+    assert "PushedFilters: [IsNotNull(lang), EqualTo(lang,en)]" in plan("token_normalise")
 
 
 def test_entry(spark):
