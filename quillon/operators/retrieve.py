@@ -64,7 +64,7 @@ def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str =
             import pyarrow as pa
 
             best_s, best_i = None, None
-            for b in batches:
+            for b in slices(batches, len(ids)):
                 x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
                 own = np.asarray(b.column(0))
                 s, i = matrix @ x.T, np.broadcast_to(own, (len(ids), len(own)))
@@ -98,7 +98,7 @@ def count_above(queries: DataFrame, items: DataFrame, *, column: str = "img") ->
             import pyarrow as pa
 
             total = np.zeros(len(ids), np.int64)
-            for b in batches:
+            for b in slices(batches, len(ids)):
                 x, own = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), np.asarray(b.column(0))[None, :]
                 gap = matrix @ x.T - least
                 total += (((gap > 1e-12) | ((np.abs(gap) <= 1e-12) & (own < hit))) & (own != ids[:, None]) & (own != hit)).sum(axis=1)
@@ -112,6 +112,62 @@ def count_above(queries: DataFrame, items: DataFrame, *, column: str = "img") ->
     return out.groupBy("qid").agg(F.sum("n").alias("above"))
 
 
+def best_sharing(queries: DataFrame, items: DataFrame, *, column: str = "img") -> DataFrame:
+    """(qid, best, best_id): each query's largest product with another item that shares one of its tags (``qtags``).
+
+    Scores within 1e-12 are ties, which the smaller id wins.  Queries without such an item drop out.  By dense products like exact_blocks, so no pair becomes a row and a
+    tag that a third of the items hold costs no more than others.
+    """
+    import numpy as np
+
+    def search(rows: list) -> DataFrame:
+        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["qv"] for r in rows])
+        asked: dict[str, list[int]] = {}
+        for n, r in enumerate(rows):
+            for t in set(r["qtags"] or ()):
+                asked.setdefault(t, []).append(n)
+
+        def run(batches) -> Iterator:
+            import pyarrow as pa
+
+            best, best_id, none = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max), np.iinfo(np.int64).max
+            for b in slices(batches, len(ids)):
+                held: dict[str, list[int]] = {}
+                for n, tags in enumerate(b.column(2).to_pylist()):
+                    for t in set(tags or ()) & asked.keys():
+                        held.setdefault(t, []).append(n)
+                shared = np.zeros((len(ids), b.num_rows), bool)
+                for t, at in held.items():
+                    shared[np.ix_(asked[t], at)] = True
+                own = np.asarray(b.column(0))[None, :]
+                shared &= ids[:, None] != own
+                x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
+                s = np.where(shared, matrix @ x.T, -np.inf)
+                most = s.max(axis=1)
+                first = np.where(shared & (s >= most[:, None] - 1e-12), own, none).min(axis=1)
+                best_id = np.where(most > best + 1e-12, first, np.where(most >= best - 1e-12, np.minimum(first, best_id), best_id))
+                best = np.maximum(best, most)
+            found = best > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (ids, best, best_id)], names=["qid", "best", "best_id"])
+
+        return items.select("id", column, "tags").mapInArrow(run, "qid long, best double, best_id long")
+
+    out = None
+    for rows in blocks(queries.select("qid", "qv", "qtags")):
+        out = search(rows) if out is None else out.unionByName(search(rows))
+    return out.groupBy("qid").agg(F.max("best").alias("best"), F.max_by("best_id", F.struct(F.round("best", 11), -F.col("best_id"))).alias("best_id"))
+
+
+def slices(batches: Iterator, n_queries: int) -> Iterator:
+    """Batches cut so that their products with a block of queries hold at most QUERY_VALUES values; none without queries."""
+    if not n_queries:
+        return
+    step = max(1, QUERY_VALUES // n_queries)
+    for b in batches:
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def blocks(queries: DataFrame) -> Iterator[list]:
     """The rows of a stated query set in lists of about QUERY_VALUES values; at least one list."""
     block, width, given = [], 0, False

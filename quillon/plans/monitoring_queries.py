@@ -18,13 +18,14 @@ ALPHA_SQL = "al AS (SELECT unnest([0.4, 0.3, 0.2, 0.1, 0.05])::DOUBLE AS alpha)"
 WINDOWS_SQL = """ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'), live AS (SELECT strftime(ts, '%Y-%m-%d') AS window_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-11')"""
 
 
-def loo_scores(spark, sf):
-    """(qid, score): one minus the best cosine among other items that share a tag; others drop out.
+def best_of_tags(items):
+    """(qid, best, best_id): each item's nearest other item that shares a tag."""
+    return retrieve.best_sharing(items.select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags")), items)
 
-    Pairs come from an equi-join on tags, so items without a common tag never meet.
-    """
-    items = gallery(spark, sf)
-    return _tag_pairs(items).groupBy("qid").agg((1 - F.max("cos")).alias("score"))
+
+def loo_scores(spark, sf):
+    """(qid, score): one minus the best cosine among other items that share a tag; others drop out."""
+    return best_of_tags(gallery(spark, sf)).select("qid", (1 - F.col("best")).alias("score"))
 
 
 def _tag_pairs(items):
@@ -92,7 +93,7 @@ def quality_signal(spark, sf):
 def item_quality(spark, sf):
     """Each item's best same-tag cosine (0 if it has none), split at a bar."""
     items = gallery(spark, sf)
-    best = _tag_pairs(items).groupBy("qid").agg(F.max("cos").alias("q"))
+    best = best_of_tags(items).select("qid", F.col("best").alias("q"))
     q = F.coalesce("q", F.lit(0.0))
     return items.select("id").join(best, F.col("id") == F.col("qid"), "left").select("id", F.round(q, 6).alias("quality"), (q >= 0.3).alias("positive"))
 

@@ -218,7 +218,7 @@ def retrieval_metrics(spark, sf):
     Precision needs five hits a query and the reciprocal rank only the best relevant item and how many
     items stand before it, so no ranking of all pairs is made.
     """
-    from .monitoring_queries import _tag_pairs
+    from .monitoring_queries import best_of_tags
 
     items = gallery(spark, sf)
     everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
@@ -227,7 +227,7 @@ def retrieval_metrics(spark, sf):
     top = retrieve.top_k(top, 5).join(tags, "qid").join(items.select("id", "tags"), "id").withColumn("rel", F.arrays_overlap("tags", "qtags"))
     p = lambda k: F.count_if(F.col("rel") & (F.col("rank") <= k)) / k
     hits = top.groupBy("qid").agg(p(1).alias("p1"), p(3).alias("p3"), p(5).alias("p5"))
-    best = _tag_pairs(items).groupBy("qid").agg(F.max("cos").alias("hit_score"), F.max_by("id", F.struct("cos", -F.col("id"))).alias("hit_id"))
+    best = best_of_tags(items).select("qid", F.col("best").alias("hit_score"), F.col("best_id").alias("hit_id"))
     above = retrieve.count_above(everyone.join(best, "qid"), items)
     m = hits.join(above, "qid", "left").withColumn("rr", F.coalesce(1 / (F.col("above") + 1), F.lit(0.0)))
     return m.agg(*[F.round(F.avg(a), 6).alias(b) for a, b in (("p1", "p_at_1"), ("p3", "p_at_3"), ("p5", "p_at_5"), ("rr", "mrr"))])

@@ -322,3 +322,23 @@ def test_greedy_dedup_of_copies(spark):
     assert kept(0.99) == [1, 5, 400, 401, 402, 403, 404]
     assert kept(0.9) == [1, 400, 401, 402, 403, 404]
     assert dedupe.greedy_keep(d, 0.9).count() == len(rows) and dedupe.greedy_keep(d.limit(0), 0.9).count() == 0
+
+
+def test_best_of_a_shared_tag(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    x = clustered(90, 8, 5, 0.4, 4)
+    x[1], x[61], x[31] = x[2], x[2], x[2]  # ties
+    tags = [["all"] * 2 + [f"t{i % 7}"] if i % 3 else [f"t{i % 7}", "odd"] if i % 2 else None if i % 4 else ["alone" + str(i)] for i in range(90)]
+    items = spark.createDataFrame([(i, v.tolist(), t) for i, (v, t) in enumerate(zip(x, tags, strict=True))], "id long, img array<double>, tags array<string>").repartition(3)
+    asked = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
+    want = {}
+    for i in range(90):
+        near = [(-round(float(x[i] @ x[j]), 9), j) for j in range(90) if j != i and set(tags[i] or ()) & set(tags[j] or ())]
+        if near:
+            want[i] = min(near)
+    assert 0 < len(want) < 90
+    for most in (4_000_000, 300):
+        monkeypatch.setattr(retrieve, "QUERY_VALUES", most)
+        assert {r["qid"]: (-round(r["best"], 9), r["best_id"]) for r in retrieve.best_sharing(asked, items).collect()} == want
+    assert retrieve.best_sharing(asked.limit(0), items).count() == 0 and retrieve.best_sharing(asked, items.limit(0)).count() == 0
