@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillon.llm import decontamination, mixing, quality_rules, simhash, token_records
+from quillon.llm import decontamination, mixing, quality_rules, similar, simhash, token_records
 from quillon.llm.queries import REPEATS, VOCABULARY
 from quillon.llm.storage import store
 from quillon.llm.tokenizing import vocabulary_path
@@ -26,6 +26,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.drop_near_duplicates(docs)
 
 
+def similar_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group whose sets of five-word shingles are similar at 0.8."""
+    ship(spark)
+    return similar.drop_similar(docs)
+
+
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
     ship(spark)
@@ -46,12 +52,19 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("SimHash near-dedup", near_dedup), ("benchmark decontamination", decontaminate), ("mixing to target weights", mix), ("token records", tokens)]
 
+#: The same with near-dedup by similarity: ``pipeline`` keeps op9's contract, which its test and figures are made for.
+SIMILAR_STAGES = [("similarity near-dedup", similar_dedup) if stage is near_dedup else (name, stage) for name, stage in STAGES]
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+
+def run(spark: SparkSession, sf_dir: str, stages: list | None = None) -> DataFrame:
     """All stages over documents; each stage's rows are written as Parquet and reread as the next one's."""
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
+    docs, stages = table(spark, sf_dir, "documents"), stages or STAGES
+    for i, (_, stage) in enumerate(stages):
         docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
+        if i < len(stages) - 1:
             docs = store(docs, "stage")
     return docs
+
+
+def run_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run(spark, sf_dir, SIMILAR_STAGES)
