@@ -26,6 +26,11 @@ def queries(items: DataFrame, n: int = 20) -> DataFrame:
     return items.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
 
 
+def every_twentieth(items: DataFrame) -> DataFrame:
+    """(qid, qv, qtags): every item whose id is divisible by 20, a share of the table; to be broadcast in blocks only."""
+    return items.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
+
+
 def likes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(user_id, id): items a user bought or clicked."""
     n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
