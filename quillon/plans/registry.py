@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,3 +29,12 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+def everywhere(f, bound: tuple[str, str], **asked) -> None:
+    """Register a query that states a fixed set once more, as NAME_all, over its whole set; its SQL is the same but for the bound."""
+    sql = ORACLES[f.__name__]
+    if bound[0] not in sql:
+        raise ValueError(f"{f.__name__}: no {bound[0]!r} in its SQL")
+    QUERIES[f"{f.__name__}_all"] = functools.wraps(f)(functools.partial(f, **asked))
+    ORACLES[f"{f.__name__}_all"] = sql.replace(*bound)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import vec
 from ..operators import dedupe, index, rank, retrieve, search
 from ..session import table
-from ..sources.gallery import gallery, likes, queries
-from .registry import GALLERY, LOO, PAIRS, query
+from ..sources.gallery import every_twentieth, gallery, likes, queries
+from .registry import GALLERY, LOO, PAIRS, everywhere, query
 
 SUB, KS, PROBES = 8, 16, 4
 #: Fixed models of the oracle-checked queries: sixteen stored vectors as centroids and as code words.
@@ -120,19 +120,22 @@ i8 AS (SELECT id, list_transform(range(1, 65), lambda i: round_even(img[i] / s[i
 x AS (SELECT qid, i8.id, list_dot_product(c, list_transform(range(1, 65), lambda i: s[i] * qv[i])) AS score, cos_image FROM pairs JOIN i8 USING (id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS true_rank FROM x)
 SELECT qid, count(*) FILTER (rank <= 10 AND true_rank <= 10) / 10.0::DOUBLE AS recall, round(max(score), 6) AS best FROM r GROUP BY qid""")
-def int8_search(spark, sf):
+def int8_search(spark, sf, ask=queries):
     """Per-dimension int8 codes, the scales folded into the query; recall of the top ten against exact."""
     items = gallery(spark, sf)
     peak = items.select(F.posexplode("img").alias("pos", "x")).groupBy("pos").agg(F.max(F.abs("x")).alias("m"))
     scales = peak.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m") / 127).alias("s")))), lambda s: s["s"]).alias("scales"))
     coded = items.crossJoin(F.broadcast(scales)).select("id", "img", retrieve.int8_codes(F.col("img"), F.col("scales")).alias("i8"))
-    asked = queries(items).crossJoin(F.broadcast(scales)).select("qid", "qv", F.zip_with("scales", "qv", lambda s, x: s * x).alias("sq"))
-    s = coded.crossJoin(F.broadcast(asked)).select("qid", "id", vec.dot("i8", "sq").alias("score"), vec.dot("img", "qv").alias("cos"))
+    asked = ask(items).crossJoin(F.broadcast(scales)).select("qid", "qv", F.zip_with("scales", "qv", lambda s, x: s * x).alias("sq"))
+    s = retrieve.meet(coded, asked).select("qid", "id", vec.dot("i8", "sq").alias("score"), vec.dot("img", "qv").alias("cos"))
     w = Window.partitionBy("qid")
     r = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("score"), "id"))).withColumn("true_rank", F.row_number().over(w.orderBy(F.desc("cos"), "id")))
     return r.groupBy("qid").agg((F.count_if((F.col("rank") <= 10) & (F.col("true_rank") <= 10)) / 10).alias("recall"), F.round(F.max("score"), 6).alias("best"))
 
 
+everywhere(int8_search, ("id < 20", "id % 20 = 0"), ask=every_twentieth)
+
+
 @query(f"""WITH {GALLERY}, s AS (SELECT max(list_max(list_transform(img, lambda x: abs(x)))) / 127 AS s FROM gallery), d AS (SELECT id, img, list_transform(img, lambda x: round_even(x / s, 0)) AS c FROM gallery, s),
 p AS (SELECT a.id AS qid, b.id, list_dot_product(a.img, b.img) AS x, list_dot_product(a.c, b.c) AS y FROM d a JOIN d b ON a.id <> b.id WHERE a.id < 100),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x DESC, id) AS rx, row_number() OVER (PARTITION BY qid ORDER BY y DESC, id) AS ry FROM p),
@@ -284,50 +287,59 @@ c AS (SELECT user_id, p, avg(img[p]) AS x FROM l JOIN gallery USING (id), (SELEC
 s AS (SELECT user_id, id, list_dot_product(img, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v)))) AS score FROM u, gallery WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.user_id = u.user_id AND l.id = gallery.id)),
 r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 SELECT user_id, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
-def recommend(spark, sf):
+def recommend(spark, sf, users="user_id < 25"):
     """Five items nearest to the mean of a user's likes, for the users of one batch."""
-    out = rank.recommend(likes(spark, sf).where("user_id < 25"), gallery(spark, sf), 5)
+    out = rank.recommend(likes(spark, sf).where(users), gallery(spark, sf), 5)
     return out.select("user_id", "id", "rank", F.round("score", 6).alias("score"))
 
 
+everywhere(recommend, (" AND user_id < 25", ""), users="true")
+
+
 CAND_SQL = f"""WITH {GALLERY}, c AS (SELECT a.id AS qid, b.id, list_dot_product(a.img, b.img) AS cos_image, list_dot_product(a.txt, b.txt) AS cos_text, len(list_intersect(a.tags, b.tags)) AS tag_overlap FROM gallery a JOIN gallery b ON a.id <> b.id WHERE a.id < 20),
 f AS (SELECT *, 1.0::DOUBLE / row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS rank_prior FROM c)
 """
 
 
-def _candidates(spark, sf):
+def _candidates(spark, sf, asked="id < 20"):
     items = gallery(spark, sf)
-    asked = items.where("id < 20").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
-    return rank.candidates(items.crossJoin(F.broadcast(asked)).where("qid <> id"))
+    asked = items.where(asked).select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
+    return rank.candidates(retrieve.meet(items, asked).where("qid <> id"))
 
 
 @query(CAND_SQL + """, s AS (SELECT *, 0.5 * (cos_image + cos_image * 6 * tag_overlap) + 0.5 * cos_text AS dcn FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dcn, 9) DESC, id) AS rank FROM s)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(dcn, 6) AS dcn_score FROM r WHERE rank <= 10""")
-def cross_rerank(spark, sf):
+def cross_rerank(spark, sf, asked="id < 20"):
     """Feature-cross re-ranking with one hand-set cross: image cosine by tag overlap."""
-    c = _candidates(spark, sf)
+    c = _candidates(spark, sf, asked)
     s = c.withColumn("dcn_score", rank.dcn_score(rank.features(), rank.hand_set(4, 2, 0, 0, 2, 6.0))).withColumn("by", F.round("dcn_score", 9))
     return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("dcn_score", 6).alias("dcn_score"))
 
 
+everywhere(cross_rerank, ("a.id < 20", "a.id % 20 = 0"), asked="id % 20 = 0")
+
+
 @query(CAND_SQL + """, u AS (SELECT qid, avg(cos_image / 2 - 0.5) AS x1, avg(cos_text / 2 - 0.5) AS x2, avg(tag_overlap / 5.0::DOUBLE) AS x3, avg(rank_prior) AS x4 FROM f WHERE rank_prior >= 0.2 GROUP BY qid),
 l AS (SELECT f.*, (1 + 0.75 * x1) * (cos_image / 2 - 0.5) + 0.75 * x2 * (cos_text / 2 - 0.5) + 0.75 * x3 * (tag_overlap / 5.0::DOUBLE) + 0.75 * x4 * rank_prior AS learned, (cos_image + cos_text) / 2 AS base FROM f JOIN u USING (qid)),
 m AS (SELECT *, (base - min(base) OVER (PARTITION BY qid)) / (max(base) OVER (PARTITION BY qid) - min(base) OVER (PARTITION BY qid)) AS b, (learned - min(learned) OVER (PARTITION BY qid)) / (max(learned) OVER (PARTITION BY qid) - min(learned) OVER (PARTITION BY qid)) AS lr FROM l),
 s AS (SELECT qid, id, (1 - 0.3125) * b + 0.3125 * lr AS score FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM s)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
-def learned_rerank(spark, sf):
+def learned_rerank(spark, sf, asked="id < 20"):
     """Blend of base and learned scores after five likes a query (weights by Rocchio, n = 5)."""
-    c = _candidates(spark, sf).withColumn("features", rank.features()).withColumn("base_score", (F.col("cos_image") + F.col("cos_text")) / 2)
+    c = _candidates(spark, sf, asked).withColumn("features", rank.features()).withColumn("base_score", (F.col("cos_image") + F.col("cos_text")) / 2)
     liked = c.where("rank_prior >= 0.2").select("qid", "features", F.lit(1).alias("label"))
     w = rank.rocchio(liked, "qid")
     s = rank.blend(c.join(F.broadcast(w), "qid"), F.col("w"), F.lit(5.0)).withColumn("by", F.round("score", 9))
     return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
+everywhere(learned_rerank, ("a.id < 20", "a.id % 20 = 0"), asked="id % 20 = 0")
+
+
 @query()
 def ranknet_fit(spark, sf):
     """Weights and importances per query from ordered feedback on its best candidates."""
-    c = retrieve.top_k(_candidates(spark, sf), 12, by="cos_image").select(F.col("qid").alias("user_id"), F.col("rank").alias("seq"), rank.features().alias("features"), (F.col("id") % 2).cast("int").alias("label"))
+    c = retrieve.top_k(_candidates(spark, sf, "id % 20 = 0"), 12, by="cos_image").select(F.col("qid").alias("user_id"), F.col("rank").alias("seq"), rank.features().alias("features"), (F.col("id") % 2).cast("int").alias("label"))
     fit = rank.ranknet(c)
     return fit.select("user_id", "n", "n_pairs", F.transform("w", lambda x: F.round(x, 6)).alias("w"), F.transform(rank.importance(F.col("w")), lambda x: F.round(x, 3)).alias("importance"))
 
@@ -356,9 +368,9 @@ def phrasing_search(spark, sf):
 
 @query()
 def guarded_feedback(spark, sf):
-    """Ledger of evaluator-guarded relevance feedback for twenty queries."""
+    """Ledger of evaluator-guarded relevance feedback for every item with id % 20 = 0."""
     items = gallery(spark, sf)
-    return retrieve.refine(queries(items), items)[1].select("qid", "pass", F.round("ev", 6).alias("ev"), F.round("margin", 6).alias("margin"), "verdict")
+    return retrieve.refine(every_twentieth(items), items)[1].select("qid", "pass", F.round("ev", 6).alias("ev"), F.round("margin", 6).alias("margin"), "verdict")
 
 
 @query(f"""WITH {GALLERY} SELECT a.id AS i, b.id AS j FROM gallery a JOIN gallery b ON a.id < b.id WHERE list_dot_product(a.img, b.img) >= 0.35""")
@@ -409,11 +421,14 @@ def index_freshness(spark, sf):
 
 @query(f"""WITH {PAIRS}, r AS (SELECT qid, id, cos_image AS score, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS rank FROM pairs),
 m AS (SELECT unnest(['exact', 'blocks', 'int8']) AS method) SELECT method, qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r, m WHERE rank <= 5""")
-def search_methods(spark, sf):
+def search_methods(spark, sf, ask=queries):
     """The same five hits by each method that ends in exact scores."""
     items, out = gallery(spark, sf), None
     scales = F.array_repeat(F.lit(1 / 127), 64)
     for method in ("exact", "blocks", "int8"):
-        hits = search.search(queries(items), items, method=method, k=5, scales=scales).select(F.lit(method).alias("method"), "qid", "id", "rank", F.round("score", 6).alias("score"))
+        hits = search.search(ask(items), items, method=method, k=5, scales=scales).select(F.lit(method).alias("method"), "qid", "id", "rank", F.round("score", 6).alias("score"))
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+everywhere(search_methods, ("id < 20", "id % 20 = 0"), ask=every_twentieth)
