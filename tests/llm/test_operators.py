@@ -516,3 +516,32 @@ def test_mixing_by_a_column_of_the_input(docs):
     assert {r["n_tokens"] for r in got.collect()} == {7}
     sizes = {r["source"]: 7 * r["n"] for r in counted.groupBy("source").agg(F.count("*").alias("n")).collect()}
     assert {r["_source"]: r["tokens"] for r in p.collect()} == sizes
+
+
+def test_short_items_are_found_between_word_boundaries(spark):
+    bench = spark.createDataFrame([(1, "Is it, so?"), (1, "is it so"), (2, "ada"), (3, ""), (4, "?!"), (5, None), (6, "ada ben cat dot elk fox gnu hen")], "item_id long, text string")
+    texts = [(1, "well, is it so"), (2, "this it so"), (3, "IS IT SO. ada"), (4, "adam"), (5, "is it sore"), (6, None), (7, "ada"), (8, "-ada-"), (9, "is it also is  it\nso")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = []
+    for i, t in texts:
+        for item, q in bench.collect():
+            if (p := plain(q)) and len(p) < decontamination.LEAST_CHARS and f" {p} " in f" {plain(t)} ":
+                want.append((i, item, 0))
+    got = [tuple(r) for r in decontamination.find_leaks(docs, bench).select("doc_id", "item_id", "distance").collect()]
+    assert sorted(got) == sorted(want) and len(want) == 9
+    assert {r["doc_id"] for r in decontamination.decontaminate(docs, bench).collect()} == {2, 4, 5, 6}
+
+
+def test_many_item_blocks_in_one_scan(spark, monkeypatch):
+    """However many blocks there are, the plan reads the documents once and gives the same rows."""
+    rng = random.Random(12)
+    bench = spark.createDataFrame([(i, prose(rng, 12)) for i in range(60)] * 2, "item_id long, text string")
+    items = [r["text"] for r in bench.collect()]
+    docs = spark.createDataFrame([(i, prose(rng, 15) + " " + rng.choice(items) + " " + prose(rng, 900 if i < 3 else 15)) for i in range(80)], "doc_id long, text string").repartition(2)
+    few = sorted(map(tuple, decontamination.find_leaks(docs, bench).collect()))
+    monkeypatch.setattr(decontamination.item_blocks, "__kwdefaults__", decontamination.item_blocks.__kwdefaults__ | {"block_bytes": 300})
+    monkeypatch.setattr(decontamination, "BUFFER_BYTES", 3000)
+    many = decontamination.find_leaks(docs, bench)
+    assert len(decontamination.item_blocks(bench)) > 8
+    assert sorted(map(tuple, many.collect())) == few and len(few) >= 160
+    assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
