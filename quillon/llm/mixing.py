@@ -2,9 +2,12 @@
 
 Weights are token shares raised to an exponent and normalised.  The exponent comes from bisection: the
 flattest mix that stays under a repetition limit, or the mix that meets a target entropy.  A source's
-weight of the token budget becomes whole passes over its rows plus the start of one more permuted pass;
-the permutation is the order of a seeded hash, and its cut is found through sums over ranges of the hash,
-so a source with a third of all rows never meets in one task.
+weight of the token budget becomes whole passes over its rows plus the start of one more permuted pass.
+Which rows that start holds is the order of a seeded hash, cut through sums over ranges of the hash, so a
+source with a third of all rows never meets in one task.
+
+Each pass is a permutation of its own.  Blocks of a token budget hold every source's weight of it, taken
+in the passes' order, and within a block the rows of all sources are permuted together.
 """
 
 from __future__ import annotations
@@ -63,7 +66,8 @@ def bisect(sources: DataFrame, *, entropy: float | None = None, repeats: float |
 #: Working names, and those of the columns that ``realise`` adds.
 WORKING = ("_source", "_tokens", "_key", "_s", "passes", "cut", "rest")
 ADDED = ("epoch", "key", "n_tokens")
-PLACING = ("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "weight")
+PLACED = ("block", "position")
+PLACING = ("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "_weight", "_tie", "_all", "_slot")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, tokens: Column | None) -> tuple[DataFrame, dict[str, str]]:
@@ -105,7 +109,10 @@ def plan(docs: DataFrame, *, budget: int | None = None, entropy: float | None =
     """One row a source: tokens, share, weight, quota, passes, cut (and ``rest``: whether a cut pass follows).
 
     ``budget``: tokens of the mix, by default those of the input.  A null source is a source of its own.
-    A source without tokens has weight 0 and one pass, as nothing says how often to use it.
+    A source without tokens has weight 0 and one pass, as nothing says how often to use it.  Null texts
+    hold no tokens; repeated rows count once each; rows that share an id and a source (null ids too) share
+    a place in the permutation, so the cut takes or leaves them together.  An empty table gives an empty
+    plan.  Other columns, whatever their names, play no part.
     """
     # the table of keys and tokens is slim: texts are read once and never shuffled
     slim = store(_keyed(docs, id_col, text_col, source_col, seed, tokens)[0].select("_source", "_tokens", "_key"), "mix-keys")
@@ -131,42 +138,57 @@ def _repeated(docs: DataFrame, planned: DataFrame, id_col: str = "doc_id", text_
     joined = rows.join(p, F.col("_source").eqNullSafe(F.col("_s")))
     copies = F.col("passes") + (F.col("rest") & (F.col("_key") <= F.col("cut"))).cast("int")
     mixed = joined.where(copies > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), copies - 1)))
-    return mixed.withColumnsRenamed({"_key": "key", "_tokens": "n_tokens"}).drop("_source", "_s", "passes", "cut", "rest"), moved
+    ordered = mixed.withColumn("key", F.xxhash64("_key", "epoch")).withColumnRenamed("_tokens", "n_tokens")
+    return ordered.drop("_source", "_key", "_s", "passes", "cut", "rest"), moved
 
 
 def realise(docs: DataFrame, planned: DataFrame, **options) -> DataFrame:
     """The mix: each row once for every pass of its source, with ``epoch``, ``key`` and ``n_tokens``.
 
-    Decided row by row from the plan's one row a source; the plan's options (columns, seed, tokens) must be
-    repeated.  Input columns named epoch, key or n_tokens are replaced.
+    ``key`` orders a pass: it hashes the row's id and source with the pass, so passes differ.  Decided row
+    by row from the plan's one row a source; the plan's options (columns, seed, tokens) must be repeated.
+    Input columns named epoch, key or n_tokens are replaced.  Null ids and sources are values like any
+    other, null texts hold 0 tokens, long texts are counted whole, rows that share an id and a source
+    stand or fall together, and an empty table stays empty.
     """
     mixed, moved = _repeated(docs, planned, **options)
     return put_back(mixed.drop(*[new for c, new in moved.items() if c.lower() in ADDED]), {c: new for c, new in moved.items() if c.lower() not in ADDED})
 
 
 def mix(docs: DataFrame, planned: DataFrame, **options) -> DataFrame:
-    """The mix with the docs' own columns alone, whatever those are called; options as for ``realise``."""
+    """The mix with the docs' own columns alone, whatever those are called; options and odd rows as for ``realise``."""
     mixed, moved = _repeated(docs, planned, **options)
     return only(mixed, docs.columns, moved)
 
 
-def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_col: str = "source") -> DataFrame:
-    """Adds ``block``: blocks hold each source's weight of ``block_tokens``, and rows in key order within.
+def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_col: str = "source", seed: int = 7) -> DataFrame:
+    """Adds ``block`` and ``position``: the mix as a sequence of blocks, each a permutation of its rows.
+
+    Block b of a source holds its tokens from b to b + 1 times its weight of ``block_tokens``, pass after
+    pass in ``key`` order; a row stands in the block where it starts.  Rows of a source without tokens are
+    spread over all blocks.  Within a block rows of all sources are ordered by a seeded hash of block, key
+    and source; ``position`` counts from 0.  Input columns of those names are replaced; null sources are a
+    source; an empty table stays empty.  ``mixed`` should be slim, as it is written once.
 
-    A row's block follows from the tokens of its source before it, summed over key ranges first, so each
-    sum runs over one range.
+    Rows with equal keys (equal ids) get keys of their own first, by their place in the written table, so
+    ``key`` is replaced by a finer one.  Sums over ranges of that key give each range's start, so a running
+    sum covers one range of one source, and a position one block.
     """
-    own, moved = set_aside(mixed.drop("block"), *PLACING)
-    rows = own.withColumn("_range", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - BITS))
-    by = ["_source", "epoch", "_range"]
-    rows = rows.withColumn("_source", F.col(source_col))
-    sums = rows.groupBy(*by).agg(F.sum("n_tokens").alias("t"))
+    own, moved = set_aside(mixed.drop(*PLACED), *PLACING)
+    # written, so that a lost task reads the same rows in the same places again
+    rows = store(own.withColumn("_tie", F.monotonically_increasing_id()), "mix-rows")
+    rows = rows.withColumn("key", F.xxhash64("key", "_tie")).withColumn("_source", F.col(source_col))
+    rows = rows.withColumn("_range", F.shiftrightunsigned(F.col("key").bitwiseXOR(F.lit(-(2**63))), 64 - BITS))
+    sums = rows.groupBy("_source", "epoch", "_range").agg(F.sum("n_tokens").alias("t"))
     start = sums.withColumn("_base", F.coalesce(F.sum("t").over(Window.partitionBy("_source").orderBy("epoch", "_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     start = start.select(F.col("_source").alias("_s"), F.col("epoch").alias("_e"), F.col("_range").alias("_r"), "_base")
     placed = rows.join(start, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("epoch") == F.col("_e")) & (F.col("_range") == F.col("_r")))
-    within = F.sum("n_tokens").over(Window.partitionBy("_source", "epoch", "_range").orderBy("key").rangeBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
+    within = F.sum("n_tokens").over(Window.partitionBy("_source", "epoch", "_range").orderBy("key", "_tie").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
     placed = placed.withColumn("_before", F.col("_base") + within)
-    w = planned.select(F.col("_source").alias("_w"), "weight")
+    last = F.greatest(F.lit(1), F.ceil(F.sum("quota").over(Window.partitionBy()) / F.lit(block_tokens)))  # one row a source
+    w = planned.select(F.col("_source").alias("_w"), F.col("weight").alias("_weight"), last.alias("_all"))
     out = placed.join(w, F.col("_source").eqNullSafe(F.col("_w")))
-    block = F.when(F.col("weight") > 0, F.floor(F.col("_before") / (F.col("weight") * F.lit(block_tokens)))).otherwise(0)
-    return put_back(out.withColumn("block", block.cast("long")).drop(*PLACING), moved)
+    block = F.when(F.col("_weight") > 0, F.floor(F.col("_before") / (F.col("_weight") * F.lit(block_tokens)))).otherwise(F.pmod("key", "_all"))
+    out = out.withColumn("block", block.cast("long")).withColumn("_slot", F.xxhash64(F.lit(seed), "block", "key", "_source"))
+    position = F.row_number().over(Window.partitionBy("block").orderBy("_slot", "key", "_tie")) - 1
+    return put_back(out.withColumn("position", position.cast("long")).drop(*PLACING), moved)

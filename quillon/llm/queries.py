@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from . import decontamination, license_scan, mixing, quality_rules, simhash, token_counts, token_records, toxicity, url_filters, warc
+from .storage import store
 from .tokenizing import vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -44,10 +45,12 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flattest mix of the input's size that uses no source more than REPEATS times."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    planned = mixing.plan(docs, repeats=REPEATS)
-    mixed = mixing.realise(docs, planned).drop("text")
-    return mixing.blocks(mixed, planned, block_tokens=BLOCK_TOKENS).select("doc_id", "source", "epoch", "block", "n_tokens")
+    docs = table(spark, sf_dir, "documents")
+    # texts are read once, to count their words
+    slim = store(docs.select("doc_id", "source", mixing.word_count(F.col("text")).alias("words")), "mix-documents")
+    planned = mixing.plan(slim, repeats=REPEATS, tokens=F.col("words"))
+    mixed = mixing.realise(slim, planned, tokens=F.col("words"))
+    return mixing.blocks(mixed, planned, block_tokens=BLOCK_TOKENS).select("doc_id", "source", "epoch", "block", "position", "n_tokens")
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

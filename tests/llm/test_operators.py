@@ -224,7 +224,7 @@ def test_mixing(spark, docs, rows, none):
     want = {(s, i): c * sum(1 for r in rows if r[0] == i and r[3] == s) for s, v in brute_mix(rows, 0.4, 3, spark).items() for i, c in v.items() if c}
     assert count == want
     b = mixing.blocks(got, p, block_tokens=500)
-    assert b.count() == got.count() and set(b.columns) == set(got.columns) | {"block"}
+    assert b.count() == got.count() and set(b.columns) == set(got.columns) | {"block", "position"}
     assert mixing.realise(none, mixing.plan(none, repeats=2.0)).count() == 0
 
 
@@ -545,3 +545,55 @@ def test_many_item_blocks_in_one_scan(spark, monkeypatch):
     assert len(decontamination.item_blocks(bench)) > 8
     assert sorted(map(tuple, many.collect())) == few and len(few) >= 160
     assert many._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 2
+
+
+def brute_blocks(rows, planned, block_tokens, seed, slots):
+    """{(source, epoch, key): (block, position)} of (source, epoch, key, n_tokens) rows; ``slots`` hashes (block, key, source)."""
+    import math
+
+    weight = {r["_source"]: r["weight"] for r in planned}
+    every = max(1, math.ceil(sum(r["quota"] for r in planned) / block_tokens))
+    block, before = {}, {}
+    for s, e, k, n in sorted(rows, key=lambda r: (str(r[0]), r[1], r[2])):
+        at = before.get(s, 0)
+        block[s, e, k] = int(at // (weight[s] * block_tokens)) if weight[s] > 0 else k % every
+        before[s] = at + n
+    hashed, place, out = slots(block), {}, {}
+    for row in sorted(block, key=lambda r: (block[r], hashed[r])):
+        out[row] = block[row], place.get(block[row], 0)
+        place[block[row]] = place.get(block[row], 0) + 1
+    return out
+
+
+def test_blocks_equal_brute_force(spark):
+    """With a hot id, a null source, a source without words, and rows of no words."""
+    rng = random.Random(9)
+    made = [(i if i % 3 else None, prose(rng, rng.randrange(0, 40)), rng.choice(["a", "a", "b", None])) for i in range(700)]
+    made += [(i, "", "wordless") for i in range(120)] + [(5, "one two", "b")] * 4
+    docs = spark.createDataFrame(made, "doc_id long, text string, source string").repartition(3)
+    p = mixing.plan(docs, exponent=0.2, seed=3)
+    mixed = mixing.realise(docs, p, seed=3)
+    got = mixing.blocks(mixed, p, block_tokens=900, seed=11).drop("text").collect()
+    assert len(got) == mixed.count()
+
+    def slots(block):
+        rows = [(b, k, s, e) for (s, e, k), b in block.items()]
+        df = spark.createDataFrame(rows, "block long, key long, source string, epoch int").withColumn("slot", F.xxhash64(F.lit(11), "block", "key", "source"))
+        return {(r["source"], r["epoch"], r["key"]): r["slot"] for r in df.collect()}
+
+    want = brute_blocks([(r["source"], r["epoch"], r["key"], r["n_tokens"]) for r in got], p.collect(), 900, 11, slots)
+    assert {(r["source"], r["epoch"], r["key"]): (r["block"], r["position"]) for r in got} == want
+    # passes are different permutations, sources alternate within a block, and blocks keep to their budget
+    passes = {}
+    for r in sorted(got, key=lambda r: r["key"]):
+        if r["source"] == "b":
+            passes.setdefault(r["epoch"], []).append(r["doc_id"])
+    assert len(passes) > 1 and len({tuple(v) for v in passes.values()}) == len(passes)
+    first = [r["source"] for r in sorted((r for r in got if r["block"] == 1), key=lambda r: r["position"])]
+    assert sum(a != b for a, b in zip(first, first[1:], strict=False)) > len(first) / 3
+    sizes = {}
+    for r in got:
+        sizes[r["block"]] = sizes.get(r["block"], 0) + r["n_tokens"]
+    inner = [n for b, n in sizes.items() if b < max(sizes)]
+    assert all(900 - 4 * 40 <= n <= 900 + 4 * 40 for n in inner)
+    assert len([r for r in got if r["source"] == "wordless" and r["block"] == 0]) < 60
