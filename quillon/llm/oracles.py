@@ -8,8 +8,8 @@ from .url_filters import SOFT_LIMIT, VOCABULARY
 from .warc import LEAST_PAYLOAD
 
 
-def _hits(strict: bool) -> str:
-    return " + ".join(f"(CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t.text}([^a-z0-9]|$)') THEN {t.weight} ELSE 0 END)" for t in VOCABULARY if t.strict is strict)
+def _hits(strict: bool, weigh: bool = False) -> str:
+    return " + ".join(f"(CASE WHEN regexp_matches(lower(coalesce(url, '')), '(^|[^a-z0-9]){t.text}([^a-z0-9]|$)') THEN {t.weight if weigh else 1} ELSE 0 END)" for t in VOCABULARY if t.strict is strict)
 
 
 def url_filters() -> str:
@@ -19,9 +19,10 @@ def url_filters() -> str:
     return f"""
 WITH cut AS (SELECT page_id, url, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 parts AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, CAST({_hits(True)} AS INTEGER) AS strict_hits, CAST({_hits(False)} AS INTEGER) AS soft_hits FROM cut)
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, CAST({_hits(True)} AS INTEGER) AS strict_hits, CAST({_hits(False)} AS INTEGER) AS soft_hits,
+    CAST({_hits(False, True)} AS INTEGER) AS soft_weight FROM cut)
 SELECT page_id, host, path, {case(lambda r: r.name, "ELSE NULL")} AS rule,
-    {case(lambda r: r.verdict, f"WHEN strict_hits > 0 OR soft_hits >= {SOFT_LIMIT} THEN 'block' ELSE 'allow'")} AS verdict, strict_hits, soft_hits
+    {case(lambda r: r.verdict, f"WHEN strict_hits > 0 OR soft_weight >= {SOFT_LIMIT} THEN 'block' ELSE 'allow'")} AS verdict, strict_hits, soft_hits, soft_weight
 FROM parts"""
 
 

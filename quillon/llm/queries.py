@@ -29,7 +29,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = url_filters.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits")
+    return out.select("page_id", "host", "path", "rule", "verdict", "strict_hits", "soft_hits", "soft_weight")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

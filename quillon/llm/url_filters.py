@@ -2,7 +2,8 @@
 
 A term counts where it stands between boundaries (the url's ends or anything but a letter or digit), at
 most once a url.  One strict term rejects; soft terms reject once their distinct hits weigh enough
-together.
+together.  Every soft term weighs less than the limit, so it takes several; words that honest urls hold as
+well ("free", "track") weigh less than words that hardly do.
 """
 
 from __future__ import annotations
@@ -41,10 +42,25 @@ RULES = (
     Rule("net", "/es/", "block"),
     Rule("net", "/fr/", "block"),
 )
-STRICT_TERMS = ("porn", "xxx", "casino", "hentai", "escort", "viagra", "warez", "adult-x", "spam-farm")
-SOFT_TERMS = ("adult", "bet", "bets", "free", "win", "cheap", "pills", "ads", "track", "spam", "farm", "loan", "poker", "slots", "crack", "keygen", "torrent", "nude", "dating", "bonus")
-VOCABULARY = tuple(Term(t, True) for t in STRICT_TERMS) + tuple(Term(t, False) for t in SOFT_TERMS)
-SOFT_LIMIT = 2
+STRICT_TERMS = (
+    "porn", "porno", "pornhub", "xxx", "xvideos", "hentai", "milf", "camgirls", "escort", "escorts", "brothel", "bdsm",
+    "casino", "casinos-online", "sportsbook", "viagra", "cialis", "levitra", "tramadol", "warez", "nulled", "cracked-apk",
+    "spam-farm", "link-farm", "adult-x", "phishing-kit", "carding", "malware-download",
+)
+#: Soft terms by weight.
+SOFT_TERMS = {
+    2: (
+        "adult", "nude", "nudes", "sexy", "erotic", "fetish", "webcam-girls", "hookup", "swingers", "bet", "bets", "betting", "poker", "slots",
+        "jackpot", "roulette", "blackjack", "gambling", "pills", "pharmacy-online", "steroids", "replica", "replicas", "payday", "keygen", "serials",
+        "torrent", "torrents", "magnet-links", "hacked", "spam", "clickbait", "popunder", "adserver", "ads", "doubleclick", "affiliate-id",
+    ),
+    1: (
+        "free", "win", "winner", "cheap", "discount", "bonus", "loan", "loans", "credit", "track", "tracker", "tracking", "farm", "crack", "dating",
+        "singles", "hot", "deal", "deals", "prize", "gift-card", "earn", "cash", "promo", "sponsored", "redirect", "popup", "clickhere", "unlimited",
+    ),
+}
+SOFT_LIMIT = 3
+VOCABULARY = tuple(Term(t, True) for t in STRICT_TERMS) + tuple(Term(t, False, w) for w, terms in SOFT_TERMS.items() for t in terms)
 
 
 def automaton(terms: Sequence[Term]):
@@ -92,8 +108,8 @@ def filter_urls(pages: DataFrame, *, url_col: str = "url", rules: Sequence[Rule]
     """Adds host, path, rule, verdict, strict_hits, soft_hits, soft_weight and the terms hit.
 
     Rules decide where one fits; else the vocabulary does.  A null or relative url has empty host and
-    path, no rule, and is judged on its characters alone (a null: allowed).  Input columns of those names
-    are replaced.  Rows are judged one by one, so repeated rows get equal results and an empty table stays
+    path, no rule, and is judged on its characters alone (a null: allowed).  A term weighs once a url,
+    however often it stands there; long urls are read whole.  Input columns of those names are replaced.  Rows are judged one by one, so repeated rows get equal results and an empty table stays
     empty.
     """
     terms, limit = tuple(terms), soft_limit
