@@ -597,3 +597,71 @@ def test_blocks_equal_brute_force(spark):
     inner = [n for b, n in sizes.items() if b < max(sizes)]
     assert all(900 - 4 * 40 <= n <= 900 + 4 * 40 for n in inner)
     assert len([r for r in got if r["source"] == "wordless" and r["block"] == 0]) < 60
+
+
+def test_url_weights(spark):
+    terms = [url_filters.Term("bad", True), url_filters.Term("heavy", False, 2), url_filters.Term("mid", False, 2), url_filters.Term("light", False), url_filters.Term("faint", False)]
+    hit = {"http://a.org/light/faint": (2, 2, "allow"), "http://a.org/heavy": (1, 2, "allow"), "http://a.org/heavy-light": (2, 3, "block"), "http://a.org/heavy/heavy/heavy": (1, 2, "allow"), "http://a.org/mid.heavy": (2, 4, "block"), "http://a.org/heavylight": (0, 0, "allow"), "http://a.org/bad": (0, 0, "block"), "x" * 100_000 + " light mid": (2, 3, "block")}
+    got = url_filters.filter_urls(spark.createDataFrame([(u,) for u in hit], "url string"), terms=terms)
+    assert {r["url"]: (r["soft_hits"], r["soft_weight"], r["verdict"]) for r in got.collect()} == hit
+    assert len({t.text for t in url_filters.VOCABULARY}) == len(url_filters.VOCABULARY)
+    assert all(0 < t.weight < url_filters.SOFT_LIMIT for t in url_filters.VOCABULARY if not t.strict)
+    honest = ["http://a.org/free/win", "https://shop.org/track/order?free=1", "https://a.org/credit-cards", "http://a.org/free/dating"]
+    assert {r["verdict"] for r in url_filters.filter_urls(spark.createDataFrame([(u,) for u in honest], "url string")).collect()} == {"allow"}
+
+
+def brute_clauses(text, stems):
+    """Clause scores by looking at every word's surroundings, without machines."""
+    import re
+
+    def kind(w):
+        for k, words in (("negation", toxicity.NEGATIONS), ("report", toxicity.REPORTS), ("target", toxicity.TARGETS), ("contrast", {",", *toxicity.CONTRASTS}), ("threat", toxicity.THREATS)):
+            if w in words:
+                return k, 1.0
+        for s in (f"{w}$", *(w[:n] for n in (7, 6, 5) if len(w) >= n)):
+            if s in stems:
+                return "insult", stems[s]
+        return "other", 0.0
+
+    out = []
+    for clause in re.split(r"[.!?;:\n]", (text or "").lower()):
+        words = [kind(w) for w in re.findall(r"[^\W\d_]+(?:'[^\W\d_]+)?|,", clause)]
+        total, harmful = 0.0, False
+        for i, (k, w) in enumerate(words):
+            if k not in ("insult", "threat"):
+                continue
+            harmful = True
+            kinds = [x[0] for x in words]
+            aimed = "target" in kinds[max(0, i - 5) : i] or "target" in kinds[i + 1 : i + 6]
+            before = kinds[max(0, i - 3) : i]
+            negated = "negation" in before and "contrast" not in before[len(before) - 1 - before[::-1].index("negation") :]
+            told = "report" in kinds[:i]
+            total += w * (2 if k == "threat" else 1) * (1.5 if aimed else 1) * (0.3 if negated else 1) * (0.5 if told else 1)
+        if harmful:
+            out.append(total)
+    return out
+
+
+def test_clauses_equal_brute_force():
+    rng, stems, machine = random.Random(6), {"idiot": 2.0, "scum$": 1.5, "threat$": 1.25, "insult$": 0.5}, toxicity.grammar()
+    lexicon = toxicity.Lexicon(stems)
+    words = "idiot idiotic scum scumbag threat insult target other kill kills you they not never said but, , . ; \n a plain day time house don't"
+    for n in [3, 6, 10, 20] * 100 + [30_000]:
+        text = " ".join(rng.choices(words.split(" "), k=n))
+        assert toxicity.clause_scores(text, lexicon, machine)[0] == pytest.approx(brute_clauses(text, stems))
+
+
+def test_targets_on_both_sides():
+    total = lambda t: sum(toxicity.clause_scores(t, toxicity.Lexicon({"idiot": 2.0}), toxicity.grammar())[0])
+    assert total("kill you") == total("you kill") > total("kill time")
+    assert total("idiots like you") > total("idiots")
+    assert total("he is not here, you idiot") == total("you idiot") > total("you are not an idiot")
+    assert total("not here but an idiot") == total("an idiot")
+    assert total("she said that, well, an idiot") < total("an idiot")
+
+
+def test_long_words_are_learned(spark):
+    long = "grub" * 20
+    made = [(i, f"plain text {i} " + (long if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
+    model = toxicity.fit(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, toxic int"))
+    assert f"{long}$" in model.stems
