@@ -19,8 +19,10 @@ _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a private folder only where that is unset (tests)."""
+    """The session's ``spark.checkpoint.dir``; where that is unset, a private folder in local mode, else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         app = spark.sparkContext.applicationId
         if app not in _own:

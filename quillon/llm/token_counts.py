@@ -4,8 +4,8 @@ A leaf holds a run of pre-tokens (their lengths and token counts); inner nodes h
 characters and tokens below them.  An edit finds its place by walking down the character sums, splits
 only the touched pre-tokens plus a little context again, encodes only those, and adds the difference to
 the sums on the way up.  Context: a pre-token depends on its own characters and at most the two that
-follow, so splitting starts at the pre-token three characters before the edit and stops as soon as a new
-boundary meets an old one behind it.
+follow (and a special token's string, where there is one), so splitting starts at the pre-token three
+characters before the edit and stops as soon as a new boundary meets an old one behind it.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .storage import local_schema, put_back, set_aside
-from .tokenizing import encoder
+from .tokenizing import SPECIAL, encoder
 
 LEAF = 64
 CONTEXT = 3
@@ -101,11 +101,11 @@ class Document:
 
     def __init__(self, enc, text: str, tree: SegmentTree | None = None):
         self.enc, self.text, self.reencoded = enc, text, 0
-        self.whole = not enc.usual(text)
-        if self.whole:
-            tree = SegmentTree([len(text)] if text else [], [len(enc.tokenizer.encode(text, add_special_tokens=False).ids)] if text else [])
+        self.form = enc.form(text)
+        if not enc.plain:
+            tree = SegmentTree([len(text)] if text else [], [len(enc.ids(text))] if text else [])
         elif tree is None:
-            pieces = enc.split(text)
+            pieces = enc.pattern(self.form).findall(text)
             tree = SegmentTree(list(map(len, pieces)), enc.counts(pieces))
         self.tree = tree
 
@@ -114,14 +114,17 @@ class Document:
         pos = max(0, min(pos, len(self.text)))
         end = min(len(self.text), pos + max(0, delete))
         new = self.text[:pos] + insert + self.text[end:]
-        if self.whole or not self.enc.usual(insert) or any(s in new[max(0, pos - 64) : pos + len(insert) + 64] for s in self.enc.special):
-            self.__dict__ |= vars(Document(self.enc, new)) | {"reencoded": self.reencoded + len(new)}
+        enc, reach = self.enc, self.enc.reach
+        if not enc.plain:
+            self.__dict__ |= vars(Document(enc, new)) | {"reencoded": self.reencoded + len(new)}
             return
+        # a special string that the edit makes lies around it; one that the edit breaks has set the form before
+        self.form = max(self.form, enc.form(insert), enc.form(new[max(0, pos - reach) : pos + len(insert) + reach]))
         tree, shift = self.tree, len(insert) - (end - pos)
-        i, a, start = tree.find(max(0, pos - CONTEXT))
+        i, a, start = tree.find(max(0, pos - CONTEXT - reach * (self.form == SPECIAL)))
         j, b, old = tree.find(end)
         pieces, at = [], start
-        for m in self.enc.finditer(new, start):
+        for m in enc.pattern(self.form).finditer(new, start):
             while old < at - shift or old < end:  # the first old boundary not before the new one
                 if b >= len(tree.leaves[j][0]):
                     if j + 1 >= len(tree.leaves):
@@ -136,7 +139,7 @@ class Document:
             at = m.end()
         else:
             j, b = len(tree.leaves) - 1, len(tree.leaves[-1][0])
-        tree.replace((i, a), (j, b), list(map(len, pieces)), self.enc.counts(pieces))
+        tree.replace((i, a), (j, b), list(map(len, pieces)), enc.counts(pieces))
         self.text, self.reencoded = new, self.reencoded + at - start
 
 
@@ -189,7 +192,8 @@ def count_edited(docs: DataFrame, vocabulary: str, *, id_col: str = "doc_id", te
     ``edits_col`` holds (pos, del, ins) in order, positions in characters of the text so far.  With
     ``trees`` the rows carry stored trees (``build_trees``) and nothing else is encoded.  Null texts are
     empty texts; null edit lists are empty; null ``ins`` inserts nothing; a null ``pos`` or ``del`` is 0.
-    Repeated rows each get their own result.
+    Repeated rows each get their own result and an empty table none; other columns, whatever their names,
+    are ignored.  Long texts are held whole, as a tree of their pre-tokens.
     """
     kept = [F.col("chars"), F.col("tokens")] if trees else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.coalesce(F.col(edits_col), F.array().cast(EDITS)).alias("edits"), *kept)
