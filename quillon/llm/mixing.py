@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .storage import only, put_back, set_aside, store
 
 STEPS, CANDIDATES, DIGITS = 6, 16, 6
-BITS, LEVELS = 10, 2
+BITS, LEVELS, PARTS = 10, 2, 6
 
 
 def word_count(text: Column) -> Column:
@@ -67,7 +67,7 @@ def bisect(sources: DataFrame, *, entropy: float | None = None, repeats: float |
 WORKING = ("_source", "_tokens", "_key", "_s", "passes", "cut", "rest")
 ADDED = ("epoch", "key", "n_tokens")
 PLACED = ("block", "position")
-PLACING = ("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "_weight", "_tie", "_all", "_slot")
+PLACING = ("_range", "_source", "_s", "_e", "_r", "_base", "_before", "_w", "_weight", "_tie", "_all", "_slot", "_part", "_b", "_p", "_first")
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, tokens: Column | None) -> tuple[DataFrame, dict[str, str]]:
@@ -172,7 +172,7 @@ def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_co
 
     Rows with equal keys (equal ids) get keys of their own first, by their place in the written table, so
     ``key`` is replaced by a finer one.  Sums over ranges of that key give each range's start, so a running
-    sum covers one range of one source, and a position one block.
+    sum covers one range of one source; likewise a position is counted in one of a block's parts.
     """
     own, moved = set_aside(mixed.drop(*PLACED), *PLACING)
     # written, so that a lost task reads the same rows in the same places again
@@ -190,5 +190,9 @@ def blocks(mixed: DataFrame, planned: DataFrame, *, block_tokens: int, source_co
     out = placed.join(w, F.col("_source").eqNullSafe(F.col("_w")))
     block = F.when(F.col("_weight") > 0, F.floor(F.col("_before") / (F.col("_weight") * F.lit(block_tokens)))).otherwise(F.pmod("key", "_all"))
     out = out.withColumn("block", block.cast("long")).withColumn("_slot", F.xxhash64(F.lit(seed), "block", "key", "_source"))
-    position = F.row_number().over(Window.partitionBy("block").orderBy("_slot", "key", "_tie")) - 1
-    return put_back(out.withColumn("position", position.cast("long")).drop(*PLACING), moved)
+    out = out.withColumn("_part", F.shiftrightunsigned(F.col("_slot").bitwiseXOR(F.lit(-(2**63))), 64 - PARTS))
+    before = F.sum("n").over(Window.partitionBy("block").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = out.groupBy("block", "_part").agg(F.count("*").alias("n")).select(F.col("block").alias("_b"), F.col("_part").alias("_p"), F.coalesce(before, F.lit(0)).alias("_first"))
+    ranked = out.withColumn("position", F.row_number().over(Window.partitionBy("block", "_part").orderBy("_slot", "key", "_tie")) - 1)
+    ranked = ranked.join(parts, (F.col("block") == F.col("_b")) & (F.col("_part") == F.col("_p")))
+    return put_back(ranked.withColumn("position", (F.col("position") + F.col("_first")).cast("long")).drop(*PLACING), moved)
