@@ -2,27 +2,39 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..session import saved
+from . import blocks
 
 
 def close_pairs(items: DataFrame, threshold: float, *, column: str = "img") -> DataFrame:
-    """(i, j), i < j, with cosine at or over the threshold.
+    """(i, j), i < j, with cosine at or over the threshold, by dense products of tiles.
 
-    Unit vectors within the threshold differ little along any direction: on the axis of a fixed unit
-    vector their projections lie within sqrt(2 - 2 t).  Rows are filed by projection in strips of that
-    width, and each meets its own strip and the next, so far pairs are never formed.
+    Only close pairs become rows.  The products are all items by all items, dealt evenly over tasks whatever
+    the vectors' directions; products near the threshold are summed again as ``vec.dot`` does.
     """
-    width = float((2 - 2 * threshold) ** 0.5) + 1e-9
-    n = F.size(F.col(column))
-    # a fixed direction: alternating signs over sqrt(n)
-    along = F.aggregate(F.transform(F.col(column), lambda x, i: x * F.when(i % 2 == 0, 1.0).otherwise(-1.0)), F.lit(0.0), lambda s, x: s + x) / F.sqrt(n.cast("double"))
-    a = items.select(F.col("id").alias("i"), F.col(column).alias("a"), F.floor(along / width).alias("strip"))
-    b = items.select(F.col("id").alias("j"), F.col(column).alias("b"), F.explode(F.array(F.floor(along / width) - 1, F.floor(along / width), F.floor(along / width) + 1)).alias("strip"))
-    return a.join(b, "strip").where("i < j").where(vec.dot("a", "b") >= threshold).select("i", "j")
+
+    def close(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for q in files:
+            ids, left = np.asarray(q["qid"]), blocks.matrix(q["qv"].combine_chunks())
+            for t in stretch:
+                own, right = np.asarray(t["id"]), blocks.matrix(t[column].combine_chunks())
+                if ids.min() >= own.max():
+                    continue
+                s = left @ right.T
+                s = blocks.exactly(s, left, right, np.abs(s - threshold) <= 1e-9)
+                i, j = ((s >= threshold) & (ids[:, None] < own[None, :])).nonzero()
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(own[j])], names=["i", "j"])
+
+    return blocks.against(items.select(F.col("id").alias("qid"), F.col(column).alias("qv")), items.select("id", column), close, "i long, j long", second_column=column)
 
 
 def greedy_keep(items: DataFrame, threshold: float, *, column: str = "img") -> DataFrame:

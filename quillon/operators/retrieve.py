@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..session import saved
+from . import blocks
 
 #: At most about this many query values are broadcast or shipped at once; a larger query set goes in blocks.
 QUERY_VALUES = 4_000_000
@@ -31,7 +32,10 @@ def parts(queries: DataFrame, column: str = "qv", *, key: str = "qid", times: in
 
 
 def meet(items: DataFrame, queries: DataFrame, column: str = "qv", *, key: str = "qid") -> DataFrame:
-    """Every row beside every query of a stated set, of which one block at a time is broadcast."""
+    """Every row beside every query of a stated set, which is broadcast: whole, or beyond QUERY_VALUES in parts.
+
+    For query sets that grow with the table take ``exact_blocks`` and its kin, which broadcast nothing.
+    """
     out = None
     for part in parts(queries, column, key=key):
         pairs = items.crossJoin(F.broadcast(part))
@@ -47,138 +51,133 @@ def score_all(queries: DataFrame, items: DataFrame, mode: str = "image", *, excl
     return pairs.withColumn("score", vec.mode_score("img", "txt", "qv", mode))
 
 
-def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str = "img") -> DataFrame:
-    """(qid, id, score, rank) by dense block products: the batch path for many queries.
+def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str = "img", exclude_self: bool = False) -> DataFrame:
+    """(qid, id, score, rank) by dense products of tiles: the path for many queries, up to all items.
 
-    The query set is a parameter of the call: it is taken in blocks of QUERY_VALUES values, and each block
-    is shipped to the items' partitions, which return k rows a query.
+    Scores are held to 12 digits, so that equal vectors tie whatever tile they meet in; the smaller id wins.
     """
-    import numpy as np
-
-    out = None
-
-    def search(rows: list) -> DataFrame:
-        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["qv"] for r in rows])
-
-        def run(batches) -> Iterator:
-            import pyarrow as pa
 
-            best_s, best_i = None, None
-            for b in slices(batches, len(ids)):
-                x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-                own = np.asarray(b.column(0))
-                s, i = matrix @ x.T, np.broadcast_to(own, (len(ids), len(own)))
-                if best_s is not None:
-                    s, i = np.hstack([best_s, s]), np.hstack([best_i, i])
-                order = np.lexsort((i, -s), axis=1)[:, :k]
-                best_s, best_i = np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
-            if best_s is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best_s.shape[1])), pa.array(best_i.ravel()), pa.array(best_s.ravel())], names=["qid", "id", "score"])
-
-        return items.select("id", column).mapInArrow(run, "qid long, id long, score double")
-
-    for rows in blocks(queries.select("qid", "qv")):
-        out = search(rows) if out is None else out.unionByName(search(rows))
-    return top_k(out, k)
+    def best(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        for q in files:
+            ids, left = np.asarray(q["qid"]), blocks.matrix(q["qv"].combine_chunks())
+            rows, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            for t in stretch:
+                own = np.asarray(t["id"])
+                s = np.round(left @ blocks.matrix(t[column].combine_chunks()).T, 12)
+                if exclude_self:
+                    s[ids[:, None] == own[None, :]] = -np.inf
+                least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(ids), 1), -np.inf)
+                i, j = ((s >= least) & (s > -np.inf)).nonzero()
+                rows, found, scores = np.concatenate([rows, i]), np.concatenate([found, own[j]]), np.concatenate([scores, s[i, j]])
+                order = np.lexsort((found, -scores, rows))
+                rows, found, scores = rows[order], found[order], scores[order]
+                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                rows, found, scores = rows[first], found[first], scores[first]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(found), pa.array(scores)], names=["qid", "id", "score"])
+
+    return top_k(blocks.against(queries.select("qid", "qv"), items.select("id", column), best, "qid long, id long, score double", second_column=column), k)
 
 
 def count_above(queries: DataFrame, items: DataFrame, *, column: str = "img") -> DataFrame:
     """(qid, above): items ranked before a given hit (hit_id, hit_score) of each query, the query's own left out.
 
-    Like exact_blocks, by dense products over blocks of the stated query set; scores within 1e-12 are ties,
-    which the smaller id wins.
+    Like exact_blocks; scores within 1e-12 are ties, which the smaller id wins.
     """
-    import numpy as np
-
-    def search(rows: list) -> DataFrame:
-        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["qv"] for r in rows])
-        hit, least = np.array([r["hit_id"] for r in rows], np.int64)[:, None], np.array([r["hit_score"] for r in rows])[:, None]
 
-        def run(batches) -> Iterator:
-            import pyarrow as pa
+    def count(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
 
+        for q in files:
+            ids, left, hit, least = np.asarray(q["qid"])[:, None], blocks.matrix(q["qv"].combine_chunks()), np.asarray(q["hit_id"])[:, None], np.asarray(q["hit_score"])[:, None]
             total = np.zeros(len(ids), np.int64)
-            for b in slices(batches, len(ids)):
-                x, own = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1), np.asarray(b.column(0))[None, :]
-                gap = matrix @ x.T - least
-                total += (((gap > 1e-12) | ((np.abs(gap) <= 1e-12) & (own < hit))) & (own != ids[:, None]) & (own != hit)).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], names=["qid", "n"])
+            for t in stretch:
+                own = np.asarray(t["id"])[None, :]
+                gap = left @ blocks.matrix(t[column].combine_chunks()).T - least
+                total += (((gap > 1e-12) | ((np.abs(gap) <= 1e-12) & (own < hit))) & (own != ids) & (own != hit)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[:, 0]), pa.array(total)], names=["qid", "n"])
 
-        return items.select("id", column).mapInArrow(run, "qid long, n long")
-
-    out = None
-    for rows in blocks(queries.select("qid", "qv", "hit_id", "hit_score")):
-        out = search(rows) if out is None else out.unionByName(search(rows))
-    return out.groupBy("qid").agg(F.sum("n").alias("above"))
+    found = blocks.against(queries.select("qid", "qv", "hit_id", "hit_score"), items.select("id", column), count, "qid long, n long", second_column=column)
+    return found.groupBy("qid").agg(F.sum("n").alias("above"))
 
 
 def best_sharing(queries: DataFrame, items: DataFrame, *, column: str = "img") -> DataFrame:
     """(qid, best, best_id): each query's largest product with another item that shares one of its tags (``qtags``).
 
-    Scores within 1e-12 are ties, which the smaller id wins.  Queries without such an item drop out.  By dense products like exact_blocks, so no pair becomes a row and a
-    tag that a third of the items hold costs no more than others.
+    Scores within 1e-12 are ties, which the smaller id wins.  Queries without such an item drop out.  By dense
+    products like exact_blocks, so no pair becomes a row and a tag that a third of the items hold costs no more
+    than others.
     """
-    import numpy as np
-
-    def search(rows: list) -> DataFrame:
-        ids, matrix = np.array([r["qid"] for r in rows], np.int64), np.array([r["qv"] for r in rows])
-        asked: dict[str, list[int]] = {}
-        for n, r in enumerate(rows):
-            for t in set(r["qtags"] or ()):
-                asked.setdefault(t, []).append(n)
-
-        def run(batches) -> Iterator:
-            import pyarrow as pa
-
-            best, best_id, none = np.full(len(ids), -np.inf), np.full(len(ids), np.iinfo(np.int64).max), np.iinfo(np.int64).max
-            for b in slices(batches, len(ids)):
-                held: dict[str, list[int]] = {}
-                for n, tags in enumerate(b.column(2).to_pylist()):
-                    for t in set(tags or ()) & asked.keys():
-                        held.setdefault(t, []).append(n)
-                shared = np.zeros((len(ids), b.num_rows), bool)
-                for t, at in held.items():
-                    shared[np.ix_(asked[t], at)] = True
-                own = np.asarray(b.column(0))[None, :]
-                shared &= ids[:, None] != own
-                x = np.asarray(b.column(1).flatten()).reshape(b.num_rows, -1)
-                s = np.where(shared, matrix @ x.T, -np.inf)
-                most = s.max(axis=1)
-                first = np.where(shared & (s >= most[:, None] - 1e-12), own, none).min(axis=1)
-                best_id = np.where(most > best + 1e-12, first, np.where(most >= best - 1e-12, np.minimum(first, best_id), best_id))
-                best = np.maximum(best, most)
-            found = best > -np.inf
-            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (ids, best, best_id)], names=["qid", "best", "best_id"])
-
-        return items.select("id", column, "tags").mapInArrow(run, "qid long, best double, best_id long")
 
-    out = None
-    for rows in blocks(queries.select("qid", "qv", "qtags")):
-        out = search(rows) if out is None else out.unionByName(search(rows))
-    return out.groupBy("qid").agg(F.max("best").alias("best"), F.max_by("best_id", F.struct(F.round("best", 11), -F.col("best_id"))).alias("best_id"))
-
-
-def slices(batches: Iterator, n_queries: int) -> Iterator:
-    """Batches cut so that their products with a block of queries hold at most QUERY_VALUES values; none without queries."""
-    if not n_queries:
-        return
-    step = max(1, QUERY_VALUES // n_queries)
-    for b in batches:
-        for i in range(0, b.num_rows, step):
-            yield b.slice(i, step)
-
-
-def blocks(queries: DataFrame) -> Iterator[list]:
-    """The rows of a stated query set in lists of about QUERY_VALUES values; at least one list."""
-    block, width, given = [], 0, False
-    for r in queries.toLocalIterator():
-        block.append(r)
-        width += len(r["qv"])
-        if width >= QUERY_VALUES:
-            yield block
-            block, width, given = [], 0, True
-    if block or not given:
-        yield block
+    def best(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        none = np.iinfo(np.int64).max
+        for q in files:
+            ids, left, asked = np.asarray(q["qid"]), blocks.matrix(q["qv"].combine_chunks()), q["qtags"].to_pylist()
+            most, most_id = np.full(len(ids), -np.inf), np.full(len(ids), none)
+            for t in stretch:
+                own = np.asarray(t["id"])[None, :]
+                related = blocks.shared(asked, t["tags"].to_pylist()) & (ids[:, None] != own)
+                s = np.where(related, left @ blocks.matrix(t[column].combine_chunks()).T, -np.inf)
+                here = s.max(axis=1)
+                first = np.where(related & (s >= here[:, None] - 1e-12), own, none).min(axis=1)
+                most_id = np.where(here > most + 1e-12, first, np.where(here >= most - 1e-12, np.minimum(first, most_id), most_id))
+                most = np.maximum(most, here)
+            found = most > -np.inf
+            yield pa.RecordBatch.from_arrays([pa.array(x[found]) for x in (ids, most, most_id)], names=["qid", "best", "best_id"])
+
+    rows = blocks.against(queries.select("qid", "qv", "qtags"), items.select("id", column, "tags"), best, "qid long, best double, best_id long", second_column=column)
+    return rows.groupBy("qid").agg(F.max("best").alias("best"), F.max_by("best_id", F.struct(F.round("best", 11), -F.col("best_id"))).alias("best_id"))
+
+
+def sharing_stats(items: DataFrame, *, column: str = "img") -> DataFrame:
+    """One row (n, mean, low, high) of the products of all ordered pairs of different items that share a tag."""
+
+    def measure(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        n, total, low, high = 0, 0.0, np.inf, -np.inf
+        for q in files:
+            ids, left, asked = np.asarray(q["qid"]), blocks.matrix(q["qv"].combine_chunks()), q["qtags"].to_pylist()
+            for t in stretch:
+                related = blocks.shared(asked, t["tags"].to_pylist()) & (ids[:, None] != np.asarray(t["id"])[None, :])
+                s = (left @ blocks.matrix(t[column].combine_chunks()).T)[related]
+                if len(s):
+                    n, total, low, high = n + len(s), total + float(s.sum()), min(low, float(s.min())), max(high, float(s.max()))
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (n, total, low, high)], names=["n", "total", "low", "high"])
+
+    rows = blocks.against(items.select(F.col("id").alias("qid"), F.col(column).alias("qv"), F.col("tags").alias("qtags")), items.select("id", column, "tags"), measure, "n long, total double, low double, high double", second_column=column)
+    return rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), (F.sum("total") / F.sum("n")).alias("mean"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def counts_over(queries: DataFrame, items: DataFrame, bars: list[float], *, column: str = "img") -> DataFrame:
+    """(bar, hits): over all queries and items, how many products reach each bar of a short list."""
+
+    def count(files: list, stretch: list) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        hits = np.zeros(len(bars), np.int64)
+        for q in files:
+            left = blocks.matrix(q["qv"].combine_chunks())
+            for t in stretch:
+                right = blocks.matrix(t[column].combine_chunks())
+                s = left @ right.T
+                for n, bar in enumerate(bars):
+                    blocks.exactly(s, left, right, np.abs(s - bar) <= 1e-9)
+                    hits[n] += int((s >= bar).sum())
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(bars)), pa.int32()), pa.array(hits)], names=["n", "hits"])
+
+    named = queries.sparkSession.createDataFrame(list(enumerate(map(float, bars))), "n int, bar double")
+    found = blocks.against(queries.select("qid", "qv"), items.select("id", column), count, "n int, hits long", second_column=column).groupBy("n").agg(F.sum("hits").alias("hits"))
+    return F.broadcast(named).join(found, "n", "left").select("bar", F.coalesce("hits", F.lit(0)).alias("hits"))
 
 
 def assign_cells(items: DataFrame, centroids: Column, *, column: str = "img") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate as cal
 from ..operators import retrieve
-from ..session import table
+from ..session import saved, table
 from ..sources.gallery import gallery, queries
 from ..sources.store import numbered
 from .registry import GALLERY, LOO, query
@@ -28,16 +28,6 @@ def loo_scores(spark, sf):
     return best_of_tags(gallery(spark, sf)).select("qid", (1 - F.col("best")).alias("score"))
 
 
-def _tag_pairs(items):
-    from ..functions import vec
-
-    t = items.select("id", "img", F.explode(F.array_distinct("tags")).alias("tag"))
-    # of the tags that two items share, only the first makes a pair
-    a = t.select(F.col("id").alias("qid"), F.col("img").alias("qv"), "tag").join(items.select(F.col("id").alias("qid"), F.col("tags").alias("qtags")), "qid")
-    pairs = a.join(items.select("id", "img", "tags", F.explode(F.array_distinct("tags")).alias("tag")), "tag").where("qid <> id").where(F.get(F.array_intersect("qtags", "tags"), F.lit(0)) == F.col("tag"))
-    return pairs.select("qid", "id", vec.dot("qv", "img").alias("cos"))
-
-
 @query(f"WITH {SCORES_SQL} SELECT qid, round(score, 6) AS score FROM sc")
 def conformal_scores(spark, sf):
     return loo_scores(spark, sf).select("qid", F.round("score", 6).alias("score"))
@@ -62,16 +52,20 @@ def jackknife_coverage(spark, sf):
 @query(f"""WITH {SCORES_SQL}, {ALPHA_SQL}, r AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM sc),
 k AS (SELECT alpha, max(n) AS n, ceil((max(n) + 1)::DOUBLE * (1.0::DOUBLE - alpha)) AS k FROM al, r GROUP BY alpha),
 q AS (SELECT alpha, 1 - coalesce(r.score, 'infinity'::DOUBLE) AS tau FROM k LEFT JOIN r ON r.r = k.k),
-p AS (SELECT a.id AS qid, list_dot_product(a.img, b.img) AS cos FROM gallery a, gallery b), n AS (SELECT count(*) AS n FROM gallery)
-SELECT alpha, round(CASE WHEN tau > -1e300 THEN tau END, 6) AS tau, round((sum(CASE WHEN cos >= tau THEN 1 ELSE 0 END) / max(n))::DOUBLE - 1, 6) AS avg_set FROM q, p, n GROUP BY alpha, tau""")
+p AS (SELECT a.id AS qid, list_dot_product(a.img, b.img) AS cos FROM gallery a, gallery b), n AS (SELECT count(*) AS n FROM gallery),
+cv AS (SELECT alpha, avg((1 - score >= tau)::INT) AS coverage FROM q, sc GROUP BY alpha)
+SELECT alpha, round(CASE WHEN tau > -1e300 THEN tau END, 6) AS tau, round((sum(CASE WHEN cos >= tau THEN 1 ELSE 0 END) / max(n))::DOUBLE - 1, 6) AS avg_set, round(max(coverage), 6) AS coverage FROM q JOIN cv USING (alpha), p, n GROUP BY alpha, tau""")
 def conformal_sets(spark, sf):
-    """Mean size of the conformal sets, the query itself not counted."""
+    """Mean size of the conformal sets, the query itself not counted, with the share of items whose best match is inside."""
     items = gallery(spark, sf)
-    q = cal.calibrate(loo_scores(spark, sf), ALPHAS).select("alpha", (1 - F.col("qhat")).alias("tau"))
-    pairs = retrieve.score_all(items.select(F.col("id").alias("qid"), F.col("img").alias("qv")), items).select("qid", "score")
+    scores = saved(loo_scores(spark, sf))
+    bars = saved(cal.calibrate(scores, ALPHAS).select("alpha", (1 - F.col("qhat")).alias("tau")))
+    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
+    over = retrieve.counts_over(everyone, items, [r["tau"] for r in bars.collect()]).distinct()
     n = items.agg(F.count("*").alias("n"))
-    hit = pairs.crossJoin(F.broadcast(q)).groupBy("alpha", "tau").agg(F.count_if(F.col("score") >= F.col("tau")).alias("hits")).crossJoin(F.broadcast(n))
-    return hit.select("alpha", F.round(F.when(F.col("tau") > -1e300, F.col("tau")), 6).alias("tau"), F.round(F.col("hits") / F.col("n") - 1, 6).alias("avg_set"))
+    inside = scores.crossJoin(F.broadcast(bars)).groupBy("alpha").agg(F.avg((1 - F.col("score") >= F.col("tau")).cast("int")).alias("coverage"))
+    rows = bars.join(over, F.col("tau") == F.col("bar")).join(inside, "alpha").crossJoin(F.broadcast(n))
+    return rows.select("alpha", F.round(F.when(F.col("tau") > -1e300, F.col("tau")), 6).alias("tau"), F.round(F.col("hits") / F.col("n") - 1, 6).alias("avg_set"), F.round("coverage", 6).alias("coverage"))
 
 
 @query(f"""WITH {GALLERY}, q AS (SELECT id AS qid, img AS qv FROM gallery WHERE id < 20), s AS (SELECT qid, id, list_dot_product(img, qv) AS cos FROM q, gallery)
@@ -86,7 +80,7 @@ def threshold_filter(spark, sf):
 @query(f"WITH {LOO} SELECT count(*) AS n, round(avg(cos), 6) AS mean, round(min(cos), 6) AS low, round(max(cos), 6) AS high FROM loo WHERE rel")
 def quality_signal(spark, sf):
     """The population of same-tag pairs' cosines, both directions."""
-    return _tag_pairs(gallery(spark, sf)).agg(F.count("*").alias("n"), F.round(F.avg("cos"), 6).alias("mean"), F.round(F.min("cos"), 6).alias("low"), F.round(F.max("cos"), 6).alias("high"))
+    return retrieve.sharing_stats(gallery(spark, sf)).select("n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
 
 
 @query(f"WITH {LOO}, i AS (SELECT qid AS id, coalesce(max(cos) FILTER (rel), 0) AS q FROM loo GROUP BY qid) SELECT id, round(q, 6) AS quality, q >= 0.3 AS positive FROM i")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import dedupe, index, rank, retrieve, search
+from ..operators import blocks, dedupe, index, rank, retrieve, search
 from ..session import table
 from ..sources.gallery import every_twentieth, gallery, likes, queries
 from .registry import GALLERY, LOO, PAIRS, everywhere, query
@@ -208,8 +208,7 @@ def neighbours(spark, sf):
     """Three nearest other items of every item, by dense blocks."""
     items = gallery(spark, sf)
     everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
-    hits = retrieve.exact_blocks(everyone, items, 4).where("qid <> id")
-    return retrieve.top_k(hits.drop("rank"), 3).select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    return retrieve.exact_blocks(everyone, items, 3, exclude_self=True).select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {LOO}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM loo),
@@ -225,9 +224,9 @@ def retrieval_metrics(spark, sf):
 
     items = gallery(spark, sf)
     everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
-    top = retrieve.exact_blocks(everyone, items, 6).where("qid <> id").drop("rank")
+    top = retrieve.exact_blocks(everyone, items, 5, exclude_self=True)
     tags = items.select(F.col("id").alias("qid"), F.col("tags").alias("qtags"))
-    top = retrieve.top_k(top, 5).join(tags, "qid").join(items.select("id", "tags"), "id").withColumn("rel", F.arrays_overlap("tags", "qtags"))
+    top = top.join(tags, "qid").join(items.select("id", "tags"), "id").withColumn("rel", F.arrays_overlap("tags", "qtags"))
     p = lambda k: F.count_if(F.col("rel") & (F.col("rank") <= k)) / k
     hits = top.groupBy("qid").agg(p(1).alias("p1"), p(3).alias("p3"), p(5).alias("p5"))
     best = best_of_tags(items).select("qid", F.col("best").alias("hit_score"), F.col("best_id").alias("hit_id"))
@@ -239,12 +238,19 @@ def retrieval_metrics(spark, sf):
 @query(f"""WITH {LOO}, r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM loo)
 SELECT qid, round(max(cos) FILTER (rank = 1) - avg(cos) FILTER (rank BETWEEN 2 AND 5), 6) AS margin, round(max(cos) FILTER (rank = 1) - avg(cos) FILTER (rank > 1), 6) AS margin_all FROM r GROUP BY qid""")
 def margins(spark, sf):
-    """How far the best hit stands from the next four, and from all others."""
+    """How far the best hit stands from the next four, and from all others.
+
+    The mean of all others follows from the sum of all vectors, so only five hits a query are ranked.  An item
+    without another has neither, one with a single other no mean to stand from: null.
+    """
     items = gallery(spark, sf)
-    s = retrieve.score_all(items.select(F.col("id").alias("qid"), F.col("img").alias("qv")), items, exclude_self=True).select("qid", "id", "score")
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "id")))
+    everyone = items.select(F.col("id").alias("qid"), F.col("img").alias("qv"))
+    hits = retrieve.exact_blocks(everyone, items, 5, exclude_self=True)
     top = F.max(F.when(F.col("rank") == 1, F.col("score")))
-    return r.groupBy("qid").agg(F.round(top - F.avg(F.when(F.col("rank").between(2, 5), F.col("score"))), 6).alias("margin"), F.round(top - F.avg(F.when(F.col("rank") > 1, F.col("score"))), 6).alias("margin_all"))
+    few = hits.groupBy("qid").agg(top.alias("top"), F.avg(F.when(F.col("rank") > 1, F.col("score"))).alias("next"))
+    rows = everyone.join(few, "qid").crossJoin(F.broadcast(blocks.vector_sum(items)))
+    others = (vec.dot("qv", "total") - vec.dot("qv", "qv") - F.col("top")) / F.when(F.col("n") > 2, F.col("n") - 2)
+    return rows.select("qid", F.round(F.col("top") - F.col("next"), 6).alias("margin"), F.round(F.col("top") - others, 6).alias("margin_all"))
 
 
 TAGS_SQL = f"""WITH {GALLERY}, vc AS (SELECT label, p, avg(img[p]) AS x FROM gallery, (SELECT unnest(range(1, 65)) AS p) GROUP BY label, p),

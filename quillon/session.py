@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,9 +40,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; where that is unset, a private folder in local mode, else an error."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    if not base:
+        app = spark.sparkContext.applicationId
+        if app not in _own:
+            _own[app] = tempfile.mkdtemp(prefix="quillon-")
+            atexit.register(shutil.rmtree, _own[app], True)
+        base = _own[app]
+    return f"{base.rstrip('/')}/quillon"
+
+
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def file_system(uri: str):
+    """(file system, path) for reading or writing bytes inside a task."""
+    from pyarrow import fs
+
+    if "://" not in uri and ":/" in uri:
+        scheme, _, rest = uri.partition(":")
+        uri = f"{scheme}://{rest}"
+    if "://" in uri:
+        return fs.FileSystem.from_uri(uri)
+    return fs.LocalFileSystem(), uri
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Materialised, with its lineage cut: in the cluster's checkpoint folder, or cached where there is none."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None):
-        return df.checkpoint()
-    return df.cache()
+    """Written to shared storage and read again: its lineage is cut, and lost executors lose nothing."""
+    path = new_path(df.sparkSession, "saved")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
