@@ -82,8 +82,7 @@ def heuristic_votes(cos: Column, qtags: Column, rtags: Column) -> Column:
     relevance = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (cos - REL_LO) / (REL_HI - REL_LO)))
     specificity = shared / F.greatest(F.size(qtags), F.lit(1))
     faithful = F.when(F.array_contains(rtags, F.get(qtags, F.lit(0))), 1.0).when(shared > 0, 0.5).otherwise(0.0)
-    vote = lambda name, score, conf: F.struct(F.lit(name).alias("name"), score.cast("double").alias("score"), F.lit(conf).alias("confidence"))
-    return F.array(vote("relevance", relevance, 1.0), vote("specificity", specificity, 0.7), vote("faithfulness", faithful, 0.6))
+    return votes_of({"relevance": (relevance, 1.0), "specificity": (specificity, 0.7), "faithfulness": (faithful, 0.6)})
 
 
 def step(x: Column, w: Column, eps: float = EPS_OPINION) -> Column:
@@ -116,15 +115,42 @@ def n_factions(x: Column, eps: float = EPS_OPINION) -> Column:
     return F.when(F.size(x) == 0, 0).otherwise(1 + F.size(F.filter(gaps, lambda g: g > eps + 1e-12)))
 
 
+#: What to do with a result, by case: (action, status, because, effect).
+OUTCOMES = {
+    "high": ("show it as the answer", "ok", "every lens agrees and the panel reached consensus", "the user sees a confident, defensible match"),
+    "factions": ("withhold — genuinely contested", "stop", "the panel deliberated and still split into factions", "ask the user or broaden the query rather than guess"),
+    "split": ("withhold — genuinely contested", "stop", "the honesty lenses split — no majority to trust", "ask the user or broaden the query rather than guess"),
+    "thin": ("withhold — not enough signal", "stop", "too few lenses cleared their own bar to compose a verdict", "say 'no confident match' instead of showing a coin flip"),
+    "unconfirmed": ("show it with a caveat", "caution", "the council couldn't confirm it", "label it a loose match so the user calibrates trust"),
+    "missed": ("show it with a caveat", "caution", "it missed the calibrated confidence bar", "label it a loose match so the user calibrates trust"),
+    "against": ("show it with a caveat", "caution", "the judges leaned against it", "label it a loose match so the user calibrates trust"),
+    "poor": ("show it, flagged as weak", "caution", "the lenses agree it's a poor match", "keep it, but make the low confidence explicit"),
+}
+FIELDS = ("action", "status", "because", "effect")
+
+
 def action(level: Column, reason: Column, contested: Column, council_decision: Column) -> Column:
-    """What to do with a result: struct(action, status, because)."""
-    out = lambda a, s, b: F.struct(F.lit(a).alias("action"), F.lit(s).alias("status"), (b if isinstance(b, Column) else F.lit(b)).alias("because"))
-    stop = F.when(contested, "the panel deliberated and still split into factions").otherwise("the honesty lenses split — no majority to trust")
-    why = F.when(council_decision == "abstain", "the council couldn't confirm it").when(council_decision == "relevant", "it missed the calibrated confidence bar").otherwise("the judges leaned against it")
-    return (
-        F.when(level == "high", out("show it as the answer", "ok", "every lens agrees and the panel reached consensus"))
-        .when((level == "abstain") & ((reason == "split decision") | contested), out("withhold — genuinely contested", "stop", stop))
-        .when(level == "abstain", out("withhold — not enough signal", "stop", "too few lenses cleared their own bar to compose a verdict"))
-        .when(level == "medium", out("show it with a caveat", "caution", why))
-        .otherwise(out("show it, flagged as weak", "caution", "the lenses agree it's a poor match"))
-    )
+    """What to do with a result: struct(action, status, because, effect)."""
+    stop, medium = level == "abstain", level == "medium"
+    cases = {
+        "high": level == "high",
+        "factions": stop & contested,
+        "split": stop & (reason == "split decision"),
+        "thin": stop,
+        "unconfirmed": medium & (council_decision == "abstain"),
+        "missed": medium & (council_decision == "relevant"),
+        "against": medium,
+        "poor": F.lit(True),
+    }
+    out = F
+    for case, fits in cases.items():
+        out = out.when(fits, F.struct(*[F.lit(v).alias(f) for f, v in zip(FIELDS, OUTCOMES[case], strict=True)]))
+    return out
+
+
+def votes_of(judges: dict[str, tuple[Column, float]]) -> Column:
+    """Votes as ``council`` takes them, of any judges given as {name: (score, confidence)}; null scores abstain.
+
+    A judge is a column: a rubric over stored signals, ``parse_score`` of a model's replies, or a UDF.
+    """
+    return F.array(*[F.struct(F.lit(n).alias("name"), s.cast("double").alias("score"), F.lit(float(c)).alias("confidence")) for n, (s, c) in judges.items()])

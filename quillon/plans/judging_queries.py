@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
 from ..operators import calibrate as cal
-from ..operators import judge, retrieve
+from ..operators import blocks, judge, retrieve
 from ..sources.gallery import gallery
 from .registry import GALLERY, LOO, query
 
-#: Best other result of each of a hundred queries, fused, with the margin over the others.
-BEST_SQL = f"""{GALLERY}, s AS (SELECT a.id AS qid, b.id, (list_dot_product(a.img, b.img) + list_dot_product(a.txt, b.txt)) / 2 AS cos, list_dot_product(a.img, b.img) AS icos, a.tags AS qtags, b.tags AS rtags FROM gallery a JOIN gallery b ON a.id <> b.id WHERE a.id < 100),
+#: Best other result of each item, fused, with the margin over the others.
+BEST_SQL = f"""{GALLERY}, s AS (SELECT a.id AS qid, b.id, (list_dot_product(a.img, b.img) + list_dot_product(a.txt, b.txt)) / 2 AS cos, list_dot_product(a.img, b.img) AS icos, a.tags AS qtags, b.tags AS rtags FROM gallery a JOIN gallery b ON a.id <> b.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cos DESC, id) AS rank FROM s),
 m AS (SELECT qid, max(cos) FILTER (rank = 1) - avg(cos) FILTER (rank > 1) AS margin FROM r GROUP BY qid),
 best AS (SELECT r.*, margin FROM r JOIN m USING (qid) WHERE rank = 1)"""
@@ -27,12 +26,13 @@ def best_results(spark, sf):
 
     Cosines here are small, so rubrics read three times the cosine.
     """
-    items = gallery(spark, sf)
-    q = items.where("id < 100").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
-    s = items.crossJoin(F.broadcast(q)).where("qid <> id").select("qid", "id", "qtags", "tags", ((vec.dot("img", "qv") + vec.dot("txt", "qt")) / 2).alias("cos"), vec.dot("img", "qv").alias("icos"))
-    w = Window.partitionBy("qid")
-    r = s.withColumn("rank", F.row_number().over(w.orderBy(F.desc("cos"), "id"))).withColumn("margin", F.col("cos") - (F.sum("cos").over(w) - F.col("cos")) / (F.count("*").over(w) - 1))
-    return r.where("rank = 1")
+    items = gallery(spark, sf).withColumn("both", vec.scaled(F.concat("img", "txt"), F.lit(0.5**0.5)))
+    q = items.select(F.col("id").alias("qid"), F.col("both").alias("qv"), F.col("img").alias("qi"), F.col("tags").alias("qtags"))
+    top = retrieve.exact_blocks(q, items, 1, column="both", exclude_self=True).select("qid", "id", F.col("score").alias("cos"))
+    r = top.join(q, "qid").join(items.select("id", "img", "tags"), "id").crossJoin(F.broadcast(blocks.vector_sum(items, "both")))
+    # the mean of all others follows from the sum of all vectors
+    others = (vec.dot("qv", "total") - vec.dot("qv", "qv") - F.col("cos")) / (F.col("n") - 2)
+    return r.select("qid", "id", "qtags", "tags", "cos", vec.dot("qi", "img").alias("icos"), (F.col("cos") - others).alias("margin"))
 
 
 def ruled(spark, sf):
@@ -58,6 +58,11 @@ f AS (SELECT qid, x0, w, x, rounds, list_sort(x) AS s FROM d QUALIFY row_number(
 g AS (SELECT *, 1 + (s[2] - s[1] > 0.3 + 1e-12)::INT + (s[3] - s[2] > 0.3 + 1e-12)::INT AS factions, list_sum(list_transform([1, 2, 3], lambda i: ((x0[i] >= 0.5) <> (x[i] >= 0.5))::INT)) AS flips, (x[1] * w[1] + x[2] * w[2] + x[3] * w[3]) / (w[1] + w[2] + w[3]) AS score FROM f)"""
 
 
+def debate_verdict():
+    """The panel's ruling after deliberation: contested panels abstain."""
+    return F.when(F.col("factions") > 1, "abstain").when(F.col("debate_score") >= 0.5, "relevant").otherwise("not relevant")
+
+
 def debated(spark, sf):
     x, w = F.transform("votes", lambda v: v["score"]), F.transform("votes", lambda v: v["confidence"])
     d = ruled(spark, sf).withColumn("x0", x).withColumn("w", w).withColumn("d", judge.debate(F.col("x0"), F.col("w")))
@@ -68,14 +73,13 @@ def debated(spark, sf):
 @query(DEBATE_CTE + " SELECT qid, rounds, factions, CAST(flips AS INTEGER) AS flips, round(CASE WHEN factions = 1 THEN score END, 6) AS score, CASE WHEN factions > 1 THEN 'abstain' WHEN score >= 0.5 THEN 'relevant' ELSE 'not relevant' END AS verdict FROM g")
 def debate(spark, sf):
     d = debated(spark, sf)
-    verdict = F.when(F.col("factions") > 1, "abstain").when(F.col("debate_score") >= 0.5, "relevant").otherwise("not relevant")
-    return d.select("qid", "d.rounds", "factions", "flips", F.round("debate_score", 6).alias("score"), verdict.alias("verdict"))
+    return d.select("qid", "d.rounds", "factions", "flips", F.round("debate_score", 6).alias("score"), debate_verdict().alias("verdict"))
 
 
-@query(DEBATE_CTE + " SELECT count(*) AS n, count(*) FILTER (factions = 1) AS consensus, count(*) FILTER (factions > 1) AS contested, count(*) FILTER (flips > 0) AS flipped FROM g")
+@query(DEBATE_CTE + " SELECT count(*) AS n, count(*) FILTER (factions = 1) AS consensus, count(*) FILTER (factions > 1) AS contested, count(*) FILTER (flips > 0) AS flipped, count(*) FILTER (CASE WHEN factions > 1 THEN 'abstain' WHEN score >= 0.5 THEN 'relevant' ELSE 'not relevant' END <> decision) AS changed FROM g JOIN c USING (qid)")
 def debate_counts(spark, sf):
     d = debated(spark, sf)
-    return d.agg(F.count("*").alias("n"), F.count_if(F.col("factions") == 1).alias("consensus"), F.count_if(F.col("factions") > 1).alias("contested"), F.count_if(F.col("flips") > 0).alias("flipped"))
+    return d.agg(F.count("*").alias("n"), F.count_if(F.col("factions") == 1).alias("consensus"), F.count_if(F.col("factions") > 1).alias("contested"), F.count_if(F.col("flips") > 0).alias("flipped"), F.count_if(debate_verdict() != F.col("council.decision")).alias("changed"))
 
 
 LENS_SQL = DEBATE_CTE + f""", {LOO.replace(GALLERY + ", ", "")}, sc AS (SELECT 1 - max(cos) AS score FROM loo WHERE rel GROUP BY qid), sr AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM sc),
@@ -106,14 +110,29 @@ def trust(spark, sf):
     return t.select("qid", "id", "trust.level", "trust.reason", F.round("trust.score", 6).alias("score"), "trust.n_valid", *lens)
 
 
-@query(LENS_SQL + """ SELECT qid, CASE WHEN level = 'high' THEN 'show it as the answer' WHEN level = 'abstain' AND (reason = 'split decision' OR factions > 1) THEN 'withhold — genuinely contested' WHEN level = 'abstain' THEN 'withhold — not enough signal' WHEN level = 'medium' THEN 'show it with a caveat' ELSE 'show it, flagged as weak' END AS action,
-CASE WHEN level = 'high' THEN 'ok' WHEN level = 'abstain' THEN 'stop' ELSE 'caution' END AS status,
-CASE WHEN level = 'high' THEN 'every lens agrees and the panel reached consensus' WHEN level = 'abstain' AND factions > 1 THEN 'the panel deliberated and still split into factions' WHEN level = 'abstain' AND reason = 'split decision' THEN 'the honesty lenses split — no majority to trust' WHEN level = 'abstain' THEN 'too few lenses cleared their own bar to compose a verdict'
-WHEN level = 'medium' AND decision = 'abstain' THEN 'the council couldn''t confirm it' WHEN level = 'medium' AND decision = 'relevant' THEN 'it missed the calibrated confidence bar' WHEN level = 'medium' THEN 'the judges leaned against it' ELSE 'the lenses agree it''s a poor match' END AS because FROM t""")
+#: The cases of ``judge.OUTCOMES``, in order, as SQL conditions.
+CASES = {
+    "high": "level = 'high'",
+    "factions": "level = 'abstain' AND factions > 1",
+    "split": "level = 'abstain' AND reason = 'split decision'",
+    "thin": "level = 'abstain'",
+    "unconfirmed": "level = 'medium' AND decision = 'abstain'",
+    "missed": "level = 'medium' AND decision = 'relevant'",
+    "against": "level = 'medium'",
+    "poor": "true",
+}
+
+
+def _outcome_sql(n: int) -> str:
+    said = {case: values[n].replace("'", "''") for case, values in judge.OUTCOMES.items()}
+    return "CASE " + " ".join(f"WHEN {fits} THEN '{said[case]}'" for case, fits in CASES.items()) + f" END AS {judge.FIELDS[n]}"
+
+
+@query(LENS_SQL + " SELECT qid, " + ", ".join(map(_outcome_sql, range(4))) + " FROM t")
 def decision(spark, sf):
     t = trusted(spark, sf)
     a = judge.action(F.col("trust.level"), F.col("trust.reason"), F.col("factions") > 1, F.col("council.decision"))
-    return t.select("qid", a.alias("a")).select("qid", "a.action", "a.status", "a.because")
+    return t.select("qid", a.alias("a")).select("qid", *[f"a.{f}" for f in judge.FIELDS])
 
 
 def half_up(x):

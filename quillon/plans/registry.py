@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +12,7 @@ ORACLES: dict[str, str] = {}
 #: The shared views, as DuckDB common table expressions.
 GALLERY = """gallery AS (SELECT vec_id AS id, 'img_' || lpad(CAST(vec_id AS VARCHAR), 5, '0') AS path, label, CAST(embedding AS DOUBLE[]) AS img,
     list_concat(CAST(embedding AS DOUBLE[])[33:64], CAST(embedding AS DOUBLE[])[1:32]) AS txt, ['c' || CAST(label AS VARCHAR), 'm' || CAST(vec_id % 7 AS VARCHAR)] AS tags FROM embeddings)"""
-PAIRS = f"""{GALLERY}, q AS (SELECT id AS qid, img AS qv, tags AS qtags FROM gallery WHERE id < 20),
+PAIRS = f"""{GALLERY}, q AS (SELECT id AS qid, img AS qv, tags AS qtags FROM gallery WHERE id % 20 = 0),
 pairs AS (SELECT qid, qv, qtags, gallery.*, list_dot_product(img, qv) AS cos_image, list_dot_product(txt, qv) AS cos_text FROM q, gallery)"""
 #: Leave-one-out pairs over all items.
 LOO = f"""{GALLERY}, loo AS (SELECT a.id AS qid, b.id AS id, list_dot_product(a.img, b.img) AS cos, list_has_any(a.tags, b.tags) AS rel FROM gallery a JOIN gallery b ON a.id <> b.id)"""
@@ -29,12 +28,3 @@ def query(sql: str | None = None):
         return f
 
     return add
-
-
-def everywhere(f, bound: tuple[str, str], **asked) -> None:
-    """Register a query that states a fixed set once more, as NAME_all, over its whole set; its SQL is the same but for the bound."""
-    sql = ORACLES[f.__name__]
-    if bound[0] not in sql:
-        raise ValueError(f"{f.__name__}: no {bound[0]!r} in its SQL")
-    QUERIES[f"{f.__name__}_all"] = functools.wraps(f)(functools.partial(f, **asked))
-    ORACLES[f"{f.__name__}_all"] = sql.replace(*bound)

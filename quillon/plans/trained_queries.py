@@ -1,6 +1,6 @@
 """Searches over trained cells and codes, for every item whose id is divisible by 20.
 
-The queries of ``retrieval_queries`` with SQL state a fixed model and the first twenty items.  Here models are
+The queries of ``retrieval_queries`` with SQL state a model of stored vectors.  Here models are
 trained on at most SAMPLE rows, candidates are shares of the table, and both were chosen from recall against
 exact search, which the tests demand to be 0.9.
 """
@@ -16,7 +16,7 @@ from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 from ..functions import vec
 from ..operators import index, retrieve
 from ..session import saved
-from ..sources.gallery import every_twentieth, gallery
+from ..sources.gallery import queries, gallery
 from .registry import query
 
 SAMPLE = 20_000
@@ -53,7 +53,7 @@ def ivf_trained(spark, sf):
     items = gallery(spark, sf).select("id", "img", "tags")
     m = model(spark, cents=index.kmeans(sample(items), CELLS))
     filed = retrieve.assign_cells(items.crossJoin(m), F.col("cents")).drop("cents", "tags")
-    hits = retrieve.ivf_search(every_twentieth(items).crossJoin(m), filed, F.col("cents"), 10, PROBES)
+    hits = retrieve.ivf_search(queries(items).crossJoin(m), filed, F.col("cents"), 10, PROBES)
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"), "scanned")
 
 
@@ -74,7 +74,7 @@ def _by_codes(items: DataFrame, m: DataFrame, column: str = "img") -> DataFrame:
     """Top ten after an exact second look at the best SHORT of the table by product codes."""
     coded = items.crossJoin(m).select("id", retrieve.pq_encode(F.col(column), F.col("books"), SUB).alias("codes"))
     turn = items.select(F.col("id").alias("qid"), F.col(column).alias("turn"))
-    asked = every_twentieth(items).join(turn, "qid").crossJoin(m).select("qid", "qv", retrieve.adc_tables(F.col("turn"), F.col("books"), SUB).alias("tables"))
+    asked = queries(items).join(turn, "qid").crossJoin(m).select("qid", "qv", retrieve.adc_tables(F.col("turn"), F.col("books"), SUB).alias("tables"))
     out, (short,) = None, share(items, SHORT, k=10)
     for part in retrieve.parts(asked, times=1 + BOOKS * WORDS // 64):
         scored = coded.crossJoin(F.broadcast(part.drop("qv"))).select("qid", "id", F.round(retrieve.adc_score(F.col("codes"), F.col("tables")), 9).alias("score"))
@@ -108,7 +108,7 @@ def cascade_trained(spark, sf):
     i8 = lambda c: retrieve.int8_codes(F.col(c), F.array_repeat("scale", 64))
     coded = retrieve.assign_cells(items.drop("tags").crossJoin(m), F.col("cents"))
     coded = coded.select("id", "img", "cell", vec.bits("img").alias("sign"), retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"), i8("img").alias("i8"))
-    asked, keep, out = every_twentieth(items), share(items, *KEEP, k=5), None
+    asked, keep, out = queries(items), share(items, *KEEP, k=5), None
     for part in retrieve.parts(asked, times=CASCADE_PROBES * (2 + BOOKS * WORDS // 64)):
         near = retrieve.probe_cells(part.crossJoin(m), F.col("cents"), CASCADE_PROBES)
         near = near.select("qid", "qv", "cell", vec.bits("qv").alias("qsign"), retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"), i8("qv").alias("q8"))

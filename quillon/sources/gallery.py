@@ -21,13 +21,8 @@ def gallery(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def queries(items: DataFrame, n: int = 20) -> DataFrame:
-    """(qid, qv, qtags): the first n items as a query set of fixed size."""
-    return items.where(F.col("id") < n).select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
-
-
-def every_twentieth(items: DataFrame) -> DataFrame:
-    """(qid, qv, qtags): every item whose id is divisible by 20, a share of the table; to be broadcast in blocks only."""
+def queries(items: DataFrame) -> DataFrame:
+    """(qid, qv, qtags): the stated query set, every item whose id is divisible by 20; a share of the table."""
     return items.where(F.col("id") % 20 == 0).select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags"))
 
 
