@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -58,17 +59,56 @@ def and_join(xs: Column) -> Column:
     return F.when(n == 0, "").when(n == 1, F.get(xs, F.lit(0))).otherwise(F.concat(F.array_join(F.slice(xs, 1, F.greatest(n - 1, F.lit(1))), ", "), F.lit(" and "), F.element_at(xs, -1)))
 
 
+def attributes(html: Column, tag: str, name: str) -> Column:
+    """Values of an attribute of every such tag, in order: in double quotes, single quotes or none, in any case."""
+    head = rf"(?is)<{tag}(?:\s[^>]*?)?\s{name}\s*=\s*"
+    found = F.regexp_extract_all(html, F.lit(head + r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)"""), F.lit(0))
+    value = F.transform(found, lambda m: F.regexp_replace(m, "^" + head, ""))
+    bare = F.transform(value, lambda v: F.when(v.rlike("^[\"']"), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v))
+    return F.filter(bare, lambda v: v != "")
+
+
 def hrefs(html: Column) -> Column:
     """Targets of links, in order."""
-    return F.regexp_extract_all(html, F.lit('<a [^>]*href="([^"]+)"'), F.lit(1))
+    return attributes(html, "a", "href")
+
+
+def images(html: Column) -> Column:
+    """Addresses of pictures, in order."""
+    return attributes(html, "img", "src")
+
+
+def _flat(path: Column) -> Column:
+    """A path without ``.`` and ``..`` segments; those above the root drop out."""
+    parts = F.split(path, "/", -1)
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda out, p: F.when(p == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).when(p == ".", out).otherwise(F.concat(out, F.array(p))))
+    folder = F.when(F.element_at(parts, -1).isin(".", ".."), "/").otherwise("")
+    joined = F.concat(F.array_join(kept, "/"), folder)
+    return F.when(joined == "", "/").otherwise(joined)
 
 
 def url_join(base: Column, href: Column) -> Column:
-    """Absolute form of a link: absolute, root-relative, or relative to the page's folder; fragments dropped."""
-    h = F.regexp_replace(href, "#.*$", "")
-    root = F.regexp_extract(base, "^([a-z]+://[^/?#]+)", 1)
-    folder = F.regexp_extract(base, "^([a-z]+://[^?#]*/)", 1)
-    return F.when(h.rlike("^[a-z]+:"), h).when(h.startswith("//"), F.concat(F.regexp_extract(base, "^([a-z]+:)", 1), h)).when(h.startswith("/"), F.concat(root, h)).otherwise(F.concat(folder, h))
+    """Absolute form of a link on a page, by RFC 3986, without its fragment; dot segments are resolved.
+
+    ``//host`` takes the page's scheme, ``?x`` its path, an empty link the page itself; what has a scheme stays.
+    """
+    h, page = F.regexp_replace(F.trim(href), "#.*$", ""), F.regexp_replace(base, "#.*$", "")
+    scheme, root = F.regexp_extract(page, "(?i)^([a-z][a-z0-9+.-]*:)", 1), F.regexp_extract(page, "(?i)^([a-z][a-z0-9+.-]*://[^/?]*)", 1)
+    own = F.regexp_extract(page, "(?i)^[a-z][a-z0-9+.-]*://[^/?]*([^?]*)", 1)
+    path, query = F.regexp_extract(h, "^([^?]*)", 1), F.regexp_extract(h, r"^[^?]*(\?.*)?$", 1)
+    folder = F.coalesce(F.nullif(F.regexp_extract(own, "^(.*/)", 1), F.lit("")), F.lit("/"))
+    absolute = F.when(path.startswith("/"), _flat(path)).otherwise(_flat(F.concat(folder, path)))
+    return F.when(h.rlike("(?i)^[a-z][a-z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme, h)).when(h == "", page).when(path == "", F.concat(root, own, query)).otherwise(F.concat(root, absolute, query))
+
+
+def decoded(content: Column) -> Column:
+    """UTF-8 bytes as text, each malformed stretch as U+FFFD."""
+
+    @F.pandas_udf("string")
+    def decode(xs: pd.Series) -> pd.Series:
+        return pd.Series([None if x is None else bytes(x).decode("utf-8", "replace") for x in xs], dtype=object)
+
+    return decode(content)
 
 
 def describe_error(kind: Column, message: Column, seconds: int = 8) -> Column:

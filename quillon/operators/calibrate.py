@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import saved
-from ..sources.store import numbered
+from ..sources.store import numbered, running
 
 INF = float("inf")
 #: Rulings of the drift monitor.
@@ -46,9 +47,29 @@ def jackknife(scores: DataFrame, alphas: list[float], value: str = "score") -> D
     return rows.groupBy("alpha").agg(F.avg(covered.cast("int")).alias("coverage"))
 
 
+def quantiles(rows: DataFrame, probs: list[float], *, value: str = "value", key: str | None = None) -> DataFrame:
+    """(key, p, q): exact quantiles of each group with linear interpolation; nulls don't count.
+
+    Values are counted first, so a frequent one is one row; running counts over sorted ranges then find the two
+    values that a quantile lies between.  No task holds a group's values.
+    """
+    group = F.col(key) if key else F.lit(0)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(group.alias("_k"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    upto = saved(running(counts, ["_k", "_v"], "_n", "_upto"))
+    sizes = upto.groupBy("_k").agg(F.sum("_n").alias("_size"), F.min(F.col("_upto") - F.col("_n")).alias("_start"))
+    at = sizes.select("_k", "_start", F.explode(F.array(*[F.struct(F.lit(float(p)).alias("p"), (F.lit(float(p)) * (F.col("_size") - 1)).alias("pos")) for p in probs])).alias("t"))
+    at = at.select("_k", F.col("t.p").alias("p"), (F.col("t.pos") - F.floor("t.pos")).alias("_part"), F.explode(F.array(F.struct(F.lit(0).alias("hi"), F.floor("t.pos").alias("r")), F.struct(F.lit(1).alias("hi"), F.ceil("t.pos").alias("r")))).alias("e"), "_start")
+    at = saved(at.select(F.col("_k").alias("_g"), "p", "_part", "e.hi", (F.col("_start") + F.col("e.r")).alias("_r")))
+    hit = upto.join(at, F.col("_k").eqNullSafe(F.col("_g")) & (F.col("_r") < F.col("_upto")) & (F.col("_r") >= F.col("_upto") - F.col("_n")))
+    ends = hit.groupBy("_g", "p").agg(F.max(F.when(F.col("hi") == 0, F.col("_v"))).alias("lo"), F.max(F.when(F.col("hi") == 1, F.col("_v"))).alias("hi"), F.max("_part").alias("part"))
+    q = F.when(F.col("part") == 0, F.col("lo")).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("part"))
+    return ends.select(*([F.col("_g").alias(key)] if key else []), "p", q.alias("q"))
+
+
 def edges(ref: DataFrame, value: str = "value", bins: int = BINS) -> DataFrame:
     """One row: the distinct quantiles of the reference (linear interpolation)."""
-    return ref.agg(F.array_distinct(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).alias("edges"))
+    found = quantiles(ref, [i / bins for i in range(bins + 1)], value=value)
+    return found.agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda x: x["q"])).alias("edges"))
 
 
 def bin_of(value: Column, edges_: Column) -> Column:
@@ -71,14 +92,19 @@ def psi(ref: DataFrame, live: DataFrame, *, value: str = "value", key: str = "wi
 
 
 def ks(ref: DataFrame, live: DataFrame, *, value: str = "value", key: str = "window_id") -> DataFrame:
-    """(key, ks, n_ref, n_live): largest distance of the two right-continuous distribution functions."""
-    keys = live.groupBy(key).agg(F.count("*").alias("n_live"))
-    r = ref.groupBy(value).agg(F.count("*").alias("a"), F.lit(0).cast("long").alias("b")).crossJoin(F.broadcast(keys.select(key)))
-    l_ = live.groupBy(key, value).agg(F.lit(0).cast("long").alias("a"), F.count("*").alias("b"))
-    w = Window.partitionBy(key).orderBy(value)
-    both = r.select(key, value, "a", "b").unionByName(l_).groupBy(key, value).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = both.select(key, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb")).join(keys, key).crossJoin(F.broadcast(ref.agg(F.count("*").alias("n_ref"))))
-    return run.groupBy(key).agg(F.max(F.abs(F.col("ca") / F.col("n_ref") - F.col("cb") / F.col("n_live"))).alias("ks"), F.first("n_ref").alias("n_ref"), F.first("n_live").alias("n_live"))
+    """(key, ks, n_ref, n_live): largest distance of the two right-continuous distribution functions.
+
+    It is met at a value of the window or just before one, so the reference's running counts are looked up at the
+    windows' own values; the reference isn't copied to each window and no task sorts a window.
+    """
+    a = ref.groupBy(value).agg(F.count("*").alias("a")).unionByName(live.select(value).distinct().withColumn("a", F.lit(0).cast("long")))
+    a = running(a.groupBy(value).agg(F.sum("a").alias("a")), [value], "a", "ca").select(F.col(value).alias("_v"), "a", "ca")
+    b = saved(running(live.groupBy(key, value).agg(F.count("*").alias("b")), [key, value], "b", "cb"))
+    sizes = b.groupBy(F.col(key).alias("_k")).agg(F.sum("b").alias("n_live"), F.min(F.col("cb") - F.col("b")).alias("before"))
+    both = b.join(a, F.col(value).eqNullSafe(F.col("_v"))).join(sizes, F.col(key).eqNullSafe(F.col("_k"))).crossJoin(F.broadcast(ref.agg(F.count("*").alias("n_ref"))))
+    here = F.abs(F.col("ca") / F.col("n_ref") - (F.col("cb") - F.col("before")) / F.col("n_live"))
+    ahead = F.abs((F.col("ca") - F.col("a")) / F.col("n_ref") - (F.col("cb") - F.col("b") - F.col("before")) / F.col("n_live"))
+    return both.groupBy(key).agg(F.max(F.greatest(here, ahead)).alias("ks"), F.first("n_ref").alias("n_ref"), F.first("n_live").alias("n_live"))
 
 
 def ks_critical(n: Column, m: Column, alpha: float = 0.05) -> Column:
@@ -110,6 +136,36 @@ def gate(reference: DataFrame, live: DataFrame, alpha: float = 0.2) -> DataFrame
     return frozen.crossJoin(bad).select((F.col("frozen") > 0).alias("frozen"), "drifted", ((F.col("frozen") == 0) | (F.col("drifted") == 0)).alias("passed"))
 
 
+def freeze(reference: DataFrame, path: str, alpha: float = 0.2, *, value: str = "value") -> None:
+    """Write a reference signal with its level, for later gates."""
+    reference.select(F.col(value).alias("value"), F.lit(float(alpha)).alias("alpha")).write.mode("overwrite").parquet(path)
+
+
+def frozen(spark: SparkSession, path: str) -> DataFrame | None:
+    """The reference written there, or None."""
+    try:
+        return spark.read.schema("value double, alpha double").parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def gate_at(spark: SparkSession, path: str, signal: DataFrame, *, alpha: float = 0.2, value: str = "value") -> DataFrame:
+    """One row (frozen, level, passed, reasons): the signal as one window against the reference at ``path``.
+
+    The first run finds none: it writes the signal there and passes, with ``frozen`` false.  A job that is to fail
+    on drift looks at ``passed``.
+    """
+    reference = frozen(spark, path)
+    if reference is None:
+        freeze(signal, path, alpha, value=value)
+        return spark.createDataFrame([(False, None, True, [])], "frozen boolean, level string, passed boolean, reasons array<string>")
+    live = signal.select(F.lit("now").alias("window_id"), F.col(value).alias("value"))
+    ruled = monitor(reference.select("value"), live, alpha)
+    return ruled.select(F.lit(True).alias("frozen"), "level", (F.col("level") != "drift").alias("passed"), "reasons")
+
+
 def contaminate(sample: DataFrame, fraction: float, drop: float = 0.2, *, value: str = "value", order: str = "seq") -> DataFrame:
     """An evenly spaced share of rows (half-up count) lowered by ``drop``, not below 0.
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import calibrate as cal
 from ..operators import retrieve
-from ..session import saved, table
+from ..session import new_path, saved, table
 from ..sources.gallery import gallery, queries
 from ..sources.store import numbered
+from ..streaming import jobs
 from .registry import GALLERY, LOO, query
 
 ALPHAS = [0.4, 0.3, 0.2, 0.1, 0.05]
@@ -169,4 +170,23 @@ def histogram(spark, sf):
 @query("SELECT event_type, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9), 6) AS p90 FROM events GROUP BY event_type")
 def quantiles(spark, sf):
     """Exact quantiles with linear interpolation."""
-    return table(spark, sf, "events").groupBy("event_type").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"), F.round(F.percentile("value", F.lit(0.9)), 6).alias("p90"))
+    q = cal.quantiles(table(spark, sf, "events"), [0.5, 0.9], key="event_type")
+    at = lambda p: F.round(F.max(F.when(F.col("p") == p, F.col("q"))), 6)
+    return q.groupBy("event_type").agg(at(0.5).alias("median"), at(0.9).alias("p90"))
+
+
+@query("SELECT 'first' AS run, false AS frozen, CAST(NULL AS VARCHAR) AS level, true AS passed UNION ALL SELECT 'same', true, 'stable', true")
+def drift_reference(spark, sf):
+    """A gate over a written reference: the first run freezes it and passes, the next compares with it."""
+    path, signal = new_path(spark, "reference"), windows(spark, sf)[0]
+    first = cal.gate_at(spark, path, signal).withColumn("run", F.lit("first"))
+    return first.unionByName(cal.gate_at(spark, path, signal).withColumn("run", F.lit("same"))).select("run", "frozen", "level", "passed")
+
+
+@query(DRIFT_SQL + """SELECT window_id, CASE WHEN psi > 0.25 OR ks > crit OR coverage < 0.8 - 0.1 THEN 'drift' WHEN psi > 0.1 OR ks > crit * 0.75 THEN 'shift' ELSE 'stable' END AS level FROM d""")
+def stream_monitor(spark, sf):
+    """The events after the first ten days as a stream, judged against those."""
+    reference, folder = windows(spark, sf)[0], new_path(spark, "monitor")
+    live = jobs.events(spark, sf).where("ts >= timestamp'2024-01-11'")
+    jobs.monitor(live, reference, f"{folder}/rows", checkpoint=f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/rows").select("window_id", "level")

@@ -28,3 +28,9 @@ def query(sql: str | None = None):
         return f
 
     return add
+
+
+_HEAD = r"<a(?:\s[^>]*?)?\shref\s*=\s*"
+#: Targets of a page's links, in any quotes and case, as a DuckDB list of ``html``.
+LINKS_SQL = rf"""list_filter(list_transform(list_transform(regexp_extract_all(html, '(?is){_HEAD}(?:"[^"]*"|''[^'']*''|[^\s"''>]+)', 0), lambda m: regexp_replace(m, '(?is)^{_HEAD}', '')),
+    lambda v: CASE WHEN v[1] IN ('"', '''') THEN substr(v, 2, length(v) - 2) ELSE v END), lambda v: v <> '')"""

@@ -290,10 +290,12 @@ def top_tags(spark, sf):
     return _tagged(spark, sf).where("rank <= 3").select("id", "tag", "rank", F.round("score", 6).alias("score"))
 
 
-@query(TAGS_SQL + "SELECT count(DISTINCT id) AS n, count(*) FILTER (rank = 1 AND tag = 'c' || CAST(label AS VARCHAR)) AS top1, count(*) FILTER (rank <= 5 AND tag = 'c' || CAST(label AS VARCHAR)) AS top5 FROM r")
+@query(TAGS_SQL + "SELECT count(DISTINCT id) AS n, count(*) FILTER (rank = 1 AND tag = 'c' || CAST(label AS VARCHAR)) AS top1, count(*) FILTER (rank <= 5 AND tag = 'c' || CAST(label AS VARCHAR)) AS top5, (SELECT count(*) FROM embeddings WHERE label IS NULL) AS skipped FROM r WHERE label IS NOT NULL")
 def hit_rates(spark, sf):
+    """How often the right word is first or among five, over items with a label; the others are counted as skipped."""
     hit = F.col("tag") == F.concat(F.lit("c"), F.col("label").cast("string"))
-    return _tagged(spark, sf).agg(F.countDistinct("id").alias("n"), F.count_if(hit & (F.col("rank") == 1)).alias("top1"), F.count_if(hit & (F.col("rank") <= 5)).alias("top5"))
+    known = F.col("label").isNotNull()
+    return _tagged(spark, sf).agg(F.countDistinct(F.when(known, F.col("id"))).alias("n"), F.count_if(hit & (F.col("rank") == 1)).alias("top1"), F.count_if(hit & (F.col("rank") <= 5)).alias("top5"), F.countDistinct(F.when(~known, F.col("id"))).alias("skipped"))
 
 
 @query(TAGS_SQL + ", p AS (SELECT id, tag, round_even(1 / (1 + exp(-5 * (score - 0.05))), 4) AS p FROM r) SELECT id, list(tag ORDER BY p DESC, tag) AS labels, max(p) AS best FROM p WHERE p >= 0.55 GROUP BY id")

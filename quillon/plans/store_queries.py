@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, text, vec
 from ..operators import dedupe
-from ..session import table
+from ..session import new_path, table
 from ..sources import store
 from ..sources.gallery import gallery
 from ..streaming import jobs
-from .registry import GALLERY, query
+from .registry import GALLERY, LINKS_SQL, query
 
 
 @query("WITH r AS (SELECT o_custkey AS path, o_orderkey AS seq, o_totalprice AS caption, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey DESC) AS n FROM orders) SELECT path, seq, caption FROM r WHERE n = 1")
@@ -49,11 +49,11 @@ def raw_records(spark, sf):
     return g.select(F.col("id").alias("pos"), F.when(whole, F.to_json(v)).otherwise("[1, oops]").alias("vector"), F.when(F.col("id") % 3 == 0, "  ").otherwise(F.concat(F.lit(" dish "), F.col("id").cast("string"), F.lit(" "))).alias("name"), F.when(F.col("id") % 5 == 0, "").otherwise(F.expr("repeat('tasty ', cast(id % 70 as int))")).alias("description"), F.when(F.col("id") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("cafe "), F.col("id").cast("string")).alias("name")))).otherwise("{}").alias("cafe"), F.lit(None).cast("string").alias("image"))
 
 
-@query(f"WITH {RAW_SQL} SELECT row_number() OVER (ORDER BY pos) - 1 AS id, pos, name, caption, cafe, '' AS url, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM cl WHERE ok ORDER BY pos LIMIT 400")
+@query(f"WITH {RAW_SQL} SELECT row_number() OVER (ORDER BY pos) - 1 AS id, pos, name, caption, cafe, '' AS url, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first FROM cl WHERE ok")
 def ingest(spark, sf):
-    """Cleaned records with consecutive ids, at most four hundred."""
+    """Cleaned records with consecutive ids."""
     good = store.clean(raw_records(spark, sf), 64).where("ok").drop("ok")
-    return store.numbered(good, ["pos"], 400).select("id", "pos", "name", "caption", "cafe", "url", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
+    return store.numbered(good, ["pos"]).select("id", "pos", "name", "caption", "cafe", "url", F.round(F.get("vector", F.lit(0)), 6).alias("first"))
 
 
 @query(f"WITH {RAW_SQL} SELECT count(*) AS n, count(*) FILTER (NOT ok) AS skipped FROM cl")
@@ -110,9 +110,17 @@ def provider_fanout(spark, sf):
     return store.merge_providers(_providers(spark, sf))[0]
 
 
-@query(f"WITH {PROVIDERS_SQL} SELECT provider, count(*) AS n FROM p GROUP BY provider")
+#: What the providers answered: one failed, one was not reached.
+ASKED = (("view", None), ("click", None), ("purchase", None), ("signup", None), ("error", None), ("archive", "TimeoutError"), ("museum", "TypeError"))
+
+
+@query(f"WITH {PROVIDERS_SQL}, a(provider, failure) AS (VALUES " + ", ".join(f"('{a}', {'NULL' if e is None else repr(e)})" for a, e in ASKED) + """), n AS (SELECT provider, count(*) AS n FROM p GROUP BY provider)
+SELECT provider, coalesce(n, 0) AS n, CASE failure WHEN 'TimeoutError' THEN 'no answer in 8s' WHEN 'TypeError' THEN 'unreachable — blocked or offline' END AS error FROM a LEFT JOIN n USING (provider)""")
 def provider_ledger(spark, sf):
-    return store.merge_providers(_providers(spark, sf))[1]
+    """Results of every asked provider, failed ones with their error in words."""
+    asked = spark.createDataFrame(list(ASKED), "provider string, failure string")
+    asked = asked.select("provider", F.when(F.col("failure").isNotNull(), text.describe_error(F.col("failure"), F.lit(""))).alias("error"))
+    return store.provider_ledger(asked, _providers(spark, sf))
 
 
 @query("SELECT DISTINCT o_custkey AS name FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0)")
@@ -144,12 +152,12 @@ def content_dedup(spark, sf):
     return store.first_of(d, ["hash"], [F.col("doc_id")])
 
 
-@query("""WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href FROM pages), e AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM l a JOIN l b USING (href) WHERE a.href <> '/The' AND length(a.href) > 5),
+@query("WITH RECURSIVE l AS (SELECT DISTINCT page_id, unnest(" + LINKS_SQL + r""") AS href FROM pages), e AS (SELECT DISTINCT a.page_id AS src, b.page_id AS dst FROM l a JOIN l b USING (href)),
 b(node, level) AS (SELECT min(page_id), 0 FROM pages UNION SELECT dst, level + 1 FROM b JOIN e ON src = node WHERE level < 2) SELECT node, min(level) AS level FROM b GROUP BY node""")
 def bfs_crawl(spark, sf):
     """Pages reached from the first over shared link targets, at most two steps away."""
     p = table(spark, sf, "pages")
-    l_ = p.select("page_id", F.explode(F.array_distinct(text.hrefs(F.col("html")))).alias("href")).where("href <> '/The' and length(href) > 5")
+    l_ = p.select("page_id", F.explode(F.array_distinct(text.hrefs(F.col("html")))).alias("href"))
     # two steps through the bipartite graph of pages and targets, so pages that share a target never pair up
     out = l_.select(F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("src"), F.concat(F.lit("t"), F.col("href")).alias("dst"))
     edges = out.unionByName(out.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -195,20 +203,20 @@ def stub_encoder(spark, sf):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS window_id, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1")
 def stream_daily(spark, sf):
     """Daily windows of the event stream."""
-    return jobs.drained(jobs.daily(jobs.events(spark, sf)), "complete").select("window_id", "n", F.round("total", 4).alias("total"))
+    return jobs.drained(jobs.daily(jobs.events(spark, sf)), ["window_id"]).select("window_id", "n", F.round("total", 4).alias("total"))
 
 
 @query("SELECT DISTINCT user_id FROM events")
 def stream_distinct(spark, sf):
     """Users as a repeated crawl would append them: once each."""
-    return jobs.drained(jobs.append_new(jobs.events(spark, sf).select("user_id"), "user_id"), "append")
+    return jobs.drained(jobs.append_new(jobs.events(spark, sf).select("user_id"), "user_id"))
 
 
 @query("SELECT event_type, count(*) AS n_valid, round(sum(least(value / 100, 1) * 0.7) / sum(0.7), 6) AS mean, round(max(least(value / 100, 1)) - min(least(value / 100, 1)), 6) AS spread FROM events GROUP BY event_type")
 def stream_votes(spark, sf):
     """A council's running ruling over votes that stream in."""
     v = jobs.events(spark, sf).select("event_type", F.least(F.col("value") / 100, F.lit(1.0)).alias("score"), F.lit(0.7).alias("confidence"))
-    return jobs.drained(jobs.votes(v, ["event_type"]), "complete").select("event_type", "n_valid", F.round(F.col("sw") / F.col("w"), 6).alias("mean"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread"))
+    return jobs.drained(jobs.votes(v, ["event_type"]), ["event_type"]).select("event_type", "n_valid", F.round(F.col("sw") / F.col("w"), 6).alias("mean"), F.round(F.col("hi") - F.col("lo"), 6).alias("spread"))
 
 
 @query(f"""WITH {GALLERY}, b AS (SELECT a.img AS c1, b.img AS c2 FROM gallery a, gallery b WHERE a.id = 0 AND b.id = 1), d AS (SELECT id, path, tags, img, list_dot_product(img, c1) AS x, list_dot_product(img, c2) AS y FROM gallery, b),
@@ -223,3 +231,13 @@ def export_items(spark, sf):
     at = lambda c: F.round((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")), 4)
     rows = d.crossJoin(F.broadcast(ends))
     return rows.select("id", F.concat(F.format_string("%03d_", "id"), "path").alias("file"), text.caption(F.col("tags")).alias("caption"), at("x").alias("map_x"), at("y").alias("map_y"), F.round(F.get("img", F.lit(0)), 5).alias("first"))
+
+
+@query("SELECT count(*) AS n, round(sum(value), 4) AS total, 1 AS batches FROM events")
+def stream_ingest(spark, sf):
+    """The event stream appended to a table with its batches' counts; what the counts say and what the rows say."""
+    folder = new_path(spark, "ingest")
+    jobs.ingest(jobs.events(spark, sf).select("event_id", "value"), folder, checkpoint=f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    rows, meta = spark.read.parquet(f"{folder}/rows/*"), spark.read.parquet(f"{folder}/meta/*")
+    said = meta.agg(F.sum("rows").alias("n"), F.count("*").cast("int").alias("batches"))
+    return rows.agg(F.round(F.sum("value"), 4).alias("total")).crossJoin(F.broadcast(said)).select("n", "total", "batches")

@@ -8,7 +8,7 @@ from ..functions import text
 from ..operators import explain, retrieve
 from ..session import table
 from ..sources.gallery import gallery, queries
-from .registry import GALLERY, PAIRS, query
+from .registry import GALLERY, LINKS_SQL, PAIRS, query
 
 ASKED = ("c3 m5", "photo c1", "zebra", "m2")
 _ASKED_SQL = "w AS (SELECT q, list_filter(string_split_regex(lower(q), '\\s+'), lambda x: x <> '') AS ws FROM (SELECT unnest([" + ", ".join(f"'{a}'" for a in ASKED) + "]) AS q))"
@@ -93,7 +93,7 @@ def url_functions(spark, sf):
     return p.select("page_id", F.regexp_extract(u, "^([a-z]+)://", 1).alias("scheme"), F.regexp_extract(u, "://([^/?#]+)", 1).alias("host"), path.alias("path"), F.regexp_extract(path, "([^/]*)$", 1).alias("last_segment"), F.lpad(F.col("page_id").cast("string"), 3, "0").alias("padded"), F.substring(F.sha1("html"), 1, 12).alias("content_hash"), text.safe_name(u).alias("file_name"), u.startswith("https").alias("secure"), F.contains(u, F.lit("utm_")).alias("tracked"), F.url_encode(u).alias("encoded"), F.regexp_replace(F.concat(F.lit("File:"), u), "^File:", "").alias("unprefixed"))
 
 
-@query("""WITH l AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<a [^>]*href="([^"]+)"', 1)) AS href FROM pages) SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(href, '#.*$', '') END AS target, count(*) AS n FROM l GROUP BY ALL""")
+@query("WITH l AS (SELECT page_id, url, unnest(" + LINKS_SQL + """) AS href FROM pages) SELECT page_id, href, CASE WHEN regexp_matches(href, '^[a-z]+:') THEN href ELSE regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_replace(href, '#.*$', '') END AS target, count(*) AS n FROM l GROUP BY ALL""")
 def page_links(spark, sf):
     """Every link of every page, made absolute."""
     l_ = table(spark, sf, "pages").select("page_id", "url", F.explode(text.hrefs(F.col("html"))).alias("href"))

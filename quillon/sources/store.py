@@ -75,6 +75,18 @@ def clean(records: DataFrame, dim: int) -> DataFrame:
     )
 
 
+def running(rows: DataFrame, order: list[str], amount: str, name: str = "upto") -> DataFrame:
+    """Adds the sum of ``amount`` up to each row in ``order``: within sorted ranges, plus the sums of those before.
+
+    Rows should be unique in ``order`` (group them first), so that a frequent value is one row and no range is hot.
+    """
+    ranged = saved(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy("_p").agg(F.sum(amount).alias("_c"))
+    start = sums.select(F.col("_p").alias("_q"), (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_start"))
+    w = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(F.broadcast(start), F.col("_p") == F.col("_q")).withColumn(name, F.col("_start") + F.sum(amount).over(w)).drop("_p", "_q", "_start")
+
+
 def numbered(rows: DataFrame, order: list[str], limit: int | None = None, name: str = "id") -> DataFrame:
     """Consecutive numbers from 0 in ``order``: sorted ranges, then each range's start from the counts before it.
 
@@ -156,6 +168,12 @@ def merge_providers(results: DataFrame, cap: int = 12) -> tuple[DataFrame, DataF
     return merged, results.groupBy("provider").agg(F.count("*").alias("n"))
 
 
+def provider_ledger(asked: DataFrame, results: DataFrame) -> DataFrame:
+    """(provider, n, error) for every asked provider: (provider, error), a failed one with 0 results and its error in words."""
+    n = results.groupBy("provider").agg(F.count("*").alias("n"))
+    return asked.join(n, "provider", "left").select("provider", F.coalesce("n", F.lit(0)).alias("n"), "error")
+
+
 def unseen(found: DataFrame, manifest: DataFrame, key: str) -> DataFrame:
     return found.join(manifest.select(key).distinct(), key, "left_anti")
 
@@ -164,17 +182,78 @@ def allowed(urls: DataFrame, robots: DataFrame) -> DataFrame:
     """urls (host, path) under robots rules (rule_host, prefix, allow): the longest prefix decides; no rule allows."""
     hit = urls.join(robots, (F.col("host") == F.col("rule_host")) & F.col("path").startswith(F.col("prefix")), "left")
     keys = [c for c in urls.columns]
-    return hit.groupBy(*keys).agg(F.coalesce(F.max_by("allow", F.length("prefix")), F.lit(True)).alias("allowed"))
+    # of rules equally long the one that allows
+    return hit.groupBy(*keys).agg(F.coalesce(F.max_by("allow", F.struct(F.length("prefix"), "allow")), F.lit(True)).alias("allowed"))
+
+
+def robots_rules(files: DataFrame, agent: str = "*") -> DataFrame:
+    """(rule_host, prefix, allow) of robots.txt files (host, robots).
+
+    The group that names the agent holds, else the group for ``*``; lines of several groups for one agent add up.
+    Comments, unknown lines and empty rules (which allow all) give no rule; a null file none.
+    """
+
+    @F.pandas_udf("array<struct<prefix:string,allow:boolean>>")
+    def parse(texts: pd.Series) -> pd.Series:
+        def rules(text):
+            groups, names, open_ = {}, [], False
+            for line in (text or "").splitlines():
+                field, _, value = (x.strip() for x in line.split("#")[0].partition(":"))
+                field = field.lower()
+                if field == "user-agent":
+                    names = [*names, value.lower()] if open_ else [value.lower()]
+                    open_ = True
+                elif field in ("allow", "disallow"):
+                    open_ = False
+                    for n in names:
+                        groups.setdefault(n, [])
+                        if value:
+                            groups[n].append({"prefix": value, "allow": field == "allow"})
+            own = [n for n in groups if n != "*" and n in agent.lower()]
+            return groups[max(own, key=len)] if own else groups.get("*", [])
+
+        return pd.Series([rules(t) for t in texts], dtype=object)
+
+    return files.select(F.col("host").alias("rule_host"), F.explode(parse("robots")).alias("r")).select("rule_host", "r.*")
 
 
 def keepable(size: Column, width: Column, height: Column) -> Column:
     return (size >= MIN_BYTES) & (F.least(width, height) >= MIN_SIDE)
 
 
-def export_pack(items: DataFrame, path: str, books, rotation=None) -> None:
-    """A compressed export: codes and int8 vectors as Parquet, the models as one row, sizes checked on load."""
+def dimension_scales(items: DataFrame, column: str = "img") -> DataFrame:
+    """One row (scales): per dimension the largest absolute value over 127, 1 where that is 0; from partial maxima."""
+
+    def peak(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        top = None
+        for b in batches:
+            if b.num_rows:
+                x = np.abs(np.asarray(b.column(0).flatten()).reshape(b.num_rows, -1)).max(axis=0)
+                top = x if top is None else np.maximum(top, x)
+        if top is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([top.tolist()], pa.list_(pa.float64()))], names=["top"])
+
+    parts = items.select(F.col(column).cast("array<double>")).mapInArrow(peak, "top array<double>")
+    peaks = parts.select(F.posexplode("top").alias("pos", "x")).groupBy("pos").agg(F.max("x").alias("x"))
+    scale = F.when(F.col("x") == 0, 1.0).otherwise(F.col("x") / 127)
+    return peaks.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", scale.alias("s")))), lambda s: s["s"]).alias("scales"))
+
+
+def export_pack(items: DataFrame, path: str, books, rotation=None, *, recalls: dict[str, float] | None = None) -> None:
+    """A compressed export in two tiers: product codes, and int8 vectors under one scale a dimension.
+
+    Rows go to Parquet (id, codes, i8, and url without the prefix that all share, where items have urls).  The
+    model is one row: code books, rotation, scales, the prefix, and the recalls the caller measured; sizes are
+    checked on load.  Null urls stay null.
+    """
     from ..operators import index
 
+    scales = dimension_scales(items)
+    numbers = scales.first()["scales"]
+
     def pack(batches) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -182,19 +261,31 @@ def export_pack(items: DataFrame, path: str, books, rotation=None) -> None:
         for b in batches:
             x = index.block(b, 1)
             codes = index.encode(x, books, rotation)[0]
-            peak = np.abs(x).max(axis=1, keepdims=True)
-            i8 = np.rint(x / np.where(peak > 0, peak / 127, 1)).astype(int)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.tolist(), pa.list_(pa.int16())), pa.array(i8.tolist(), pa.list_(pa.int8()))], names=["id", "codes", "i8"])
+            i8 = np.rint(x / np.array(numbers)).astype(int)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(codes.tolist(), pa.list_(pa.int16())), pa.array(i8.tolist(), pa.list_(pa.int8())), b.column(2)], names=["id", "codes", "i8", "url"])
 
-    items.select("id", "img").mapInArrow(pack, "id long, codes array<smallint>, i8 array<tinyint>").write.mode("overwrite").parquet(f"{path}/rows")
     spark = items.sparkSession
-    model = [(len(books), books.shape[1], books.shape[2], books.ravel().tolist(), None if rotation is None else rotation.ravel().tolist())]
-    spark.createDataFrame(model, "m int, ks int, sub int, books array<double>, rotation array<double>").write.mode("overwrite").parquet(f"{path}/model")
+    rows = items.select("id", "img", (F.col("url") if "url" in items.columns else F.lit(None)).cast("string").alias("url"))
+    ends = rows.agg(F.min("url").alias("a"), F.max("url").alias("b"))  # what the first and the last share, all share
+    shared = "size(filter(sequence(1, greatest(1, least(length(a), length(b)))), k -> substr(a, 1, k) = substr(b, 1, k)))"
+    prefix = ends.selectExpr(f"coalesce(substr(a, 1, {shared}), '') AS prefix")
+    short = rows.crossJoin(F.broadcast(prefix)).select("id", "img", F.expr("substr(url, length(prefix) + 1)").alias("url"))
+    short.mapInArrow(pack, "id long, codes array<smallint>, i8 array<tinyint>, url string").write.mode("overwrite").parquet(f"{path}/rows")
+    model = [(len(books), books.shape[1], books.shape[2], books.ravel().tolist(), None if rotation is None else rotation.ravel().tolist(), recalls or {})]
+    made = spark.createDataFrame(model, "m int, ks int, sub int, books array<double>, rotation array<double>, recalls map<string,double>")
+    made.crossJoin(scales).crossJoin(prefix.withColumnRenamed("prefix", "url_prefix")).write.mode("overwrite").parquet(f"{path}/model")
+
+
+def unpacked(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """(id, img, url) of a loaded pack: int8 values times their dimension's scale, whole urls."""
+    both = rows.crossJoin(F.broadcast(model.select("scales", "url_prefix")))
+    return both.select("id", F.zip_with("i8", "scales", lambda c, s: c * s).alias("img"), F.concat("url_prefix", "url").alias("url"))
 
 
 def load_pack(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(rows, model) of an export; rows whose lengths don't fit the model raise."""
     model, rows = spark.read.parquet(f"{path}/model"), spark.read.parquet(f"{path}/rows")
-    ok = (F.size("codes") == F.col("m")) & (F.size("i8") == F.col("m") * F.col("sub"))
-    checked = rows.crossJoin(F.broadcast(model.select("m", "sub"))).where(F.when(ok, True).otherwise(F.raise_error(F.lit("pack sizes don't match"))))
-    return checked.drop("m", "sub"), model
+    width = F.col("m") * F.col("sub")
+    ok = (F.size("codes") == F.col("m")) & (F.size("i8") == width) & (F.size("scales") == width) & (F.size("books") == F.col("ks") * width)
+    checked = rows.crossJoin(F.broadcast(model.select("m", "sub", "ks", "books", "scales"))).where(F.when(ok, True).otherwise(F.raise_error(F.lit("pack sizes don't match"))))
+    return checked.drop("m", "sub", "ks", "books", "scales"), model

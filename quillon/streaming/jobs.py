@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import calibrate
+from ..session import new_path
+from ..sources.store import first_of
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,9 +35,15 @@ def monitor(stream: DataFrame, reference: DataFrame, sink: str, *, checkpoint: s
     return stream.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint)
 
 
-def append_new(stream: DataFrame, key: str) -> DataFrame:
-    """First row of each key only: what a repeated crawl would add."""
-    return stream.dropDuplicates([key])
+def append_new(stream: DataFrame, key: str, *, within: tuple[str, str] | None = None) -> DataFrame:
+    """First row of each key only: what a repeated crawl would add.
+
+    ``within`` (time column, delay) forgets keys once the watermark has passed them, which bounds the state;
+    without it every key is remembered.
+    """
+    if within is None:
+        return stream.dropDuplicates([key])
+    return stream.withWatermark(*within).dropDuplicatesWithinWatermark([key])
 
 
 def ingest(stream: DataFrame, sink: str, *, checkpoint: str):
@@ -55,12 +64,23 @@ def votes(stream: DataFrame, keys: list[str]) -> DataFrame:
     return stream.groupBy(*keys).agg(F.count("score").alias("n_valid"), F.sum(F.when(F.col("score").isNotNull(), F.col("score") * w)).alias("sw"), F.sum(F.when(F.col("score").isNotNull(), w)).alias("w"), F.max("score").alias("hi"), F.min("score").alias("lo"))
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over all that is there and return its result as a table held in memory.
+def polled(stream: DataFrame, seconds: int, act: Callable[[DataFrame, int], None], *, checkpoint: str):
+    """Look for new rows every ``seconds`` and hand each batch to ``act``: a crawl's polling loop as a trigger."""
+    return stream.writeStream.foreachBatch(act).trigger(processingTime=f"{seconds} seconds").option("checkpointLocation", checkpoint)
+
+
+def drained(stream: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Run a stream over all that is there and return what it wrote: files in shared storage, its state beside them.
 
-    For results of bounded size, such as daily windows.
+    An aggregate (``keys`` given) writes the changed rows of each batch; the last row of each key stands.
     """
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    spark, folder = stream.sparkSession, new_path(stream.sparkSession, "stream")
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    q = stream.writeStream.foreachBatch(save).outputMode("update" if keys else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    schema = T.StructType([*stream.schema.fields, T.StructField("_batch", T.IntegerType())])
+    rows = spark.read.schema(schema).parquet(f"{folder}/rows/*")
+    return (first_of(rows, keys, [F.desc("_batch")]) if keys else rows).drop("_batch")
