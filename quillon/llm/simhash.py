@@ -150,7 +150,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     """(doc_id, fingerprint, component_id) of every row, repeated rows included.
 
     Null and empty texts have fingerprint zero and link like any other.  Null ids belong to their
-    component but never name it, unless it has no other.  Other columns are ignored.
+    component but never name it, unless it has no other.  Equal texts share a fingerprint and so a component.
+    Long texts are hashed whole; an empty table gives no row.  Other columns, whatever their names, are ignored.
     """
     prints = store(docs.select(F.col(id_col).alias("doc_id"), fingerprints(F.col(text_col), shingle).alias("fp")), "prints")
     of = classes(prints, F.min("doc_id"), distance).withColumnRenamed("fp", "_fp")
@@ -160,7 +161,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE, shingle: int = SHINGLE) -> DataFrame:
     """Docs with exactly one row of each component: the one with the smallest id (null ids last).
 
-    Of rows repeated under that id one stays.  Input columns keep their names and order.
+    Of rows repeated under that id one stays.  Null and empty texts form a component like any other; long
+    texts are hashed whole; an empty table stays empty.  Input columns keep their names and order, those
+    called like working columns too.
     """
     mark = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("_row").alias("row"))
     own, moved = set_aside(docs, "_fp", "_row", "_dropped")

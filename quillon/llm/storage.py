@@ -7,34 +7,12 @@ under a name of its own, so a retried or lost attempt can leave an orphan but ne
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; where that is unset, a private folder in local mode, else an error."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not base:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="quillon-")
-            atexit.register(shutil.rmtree, _own[app], True)
-        base = _own[app]
-    return f"{base.rstrip('/')}/quillon"
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+from ..session import file_system, new_path
 
+__all__ = ["file_system", "local_schema", "new_path", "only", "put_back", "set_aside", "store"]
 
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table to shared storage and read it back: cuts lineage and survives lost executors."""
@@ -44,18 +22,6 @@ def store(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def file_system(uri: str):
-    """(file system, path) for reading or writing bytes inside a task."""
-    from pyarrow import fs
-
-    if "://" not in uri and ":/" in uri:
-        scheme, _, rest = uri.partition(":")
-        uri = f"{scheme}://{rest}"
-    if "://" in uri:
-        return fs.FileSystem.from_uri(uri)
-    return fs.LocalFileSystem(), uri
-
-
 def set_aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
     """The table with its own columns of the given working names renamed, and {name: new name} of those.
 

@@ -137,7 +137,11 @@ def write_records(docs: DataFrame, vocabulary: str, *, end_id: int | None = 2, i
 
 
 def read_records(manifest: DataFrame) -> DataFrame:
-    """Every record of the manifest's files, read and verified: its global start, length and checksum of ids."""
+    """Every record of the manifest's files, read and verified: its global start, length and checksum of ids.
+
+    Null ids come back null and repeated ones each; a document without words has its end id alone; an empty
+    manifest gives no row; records are read one at a time, however long.  A damaged file raises.
+    """
     spark = manifest.sparkSession
     starts = manifest.select("path", F.coalesce(F.sum("ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("file_start"))
     spread = starts.repartition(max(1, min(4096, manifest.count())), "path")
@@ -166,7 +170,9 @@ def read_records(manifest: DataFrame) -> DataFrame:
 def shuffled(manifest: DataFrame, seed: int) -> DataFrame:
     """Records in a seeded random order, fetched through the offset index: (slot, doc_id, ids).
 
-    The index alone is shuffled; each task then opens the files its slots name and seeks.
+    The index alone is shuffled: ``slot`` is a hash of file, offset and seed, and the rows come sorted by it.
+    Each task then opens the files its slots name and seeks.  Null and repeated ids come as they are, once a
+    record; an empty manifest gives no row.
     """
     spark: SparkSession = manifest.sparkSession
 

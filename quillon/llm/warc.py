@@ -172,7 +172,11 @@ def read_file(f) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(manifest: DataFrame) -> DataFrame:
-    """One row a record, read from the archives; a response's length and digest are taken from its payload."""
+    """One row a record, read from the archives; a response's length and digest are taken from its payload.
+
+    Null page ids and urls come back null, repeated pages each have their record, an empty payload is a response of
+    no bytes; an empty manifest gives no row.  Payloads are read one at a time, however long.
+    """
 
     def read(batches) -> Iterator:
         import pyarrow as pa

@@ -665,3 +665,37 @@ def test_long_words_are_learned(spark):
     made = [(i, f"plain text {i} " + (long if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(400)]
     model = toxicity.fit(spark.createDataFrame([m[:2] for m in made], "doc_id long, text string"), spark.createDataFrame([(m[0], m[2]) for m in made], "doc_id long, toxic int"))
     assert f"{long}$" in model.stems
+
+
+def test_shuffled_is_a_full_permutation(spark, rows):
+    """Every record once, in the order of the slots that a hash of file, offset and seed gives."""
+    import struct
+
+    d = spark.createDataFrame([(i, f"text {i} " * (i % 7)) for i in range(300)], "doc_id long, text string").repartition(3)
+    manifest = token_records.write_records(d, VOCABULARY)
+    want = []
+    for r in manifest.collect():
+        with open(f"{r['path']}.idx".removeprefix("file:"), "rb") as f:
+            offsets = [o for o, _ in struct.iter_unpack("<QQ", f.read())]
+        with open(f"{r['path']}.rec".removeprefix("file:"), "rb") as f:
+            for o in offsets:
+                f.seek(o)
+                doc_id, ids = token_records.unframe(token_records.read_record(f))
+                want.append((r["path"], o, doc_id, ids.tolist()))
+    keyed = spark.createDataFrame([(p, o, i) for p, o, i, _ in want], "path string, offset long, doc_id long")
+    for seed in (1, 2):
+        order = [r["doc_id"] for r in keyed.withColumn("slot", F.xxhash64("path", "offset", F.lit(seed))).orderBy("slot", "path", "offset").collect()]
+        got = token_records.shuffled(manifest, seed).collect()
+        assert [r["doc_id"] for r in got] == order and sorted(order) == list(range(300))
+        ids = {i: x for _, _, i, x in want}
+        assert all(r["ids"] == ids[r["doc_id"]] for r in got)
+
+
+def test_toxicity_of_a_long_text():
+    """Scores of a very long text are those of its clauses, one by one."""
+    stems, machine = {"grubling$": 2.0, "scumb": 1.0}, toxicity.grammar()
+    clauses = ["you grubling", "a plain day, not a grubling", "they said scumbag", "nothing here"] * 20_000
+    lexicon = toxicity.Lexicon(stems)
+    got = toxicity.clause_scores(". ".join(clauses), lexicon, machine)
+    each = [toxicity.clause_scores(c, lexicon, machine)[0] for c in clauses[:4]]
+    assert got[0] == [s for x in each for s in x] * 20_000 and got[1] == 60_000

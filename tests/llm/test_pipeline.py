@@ -62,3 +62,22 @@ def test_stages(spark, data):
             out.collect()
             if n < len(corpus_pipeline.STAGES) - 1:
                 assert out.columns == d.columns
+
+
+def test_stages_on_odd_rows(spark, data):
+    """A very long text, nulls, repeats, ties and columns called like the stages' own, through every stage."""
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    long = " ".join(f"word{i % 977} and more{i % 1013}." for i in range(60_000))
+    odd = [(10**6, long, "en", "a", len(long)), (10**6 + 1, long + " end", "en", "a", 0), (None, None, None, None, None), (10**6 + 2, "", None, "a", 0), (10**6 + 2, "", None, "a", 0)]
+    names = ("_fp", "_row", "_dropped", "n_tokens", "epoch", "key", "kept", "start", "_source", "h", "fp", "n_words", "position", "block")
+    own = docs.unionByName(spark.createDataFrame(odd, docs.schema)).withColumns({c: F.lit(f"own {c}") for c in names})
+    at = own
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        before, at = at, stage(spark, at, data)
+        if n < len(corpus_pipeline.STAGES) - 1:
+            assert at.columns == own.columns
+            assert [tuple(r) for r in at.select(*names).distinct().collect()] == [tuple(f"own {c}" for c in names)]
+            assert at.select("doc_id").exceptAll(before.select("doc_id")).count() == 0 or n == 3  # only the mix repeats rows
+    # the long text is kept whole, and of the two near copies one
+    assert at.where(f"doc_id in ({10**6}, {10**6 + 1})").select("doc_id").distinct().count() <= 1
+    assert at.count() > 50
