@@ -118,12 +118,16 @@ def importance(w: Column) -> Column:
 def recommend(likes: DataFrame, items: DataFrame, k: int) -> DataFrame:
     """(user_id, id, score, rank): items nearest to the unit mean of a user's likes, without the likes.
 
-    User vectors are one row a user; users meet all items in blocks, so give the users of a batch.
+    User vectors are one row a user, with the list of the distinct items they like; users meet all items by tiles.
+    Likes of unknown items count for nothing; without any known like there is nothing to go by, and it raises.
     """
-    from .retrieve import meet, top_k
-
-    cells = likes.join(items.select("id", "img"), "id").select("user_id", F.posexplode("img").alias("pos", "x")).groupBy("user_id", "pos").agg(F.avg("x").alias("x"))
-    users = saved(cells.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m")).select("user_id", vec.unit("m").alias("uv")))
-    scored = meet(items.select("id", "img"), users, "uv", key="user_id").withColumn("score", vec.dot("img", "uv"))
-    fresh = scored.join(likes.select(F.col("user_id").alias("_u"), F.col("id").alias("_i")), (F.col("user_id") == F.col("_u")) & (F.col("id") == F.col("_i")), "left_anti")
-    return top_k(fresh, k, per="user_id").select("user_id", "id", "score", "rank")
+    from .retrieve import exact_blocks
+
+    known = saved(likes.select("user_id", "id").distinct().join(items.select("id", "img"), "id"))
+    if known.isEmpty():
+        raise ValueError("no like is a known item")
+    cells = known.select("user_id", F.posexplode("img").alias("pos", "x")).groupBy("user_id", "pos").agg(F.avg("x").alias("x"))
+    users = cells.groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda s: s["x"]).alias("m")).select(F.col("user_id").alias("qid"), vec.unit("m").alias("qv"))
+    liked = known.groupBy(F.col("user_id").alias("qid")).agg(F.collect_list("id").alias("liked"))
+    hits = exact_blocks(users.join(liked, "qid"), items, k, skip="liked")
+    return hits.select(F.col("qid").alias("user_id"), "id", "score", "rank")

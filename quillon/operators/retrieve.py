@@ -51,10 +51,11 @@ def score_all(queries: DataFrame, items: DataFrame, mode: str = "image", *, excl
     return pairs.withColumn("score", vec.mode_score("img", "txt", "qv", mode))
 
 
-def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str = "img", exclude_self: bool = False) -> DataFrame:
+def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str = "img", exclude_self: bool = False, skip: str | None = None) -> DataFrame:
     """(qid, id, score, rank) by dense products of tiles: the path for many queries, up to all items.
 
     Scores are held to 12 digits, so that equal vectors tie whatever tile they meet in; the smaller id wins.
+    ``skip``: a column of the queries with ids that are no answer to them.
     """
 
     def best(files: list, stretch: list) -> Iterator:
@@ -64,11 +65,19 @@ def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str =
         for q in files:
             ids, left = np.asarray(q["qid"]), blocks.matrix(q["qv"].combine_chunks())
             rows, found, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+            if skip:
+                lists = q[skip].combine_chunks()
+                unwanted, asks = np.asarray(lists.flatten()), np.repeat(np.arange(len(ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             for t in stretch:
                 own = np.asarray(t["id"])
                 s = np.round(left @ blocks.matrix(t[column].combine_chunks()).T, 12)
                 if exclude_self:
                     s[ids[:, None] == own[None, :]] = -np.inf
+                if skip:
+                    order = np.argsort(own, kind="stable")
+                    at = np.minimum(np.searchsorted(own[order], unwanted), len(own) - 1)
+                    here = own[order][at] == unwanted
+                    s[asks[here], order[at[here]]] = -np.inf
                 least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.full((len(ids), 1), -np.inf)
                 i, j = ((s >= least) & (s > -np.inf)).nonzero()
                 rows, found, scores = np.concatenate([rows, i]), np.concatenate([found, own[j]]), np.concatenate([scores, s[i, j]])
@@ -78,7 +87,7 @@ def exact_blocks(queries: DataFrame, items: DataFrame, k: int, *, column: str =
                 rows, found, scores = rows[first], found[first], scores[first]
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows]), pa.array(found), pa.array(scores)], names=["qid", "id", "score"])
 
-    return top_k(blocks.against(queries.select("qid", "qv"), items.select("id", column), best, "qid long, id long, score double", second_column=column), k)
+    return top_k(blocks.against(queries.select("qid", "qv", *([skip] if skip else [])), items.select("id", column), best, "qid long, id long, score double", second_column=column), k)
 
 
 def count_above(queries: DataFrame, items: DataFrame, *, column: str = "img") -> DataFrame:
