@@ -36,3 +36,12 @@ def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode:
     else:
         raise ValueError(f"no method {method} with what was given")
     return hits.select("qid", "id", "score", "rank")
+
+
+def recall(hits: DataFrame, true: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> DataFrame:
+    """(method, k, recall): the share of each query's k true hits (qid, id, place) among its first k by a method (method, qid, id, rank)."""
+    level = F.explode(F.array(*[F.lit(k) for k in ks]))
+    found = hits.join(true, ["qid", "id"], "left").withColumn("k", level).where("rank <= k")
+    n = queries.agg(F.count_distinct("qid").alias("n"))
+    right = found.groupBy("method", "k").agg(F.count_if(F.col("place") <= F.col("k")).alias("right"))
+    return right.crossJoin(F.broadcast(n)).select("method", "k", (F.col("right") / (F.col("n") * F.col("k"))).alias("recall"))

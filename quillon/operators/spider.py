@@ -68,12 +68,14 @@ def crawl(seeds: DataFrame, pages: DataFrame, pictures: DataFrame, *, robots: Da
     hashes = (known or spark.createDataFrame([], "hash string")).select("hash").distinct()
     visited = spark.createDataFrame([], "number long, url string, level int")
     found = spark.createDataFrame([], "number long, url string, name string, source string, hash string")
-    fetched = store.first_of(pages.where("html is not null").select("url", "html"), ["url"], [F.xxhash64("html"), F.col("html")])
-    files = store.first_of(pictures.where(store.keepable(F.col("size"), F.col("width"), F.col("height"))).select("url", "hash"), ["url"], [F.col("hash")])
+    fetched = pages.where("html is not null").select("url", "html")
+    files = pictures.where(store.keepable(F.col("size"), F.col("width"), F.col("height"))).select("url", "hash")
     n_pages = n_found = 0
     while depth is None or level <= depth:
         left = None if max_pages is None else max_pages - n_pages
-        here = store.numbered(polite(front, robots).join(fetched, "url"), ["turn"], left, name="n")
+        # only the level's own pages are compared with their copies, not the table's
+        here = store.first_of(polite(front, robots).join(fetched, "url"), ["url"], [F.xxhash64("html"), F.col("html")])
+        here = store.numbered(here, ["turn"], left, name="n")
         here = saved(here.select((F.col("n") + n_pages).alias("number"), "url", "html"))
         named = mentions(here)
         picture = (F.col("kind") == 0) & F.lower(path(F.col("url"))).rlike(rf"\.({'|'.join(PICTURES)})$")
@@ -84,7 +86,8 @@ def crawl(seeds: DataFrame, pages: DataFrame, pictures: DataFrame, *, robots: Da
         order = ["number", "kind", "pos"]
         fresh = store.first_of(named.where(picture | link), ["url"], [F.col(c) for c in order])
         fresh = saved(fresh.join(seen, "url", "left_anti").select("url", "source", *order))
-        new = polite(fresh.where("kind = 0"), robots).join(files, "url").join(hashes, "hash", "left_anti")
+        new = polite(fresh.where("kind = 0"), robots).join(files, "url")
+        new = store.first_of(new, ["url"], [F.col("hash")]).join(hashes, "hash", "left_anti")
         new = store.first_of(new, ["hash"], [F.col(c) for c in order])
         new = saved(store.numbered(new, order, None if max_pictures is None else max_pictures - n_found, name="n"))
         added = new.count()

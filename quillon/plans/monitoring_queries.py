@@ -19,14 +19,14 @@ ALPHA_SQL = "al AS (SELECT unnest([0.4, 0.3, 0.2, 0.1, 0.05])::DOUBLE AS alpha)"
 WINDOWS_SQL = """ref AS (SELECT value FROM events WHERE ts < TIMESTAMP '2024-01-11'), live AS (SELECT strftime(ts, '%Y-%m-%d') AS window_id, value FROM events WHERE ts >= TIMESTAMP '2024-01-11')"""
 
 
-def best_of_tags(items):
-    """(qid, best, best_id): each item's nearest other item that shares a tag."""
-    return retrieve.best_sharing(items.select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("tags").alias("qtags")), items)
+def best_of_tags(items, by="img"):
+    """(qid, best, best_id): each item's nearest other item that shares a tag, asked for by either tower."""
+    return retrieve.best_sharing(items.select(F.col("id").alias("qid"), F.col(by).alias("qv"), F.col("tags").alias("qtags")), items)
 
 
-def loo_scores(spark, sf):
+def loo_scores(spark, sf, by="img"):
     """(qid, score): one minus the best cosine among other items that share a tag; others drop out."""
-    return best_of_tags(gallery(spark, sf)).select("qid", (1 - F.col("best")).alias("score"))
+    return best_of_tags(gallery(spark, sf), by).select("qid", (1 - F.col("best")).alias("score"))
 
 
 @query(f"WITH {SCORES_SQL} SELECT qid, round(score, 6) AS score FROM sc")
@@ -34,6 +34,15 @@ def conformal_scores(spark, sf):
     return loo_scores(spark, sf).select("qid", F.round("score", 6).alias("score"))
 
 
+CROSS_SQL = f"WITH {GALLERY}, sc AS (SELECT a.id AS qid, 1 - max(list_dot_product(a.txt, b.img)) AS score FROM gallery a JOIN gallery b ON a.id <> b.id AND list_has_any(a.tags, b.tags) GROUP BY a.id)"
+
+
+@query(CROSS_SQL + " SELECT qid, round(score, 6) AS score FROM sc")
+def conformal_cross(spark, sf):
+    """Calibration scores of text queries against images: one tower asks, the other answers."""
+    return loo_scores(spark, sf, "txt").select("qid", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {SCORES_SQL}, {ALPHA_SQL}, r AS (SELECT score, row_number() OVER (ORDER BY score) AS r, count(*) OVER () AS n FROM sc),
 k AS (SELECT alpha, max(n) AS n, ceil((max(n) + 1)::DOUBLE * (1.0::DOUBLE - alpha)) AS k FROM al, r GROUP BY alpha)
 SELECT alpha, k.n, round(coalesce(r.score, 'infinity'::DOUBLE), 6) AS qhat FROM k LEFT JOIN r ON r.r = k.k""")

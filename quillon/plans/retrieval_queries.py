@@ -11,7 +11,7 @@ from ..functions import vec
 from ..operators import blocks, dedupe, index, rank, retrieve, search
 from ..session import saved, table
 from ..sources.gallery import gallery, likes, queries
-from .registry import GALLERY, LOO, PAIRS, query
+from .registry import GALLERY, LOO, ORACLES, PAIRS, QUERIES, query
 
 SUB, KS, PROBES = 8, 16, 13
 #: Share of the table that product codes leave for the exact look: with it, and with PROBES of KS cells, recall@10 is 0.9.
@@ -467,3 +467,22 @@ def search_methods(spark, sf):
         out = hits if out is None else out.unionByName(hits)
     return out
 
+
+#: Searches whose hits the recall query compares with exact ones: (name, stage of its rows, or none).
+MEASURED = (("ivf_search", None), ("pq_search", "codes"), ("pq_search", "exact"), ("opq_search", "codes"), ("opq_search", "exact"), ("binary_search", None))
+_HITS_SQL = " UNION ALL ".join(f"SELECT '{n}{'' if s is None else ' ' + s}' AS method, qid, id, rank FROM ({ORACLES[n]})" + ("" if s is None else f" WHERE stage = '{s}'") for n, s in MEASURED)
+
+
+@query(f"""WITH {PAIRS}, t AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS place FROM pairs), h AS ({_HITS_SQL}), k AS (SELECT unnest([1, 10]) AS k),
+n AS (SELECT count(DISTINCT qid) AS n FROM t) SELECT method, k.k, round(count(t.id) / (max(n.n) * k.k), 6) AS recall FROM k JOIN h ON h.rank <= k.k LEFT JOIN t ON t.qid = h.qid AND t.id = h.id AND t.place <= k.k, n GROUP BY method, k.k""")
+def recall_bench(spark, sf):
+    """Recall@1 and @10 of the searches by codes and cells against exact search, for every stated query."""
+    items = gallery(spark, sf)
+    asked = queries(items)
+    hits = None
+    for name, stage in MEASURED:
+        found = QUERIES[name](spark, sf)
+        found = (found if stage is None else found.where(F.col("stage") == stage)).select(F.lit(name if stage is None else f"{name} {stage}").alias("method"), "qid", "id", "rank")
+        hits = found if hits is None else hits.unionByName(found)
+    true = saved(retrieve.exact_blocks(asked, items, 10).select("qid", "id", F.col("rank").alias("place")))
+    return search.recall(hits, true, asked, (1, 10)).select("method", "k", F.round("recall", 6).alias("recall"))

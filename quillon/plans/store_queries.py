@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encode, text, vec
 from ..operators import dedupe
+from ..operators import spider as crawler
 from ..session import new_path, table
 from ..sources import store
 from ..sources.gallery import gallery
@@ -72,6 +73,13 @@ def strided_sample(spark, sf):
     return store.strided(gallery(spark, sf), 40).select("id", "path")
 
 
+@query(f"WITH {GALLERY}, a AS (SELECT path, row_number() OVER (ORDER BY id) AS pos FROM gallery), b AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM documents) SELECT pos - 1 AS pos, path, doc_id FROM a JOIN b USING (pos)")
+def zip_positions(spark, sf):
+    """Items beside documents by their places, each in an order of its own; what the longer has more drops out."""
+    docs = table(spark, sf, "documents").select("doc_id", (-F.col("doc_id")).alias("turn"))
+    return store.zipped(gallery(spark, sf).select("id", "path"), docs, ["id"], ["turn"]).select("pos", "path", "doc_id")
+
+
 @query("WITH m(key, value) AS (VALUES ('rows', 690000), ('dim', 512)) SELECT coalesce(max(value) FILTER (key = 'rows'), 0) AS rows, coalesce(max(value) FILTER (key = 'none'), 0) AS missing FROM m")
 def metadata_lookup(spark, sf):
     m = spark.createDataFrame([("rows", 690000), ("dim", 512)], "key string, value int")
@@ -166,6 +174,22 @@ def bfs_crawl(spark, sf):
     return reached.select(F.substring("node", 2, 30).cast("long").alias("node"), (F.col("level") / 2).cast("int").alias("level"))
 
 
+@query("""WITH RECURSIVE p AS (SELECT page_id, length(html) AS len FROM pages WHERE html IS NOT NULL AND NOT starts_with(CAST(page_id AS VARCHAR), '7')),
+b(page_id, level) AS (SELECT page_id, 0 FROM p WHERE page_id = 0 UNION ALL SELECT p.page_id, level + 1 FROM b JOIN p ON p.page_id BETWEEN 16 * b.page_id + 1 AND 16 * b.page_id + 16)
+SELECT 'page' AS kind, 'http://site/' || CAST(page_id AS VARCHAR) AS what, level FROM b UNION ALL SELECT DISTINCT 'picture', 'h' || CAST(page_id % 40 AS VARCHAR), NULL FROM b JOIN p USING (page_id) WHERE len * 8 >= 20000 AND least(page_id * 7 % 400, 300) >= 160""")
+def spider(spark, sf):
+    """A crawl of all pages as one site, each with links to sixteen more beside its own: pages by level, hashes of new pictures."""
+    at = lambda i: F.concat(F.lit('/'), i.cast("string"))
+    more = F.transform(F.sequence(16 * F.col("page_id") + 1, 16 * F.col("page_id") + 16), lambda i: F.concat(F.lit('<a href="'), at(i), F.lit('">')))
+    p = table(spark, sf, "pages").select("page_id", "html")
+    name = F.concat(at(F.col("page_id")), F.lit(".jpg"))
+    site = p.select(F.concat(F.lit("http://site"), at(F.col("page_id"))).alias("url"), F.concat("html", F.lit('<img src="'), name, F.lit('">'), F.array_join(more, "")).alias("html"))
+    pictures = p.select(F.concat(F.lit("http://site"), name).alias("url"), (F.length("html") * 8).alias("size"), (F.col("page_id") * 7 % 400).alias("width"), F.lit(300).alias("height"), F.concat(F.lit("h"), (F.col("page_id") % 40).cast("string")).alias("hash"))
+    rules = spark.createDataFrame([("site", "/7", False)], "rule_host string, prefix string, allow boolean")
+    out = crawler.crawl(spark.createDataFrame([(0, "http://site/0")], "pos long, url string"), site, pictures, robots=rules, max_pages=None, max_pictures=None)
+    return out.pages.select(F.lit("page").alias("kind"), F.col("url").alias("what"), "level").unionByName(out.pictures.select(F.lit("picture").alias("kind"), F.col("hash").alias("what"), F.lit(None).cast("int").alias("level")))
+
+
 @query(f"""WITH {GALLERY}, s AS (SELECT * FROM gallery WHERE label <= 6), n AS (SELECT * FROM gallery WHERE label >= 4) SELECT id, path FROM (SELECT id, path FROM s UNION ALL SELECT id, path FROM n)""")
 def merge_seed(spark, sf):
     """Seed items and fresh ones together, repeats kept."""

@@ -101,6 +101,18 @@ def numbered(rows: DataFrame, order: list[str], limit: int | None = None, name:
     return out if limit is None else out.where(F.col(name) < limit)
 
 
+def zipped(left: DataFrame, right: DataFrame, left_order: list[str], right_order: list[str], *, strict: bool = False) -> DataFrame:
+    """Rows side by side by place (``pos``, from 0), each side in its own order; the longer one's rest drops out.
+
+    ``strict`` raises where the sides differ in length.  Orders should be unique; ties are dealt in any order.
+    """
+    a, b = numbered(left, left_order, name="pos"), numbered(right, right_order, name="_pos")
+    if not strict:
+        return a.join(b, F.col("pos") == F.col("_pos")).drop("_pos")
+    paired = F.when(F.col("pos").isNotNull() & F.col("_pos").isNotNull(), True).otherwise(F.raise_error(F.lit("sides of different lengths")))
+    return a.join(b, F.col("pos") == F.col("_pos"), "full").where(paired).drop("_pos")
+
+
 def lookup(ranked: DataFrame, records: DataFrame, key: str = "id") -> DataFrame:
     """Records of ranked ids, in rank order; unknown ids drop out."""
     return ranked.join(records, key).orderBy("rank")
