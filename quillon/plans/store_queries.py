@@ -8,7 +8,7 @@ from ..functions import encode, text, vec
 from ..operators import dedupe
 from ..operators import spider as crawler
 from ..session import new_path, table
-from ..sources import store
+from ..sources import providers, store
 from ..sources.gallery import gallery
 from ..streaming import jobs
 from .registry import GALLERY, LINKS_SQL, query
@@ -104,6 +104,32 @@ def discover(spark, sf):
     return store.discovered(spark.createDataFrame([(ANSWER,)], "json string"), "pets")
 
 
+@query("""WITH p AS (SELECT page_id, page_id % 5 AS s, CAST(page_id AS VARCHAR) AS id, url, CASE WHEN page_id % 3 > 0 THEN url ELSE '' END AS alt FROM pages)
+SELECT page_id, 'openverse' AS provider, id AS name, coalesce(nullif(alt, ''), url) AS thumb_url, url AS source, CASE page_id % 4 WHEN 0 THEN 'CC0' WHEN 1 THEN 'Public domain' WHEN 2 THEN 'CC BY 4.0' ELSE '' END AS license FROM p WHERE s = 0
+UNION ALL SELECT page_id, 'commons', id || '.jpg', url, alt, '' FROM p WHERE s = 1 UNION ALL SELECT page_id, 'artic', id, 'https://www.artic.edu/iiif/2/' || alt || '/full/400,/0/default.jpg', 'https://www.artic.edu/artworks/' || id, 'CC0 / public domain' FROM p WHERE s = 2 AND alt <> ''
+UNION ALL SELECT page_id, 'met', id, url, coalesce(nullif(alt, ''), 'https://www.metmuseum.org/art/collection/search/' || id), 'Open Access (CC0)' FROM p WHERE s = 3 AND page_id % 2 = 0
+UNION ALL SELECT page_id, 'inaturalist', id, alt, 'https://www.inaturalist.org/taxa/' || id, CASE WHEN page_id % 2 = 0 THEN 'CC BY-NC' ELSE '' END FROM p WHERE s = 4 AND alt <> ''""")
+def provider_records(spark, sf):
+    """Pages as answers of five search services, each in its own shape, read back as records of one."""
+    id_, url, some = F.col("page_id").cast("string"), F.col("url"), F.when(F.col("page_id") % 3 > 0, F.col("url")).otherwise("")
+    fields = lambda **c: F.struct(*[v.alias(k) for k, v in c.items()])
+    one = lambda name, x: F.to_json(F.struct(F.array(x).alias(name)))
+    code = F.when(F.col("page_id") % 4 == 0, "cc0").when(F.col("page_id") % 4 == 1, "pdm").when(F.col("page_id") % 4 == 2, "by")
+    page = fields(title=F.concat(F.lit("File:"), id_, F.lit(".jpg")), imageinfo=F.array(fields(url=url, descriptionurl=some)))
+    photo = fields(square_url=some, license_code=F.when(F.col("page_id") % 2 == 0, "cc-by-nc"))
+    shapes = {
+        "openverse": one("results", fields(title=F.lit(""), id=id_, thumbnail=some, url=url, license=code, license_version=F.when(code == "by", "4.0"))),
+        "commons": F.to_json(fields(query=fields(pages=F.create_map(id_, page)))),
+        "artic": one("data", fields(id=F.col("page_id"), image_id=some)),
+        "met": one("objects", fields(objectID=F.col("page_id"), isPublicDomain=F.col("page_id") % 2 == 0, primaryImage=url, objectURL=some)),
+        "inaturalist": one("results", fields(id=F.col("page_id"), name=id_, default_photo=photo)),
+    }
+    at = F.col("page_id") % 5
+    which = lambda values: F.coalesce(*[F.when(at == i, v) for i, v in enumerate(values)])
+    answers = table(spark, sf, "pages").select("page_id", which([F.lit(n) for n in shapes]).alias("provider"), which(shapes.values()).alias("json"))
+    return providers.records(answers, keep=["page_id"]).select("page_id", "provider", "name", "thumb_url", "source", "license")
+
+
 PROVIDERS_SQL = "p AS (SELECT event_type AS provider, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS provider_pos, event_id AS pos, 'thumb' || CAST(user_id AS VARCHAR) AS thumb_url FROM events)"
 
 

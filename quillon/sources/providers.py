@@ -72,8 +72,8 @@ def _listed(name: str, answer: Column) -> Column:
     return F.transform(F.array_sort(entries, lambda a, b: F.coalesce(F.signum(a["n"] - b["n"]), F.lit(0)).cast("int")), lambda e: e["value"])
 
 
-def records(answers: DataFrame) -> DataFrame:
-    """(provider, provider_pos, pos, name, thumb_url, source, license) of answers (provider, json).
+def records(answers: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """(provider, provider_pos, pos, name, thumb_url, source, license) of answers (provider, json), after columns to ``keep``.
 
     Results without a picture drop out; so do unknown services, null answers and what isn't JSON.  One pass over
     the answers, whatever the number of services.
@@ -81,8 +81,9 @@ def records(answers: DataFrame) -> DataFrame:
     one = lambda n: F.transform(_listed(n, F.from_json("json", SCHEMAS[n])), lambda x, i: F.struct(i.alias("pos"), READERS[n](x).alias("r")))
     read = F.coalesce(*[F.when(F.col("provider") == n, one(n)) for n in PROVIDERS])
     place = F.coalesce(*[F.when(F.col("provider") == n, F.lit(i)) for i, n in enumerate(PROVIDERS)])
-    out = answers.select("provider", place.alias("provider_pos"), F.explode(read).alias("x"))
-    return out.select("provider", "provider_pos", "x.pos", "x.r.*").where("thumb_url <> ''")
+    keep = keep or []
+    out = answers.select(*keep, "provider", place.alias("provider_pos"), F.explode(read).alias("x"))
+    return out.select(*keep, "provider", "provider_pos", "x.pos", "x.r.*").where("thumb_url <> ''")
 
 
 def asked(requests: DataFrame, make: Callable[[], Callable[[str], str]], *, retries: int = RETRIES) -> DataFrame:
