@@ -31,13 +31,13 @@ def parts(queries: DataFrame, column: str = "qv", *, key: str = "qid", times: in
     return [queries] if n <= 1 else [queries.where(F.pmod(F.xxhash64(key), F.lit(n)) == i) for i in range(n)]
 
 
-def meet(items: DataFrame, queries: DataFrame, column: str = "qv", *, key: str = "qid") -> DataFrame:
+def meet(items: DataFrame, queries: DataFrame, column: str = "qv", *, key: str = "qid", times: int = 1) -> DataFrame:
     """Every row beside every query of a stated set, which is broadcast: whole, or beyond QUERY_VALUES in parts.
 
     For query sets that grow with the table take ``exact_blocks`` and its kin, which broadcast nothing.
     """
     out = None
-    for part in parts(queries, column, key=key):
+    for part in parts(queries, column, key=key, times=times):
         pairs = items.crossJoin(F.broadcast(part))
         out = pairs if out is None else out.unionByName(pairs)
     return out

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from . import retrieve
+from . import index, retrieve
 
-MOST_PROBES, MOST_HITS, FEW_PAIRS = 64, 50, 1_000_000
+#: The largest number of probes and of hits that a call may ask for.
+MOST_PROBES, MOST_HITS = 64, 50
+FEW_PAIRS = 1_000_000
 
 
 def choose(n_queries: int, n_items: int, has_cells: bool) -> str:
@@ -16,10 +18,11 @@ def choose(n_queries: int, n_items: int, has_cells: bool) -> str:
     return "exact" if n_queries * n_items <= FEW_PAIRS else "ivf" if has_cells else "blocks"
 
 
-def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode: str = "image", k: int = 10, probes: int = 8, centroids: Column | None = None, scales: Column | None = None) -> DataFrame:
-    """(qid, id, score, rank) by exact, blocks, ivf or int8; probes are held to 1..64 and k to 1..50.
+def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode: str = "image", k: int = 10, probes: int = 8, centroids: Column | None = None, scales: Column | None = None, books=None, rotation=None, short: int = 400) -> DataFrame:
+    """(qid, id, score, rank) by exact, blocks, ivf, int8 or opq; probes are held to 1..64 and k to 1..50.
 
-    ``ivf`` expects items filed by ``cell`` and the centroids, ``int8`` the scales; both rank by image.
+    ``ivf`` expects items filed by ``cell`` and the centroids, ``int8`` the scales, ``opq`` trained books and a
+    rotation (none: plain product codes), of whose best ``short`` rows the exact products decide; all rank by image.
     """
     k, probes = min(MOST_HITS, max(1, k)), min(MOST_PROBES, max(1, probes))
     if method == "exact":
@@ -33,6 +36,12 @@ def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode:
         asked = queries.withColumn("_sq", F.zip_with("qv", scales, lambda x, s: x * s))
         rough = retrieve.top_k(retrieve.meet(coded, asked).withColumn("score", vec.dot("_i8", "_sq")), 4 * k)
         hits = retrieve.top_k(rough.drop("rank").withColumn("score", vec.dot("img", "qv")), k)
+    elif method == "opq" and books is not None:
+        coded = items.select("id", "codes") if "codes" in items.columns else index.coded(items.select("id", "img"), books, rotation).select("id", "codes")
+        asked = index.tabled(queries.select("qid", "qv"), books, rotation)
+        rough = retrieve.top_k(retrieve.meet(coded, asked.drop("qv"), "tables", times=books.shape[1]).withColumn("score", retrieve.adc_score(F.col("codes"), F.col("tables"))), max(k, short))
+        near = rough.select("qid", "id").join(items.select("id", "img"), "id").join(queries.select("qid", "qv"), "qid")
+        hits = retrieve.top_k(near.withColumn("score", vec.dot("img", "qv")), k)
     else:
         raise ValueError(f"no method {method} with what was given")
     return hits.select("qid", "id", "score", "rank")

@@ -11,7 +11,6 @@ import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions import vec
 from ..operators import index, retrieve
@@ -57,19 +56,6 @@ def ivf_trained(spark, sf):
     return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"), "scanned")
 
 
-def turned(items: DataFrame, rotation) -> DataFrame:
-    """Adds ``turn``: the vector after the rotation, by block products (as a column it would be computed again for every code word)."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            x = index.block(b, b.schema.names.index("img")) @ rotation.T
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(x.tolist(), pa.list_(pa.float64()))], names=[*b.schema.names, "turn"])
-
-    return items.mapInArrow(run, StructType([*items.schema.fields, StructField("turn", ArrayType(DoubleType()))]))
-
-
 def _by_codes(items: DataFrame, m: DataFrame, column: str = "img") -> DataFrame:
     """Top ten after an exact second look at the best SHORT of the table by product codes."""
     coded = items.crossJoin(m).select("id", retrieve.pq_encode(F.col(column), F.col("books"), SUB).alias("codes"))
@@ -95,7 +81,7 @@ def opq_trained(spark, sf):
     """Product codes after a trained rotation."""
     items = gallery(spark, sf).select("id", "img", "tags")
     rotation, books = index.opq_train(sample(items), BOOKS, WORDS)
-    return _by_codes(turned(items, rotation), model(spark, books=books), "turn")
+    return _by_codes(index.turned(items, rotation), model(spark, books=books), "turn")
 
 
 @query()

@@ -31,3 +31,24 @@ def likes(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = table(spark, sf_dir, "embeddings").agg(F.count("*").alias("n"))
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
     return e.crossJoin(F.broadcast(n)).select("user_id", (F.col("event_id") % F.col("n")).alias("id")).distinct()
+
+
+def clustered(spark: SparkSession, n: int, *, dim: int = 64, blobs: int = 64, noise: float = 0.2, seed: int = 0) -> DataFrame:
+    """(id, blob, img): n unit vectors around random centres, as real embeddings lie; a row depends on seed and id alone."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        centres = np.random.default_rng(seed).normal(size=(blobs, dim))
+        centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+        for b in batches:
+            rows = []
+            for i in b.column(0).to_pylist():
+                own = np.random.default_rng([seed, i])
+                blob = int(own.integers(blobs))
+                v = centres[blob] + noise * own.normal(size=dim)
+                rows.append((i, blob, (v / np.linalg.norm(v)).tolist()))
+            yield pa.RecordBatch.from_pylist([dict(zip(("id", "blob", "img"), r, strict=True)) for r in rows], schema=pa.schema([("id", pa.int64()), ("blob", pa.int32()), ("img", pa.list_(pa.float64()))]))
+
+    return spark.range(n).mapInArrow(run, "id long, blob int, img array<double>")
