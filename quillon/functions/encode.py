@@ -12,16 +12,27 @@ from pyspark.sql import functions as F
 
 class Model(NamedTuple):
     name: str
-    dim: int
+    dim: int | None
     kind: str
+    padding: str | bool = True
+    max_length: int | None = None
 
 
-#: Known encoders; an unknown name is taken as a model of the default kind.
-MODELS = {"stub-64": Model("stub-64", 64, "stub"), "stub-512": Model("stub-512", 512, "stub")}
+#: Known encoders by key, with the length of their vectors, how scores become probabilities, and padding.
+MODELS = {
+    "stub-64": Model("stub-64", 64, "stub"),
+    "stub-512": Model("stub-512", 512, "stub"),
+    "clip-b32": Model("openai/clip-vit-base-patch32", 512, "clip"),
+    "clip-l14": Model("openai/clip-vit-large-patch14", 768, "clip"),
+    "siglip2-base": Model("google/siglip2-base-patch16-224", 768, "siglip", "max_length", 64),
+    "siglip2-384": Model("google/siglip2-base-patch16-384", 768, "siglip", "max_length", 64),
+}
 
 
 def resolve(name: str) -> Model:
-    return MODELS.get(name, Model(name, 512, "clip"))
+    """A known encoder by its key or its full name; any other is taken as one of the clip kind, its length unknown."""
+    by_name = {m.name: m for m in MODELS.values()}
+    return MODELS.get(name) or by_name.get(name) or Model(name, None, "clip")
 
 
 def stub(dim: int) -> Callable[[list[str]], list[list[float]]]:

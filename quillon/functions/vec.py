@@ -56,10 +56,19 @@ def mode_score(img: Column | str, txt: Column | str, q: Column | str, mode: str)
     return scores[mode]
 
 
-def combine(terms: list[tuple[float, Column]]) -> Column:
-    """Unit vector of a weighted sum; null if the sum is shorter than 1e-9."""
+def combine(terms: list[tuple[float, Column]], *, strict: bool = False) -> Column:
+    """Unit vector of a weighted sum; where the sum is shorter than 1e-9, null, or with ``strict`` an error."""
     total = reduce(add, [scaled(v, k) for k, v in terms])
-    return F.when(norm(total) >= 1e-9, unit(total))
+    made = F.when(norm(total) >= 1e-9, unit(total))
+    return made.when(norm(total) < 1e-9, F.raise_error(F.lit("the terms cancel out"))) if strict else made
+
+
+def terms(expression: str) -> list[tuple[float, str]]:
+    """(sign, name) of "a + b - c"; anything but + or - between names raises."""
+    parts = expression.split()
+    if len(parts) % 2 == 0 or not set(parts[1::2]) <= {"+", "-"}:
+        raise ValueError(f"not names with + or - between them: {expression!r}")
+    return [(-1.0 if sign == "-" else 1.0, name) for sign, name in zip(["+", *parts[1::2]], parts[::2], strict=True)]
 
 
 def bits(v: Column | str, words: int = 2, width: int = 32) -> Column:

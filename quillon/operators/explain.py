@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -80,3 +83,27 @@ def explain(draft: Column, ev: Column) -> Column:
     return F.coalesce(F.nullif(kept_text(verify(draft, ev)), F.lit("")), describe(ev))
 
 
+def drafted(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str | None]]], *, query: str = "query", ev: str = "ev") -> DataFrame:
+    """Adds ``said`` and ``source``: a model's drafts about the evidence, through the gate.
+
+    ``make`` gives a worker its model, which answers texts that state the facts; a batch at which it fails, and
+    null answers, fall back to the description.  ``source`` is model, gate (nothing of the draft stood) or none.
+    """
+
+    @F.pandas_udf("string")
+    def ask(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = None
+        for b in batches:
+            try:
+                model = model or make()
+                yield pd.Series(model(b.tolist()), dtype=object)
+            except Exception:  # whatever a model does, the description stands in
+                yield pd.Series([None] * len(b), dtype=object)
+
+    e = F.col(ev)
+    shared = F.coalesce(F.nullif(F.array_join(e["shared"], ", "), F.lit("")), F.lit("none"))
+    facts = F.concat(F.lit('query: "'), F.coalesce(query, F.lit("")), F.lit('"\nshared tags: '), shared, F.lit("\ntop similarity: "), F.format_string("%.2f", e["top"]), F.lit(" ("), e["strength"], F.lit(")\nresult count: "), F.size(e["scores"]).cast("string"))
+    out = rows.withColumn("_draft", ask(facts))
+    stood = F.nullif(kept_text(verify(F.col("_draft"), e)), F.lit(""))
+    source = F.when(F.col("_draft").isNull(), "none").when(stood.isNull(), "gate").otherwise("model")
+    return out.withColumn("said", F.coalesce(stood, describe(e))).withColumn("source", source).drop("_draft")

@@ -47,6 +47,33 @@ def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode:
     return hits.select("qid", "id", "score", "rank")
 
 
+def arithmetic(items: DataFrame, expression: str, k: int) -> DataFrame:
+    """(id, path, score, rank): the items nearest to "a + b - c", names being parts of paths; the first by id is meant.
+
+    An unknown name raises, and so do terms that cancel out.  The terms' own items take part.
+    """
+    parts = vec.terms(expression)
+    named = items.select("id", "img", F.explode(F.filter(F.array(*[F.lit(n) for n in dict.fromkeys(n for _, n in parts)]), lambda n: F.contains(F.col("path"), n))).alias("name"))
+    found = named.groupBy("name").agg(F.min_by("img", "id").alias("v"))
+    lookup = found.agg(F.map_from_entries(F.collect_list(F.struct("name", "v"))).alias("m"))
+    one = lambda n: F.coalesce(F.try_element_at("m", F.lit(n)), F.raise_error(F.lit(f"no item's path holds {n}")))
+    q = lookup.select(F.lit(0).alias("qid"), vec.combine([(sign, one(n)) for sign, n in parts], strict=True).alias("qv"))
+    hits = retrieve.top_k(retrieve.score_all(q, items), k)
+    return hits.select("id", "path", "score", "rank")
+
+
+def in_phases(queries: DataFrame, phases: dict[str, DataFrame], k: int) -> DataFrame:
+    """(phase, qid, id, score, rank): each phase's items (id, img, txt) ranked on a scale of their own.
+
+    Scores of live results and of a stored collection aren't comparable, so they never share a ranking.
+    """
+    out = None
+    for name, items in phases.items():
+        hits = retrieve.top_k(retrieve.score_all(queries, items), k).select(F.lit(name).alias("phase"), "qid", "id", "score", "rank")
+        out = hits if out is None else out.unionByName(hits)
+    return out
+
+
 def recall(hits: DataFrame, true: DataFrame, queries: DataFrame, ks: tuple[int, ...]) -> DataFrame:
     """(method, k, recall): the share of each query's k true hits (qid, id, place) among its first k by a method (method, qid, id, rank)."""
     level = F.explode(F.array(*[F.lit(k) for k in ks]))

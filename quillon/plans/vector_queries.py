@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import retrieve
+from ..operators import retrieve, search
 from ..sources.gallery import gallery, queries
 from .registry import GALLERY, PAIRS, query
 
@@ -86,6 +86,23 @@ def vector_arithmetic(spark, sf):
     return scored.orderBy(F.desc("score"), "id").limit(8).select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"), F.round("score", 6).alias("score"))
 
 
+@query(f"""WITH {GALLERY}, s AS (SELECT list_transform(range(1, 65), lambda i: a.img[i] + b.img[i] - c.img[i]) AS v FROM gallery a, gallery b, gallery c WHERE a.path = 'img_00004' AND b.path = 'img_00001' AND c.path = 'img_00007'),
+u AS (SELECT list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM s), r AS (SELECT id, path, list_dot_product(img, v) AS score, row_number() OVER (ORDER BY list_dot_product(img, v) DESC, id) AS rank FROM gallery, u)
+SELECT id, path, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 5""")
+def arithmetic_words(spark, sf):
+    """The five items nearest to an expression of names; a name means the first item whose path holds it."""
+    return search.arithmetic(gallery(spark, sf), "00004 + 0001 - 00007", 5).select("id", "path", "rank", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {GALLERY}, r AS (SELECT CASE WHEN g.id % 3 = 0 THEN 'web' ELSE 'collection' END AS phase, q.id AS qid, g.id, list_dot_product(g.img, q.img) AS score FROM gallery q, gallery g WHERE q.id % 20 = 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY phase, qid ORDER BY score DESC, id) AS rank FROM r) SELECT phase, qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM n WHERE rank <= 4""")
+def search_phases(spark, sf):
+    """Live results (here every third item) beside the collection's, each ranked on its own."""
+    items = gallery(spark, sf)
+    hits = search.in_phases(queries(items), {"collection": items.where("id % 3 <> 0"), "web": items.where("id % 3 = 0")}, 4)
+    return hits.select("phase", "qid", "id", "rank", F.round("score", 6).alias("score"))
+
+
 @query(f"""WITH {GALLERY}, c AS (SELECT label, p, avg(img[p]) AS x FROM gallery, (SELECT unnest(range(1, 65)) AS p) GROUP BY label, p),
 v AS (SELECT label, list(x ORDER BY p) AS v FROM c GROUP BY label)
 SELECT label, round(sqrt(list_dot_product(v, v)), 6) AS length, round(v[1] / sqrt(list_dot_product(v, v)), 6) AS first, round(v[64] / sqrt(list_dot_product(v, v)), 6) AS last FROM v""")

@@ -49,6 +49,15 @@ def one_model(tower: DataFrame) -> DataFrame:
     return tower.crossJoin(F.broadcast(kinds)).where(ok).drop("kinds")
 
 
+def tower_matrix(tower: DataFrame):
+    """(paths, matrix) of a tower that a server holds in memory, in the order of paths; nothing and 0 x 0 if it is empty."""
+    import numpy as np
+
+    rows = tower.select("path", "item_emb").orderBy("path").toArrow()
+    paths = rows.column("path").to_pylist()
+    return paths, np.array(rows.column("item_emb").to_pylist(), np.float32) if paths else np.empty((0, 0), np.float32)
+
+
 def _or_json(df: DataFrame, name: str, schema: str) -> Column:
     """A column that holds either a value or its JSON."""
     return F.from_json(name, schema) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name).cast(schema)
@@ -159,8 +168,9 @@ def read_gallery_json(rows: DataFrame) -> DataFrame:
 
 
 def read_gallery_file(spark: SparkSession, path: str) -> DataFrame:
-    """A gallery document {items: [...]} as rows."""
-    return spark.read.option("multiLine", True).json(path).select(F.explode("items").alias("x")).select("x.*")
+    """A gallery document {items: [...]} as rows, the fused vector derived."""
+    rows = spark.read.option("multiLine", True).json(path).select(F.explode("items").alias("x")).select("x.*")
+    return rows.withColumn("fused", vec.fuse("image_emb", "text_emb"))
 
 
 def discovered(pages: DataFrame, term: str) -> DataFrame:
