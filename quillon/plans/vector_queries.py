@@ -150,19 +150,30 @@ def project_map(spark, sf):
     return d.crossJoin(F.broadcast(ends)).select("id", at("x"), at("y"))
 
 
-@query()
-def pca_map(spark, sf):
-    """Two principal axes, each scaled to 0..1 with its largest loading positive."""
+def pca_2d(items: DataFrame, column: str = "img") -> DataFrame:
+    """(id, x, y): two principal axes, each scaled to 0..1 with its largest loading positive.
+
+    An axis along which nothing varies is 0 throughout, as for a single item; null vectors drop out.
+    """
     from pyspark.ml.feature import PCA
     from pyspark.ml.functions import array_to_vector, vector_to_array
 
-    items = gallery(spark, sf).withColumn("features", array_to_vector("img"))
+    items = items.where(F.col(column).isNotNull()).select("id", array_to_vector(column).alias("features"))
+    if items.limit(2).count() < 2:
+        return items.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
     model = PCA(k=2, inputCol="features", outputCol="p").fit(items)
     loads = model.pc.toArray()
     signs = [1.0 if abs(loads[:, j].max()) >= abs(loads[:, j].min()) else -1.0 for j in range(2)]
     p = model.transform(items).select("id", vector_to_array("p").alias("p")).select("id", (F.get("p", F.lit(0)) * signs[0]).alias("x"), (F.get("p", F.lit(1)) * signs[1]).alias("y"))
     ends = p.agg(*[f(c).alias(f"{c}{n}") for c in "xy" for n, f in ((0, F.min), (1, F.max))])
-    return p.crossJoin(F.broadcast(ends)).select("id", *[F.round((F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0")), 4).alias(c) for c in "xy"])
+    at = lambda c: F.when(F.col(f"{c}1") - F.col(f"{c}0") > 1e-12, (F.col(c) - F.col(f"{c}0")) / (F.col(f"{c}1") - F.col(f"{c}0"))).otherwise(0.0)
+    return p.crossJoin(F.broadcast(ends)).select("id", *[F.round(at(c), 4).alias(c) for c in "xy"])
+
+
+@query()
+def pca_map(spark, sf):
+    """Two principal axes, each scaled to 0..1 with its largest loading positive."""
+    return pca_2d(gallery(spark, sf))
 
 
 @query(f"""WITH {PAIRS}, w AS (SELECT qid, id, cos_image AS s, max(cos_image) OVER (PARTITION BY qid) AS m, row_number() OVER (PARTITION BY qid ORDER BY cos_image DESC, id) AS r FROM pairs),
@@ -171,10 +182,13 @@ SELECT qid, CASE WHEN r <= 5 THEN CAST(id AS VARCHAR) ELSE 'others' END AS item,
 def softmax_shares(spark, sf):
     """Softmax over all items of a query, shown as the top five and one bucket for the others."""
     items = gallery(spark, sf)
-    whole = Window.partitionBy("qid")
-    s = retrieve.score_all(queries(items), items).withColumn("e", F.exp(20 * (F.col("score") - F.max("score").over(whole))))
-    p = s.select("qid", "id", (F.col("e") / F.sum("e").over(whole)).alias("p"), F.row_number().over(whole.orderBy(F.desc("score"), "id")).alias("r"))
-    return p.groupBy("qid", F.when(F.col("r") <= 5, F.col("id").cast("string")).otherwise("others").alias("item")).agg(F.round(F.sum("p"), 6).alias("p"), F.count("*").alias("n"))
+    # unit vectors' products are at most 1, so no weight overflows and the largest needn't be known first
+    s = retrieve.score_all(queries(items), items).select("qid", "id", "score", F.exp(20 * (F.col("score") - 1)).alias("e"))
+    whole = s.groupBy("qid").agg(F.sum("e").alias("total"), F.count("*").alias("n"))
+    top = retrieve.top_k(s, 5).join(whole, "qid")
+    named = top.select("qid", F.col("id").cast("string").alias("item"), (F.col("e") / F.col("total")).alias("p"), F.lit(1).cast("long").alias("n"))
+    left = top.groupBy("qid").agg(((F.max("total") - F.sum("e")) / F.max("total")).alias("p"), (F.max("n") - F.count("*")).alias("n")).where("n > 0")
+    return named.unionByName(left.withColumn("item", F.lit("others"))).select("qid", "item", F.round("p", 6).alias("p"), "n")
 
 
 @query(f"""WITH {PAIRS}, n AS (SELECT img AS neutral FROM gallery WHERE id = 25), t AS (SELECT pairs.*, list_dot_product(qv, neutral) AS c0 FROM pairs, n)

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from quillon.functions import encode, vec
 from quillon.operators import explain, search
+from quillon.plans.vector_queries import pca_2d
 from quillon.sources import files, store
+from quillon.sources.gallery import clustered
 
 
 def test_terms():
@@ -91,3 +93,18 @@ def test_encoders():
     assert encode.resolve("clip-b32") == encode.resolve("openai/clip-vit-base-patch32") and encode.resolve("clip-b32").dim == 512
     assert encode.resolve("siglip2-base")[2:] == ("siglip", "max_length", 64)
     assert encode.resolve("else/where") == encode.Model("else/where", None, "clip")
+
+
+def test_principal_axes(spark):
+    items = clustered(spark, 300, dim=8, blobs=3, noise=0.3, seed=5)
+    rows = sorted((r["id"], r["img"]) for r in items.collect())
+    x = np.array([r[1] for r in rows])
+    axes = np.linalg.svd(x - x.mean(axis=0))[2][:2]
+    axes *= np.where(np.abs(axes.max(axis=1)) >= np.abs(axes.min(axis=1)), 1, -1)[:, None]
+    p = x @ axes.T
+    p = (p - p.min(axis=0)) / (p.max(axis=0) - p.min(axis=0))
+    got = np.array([(r["x"], r["y"]) for r in pca_2d(items).orderBy("id").collect()])
+    assert np.abs(got - p).max() <= 1e-4
+    assert [tuple(r) for r in pca_2d(items.limit(1)).collect()] == [(0, 0.0, 0.0)] and pca_2d(items.limit(0)).count() == 0
+    same = spark.createDataFrame([(i, [1.0, 0.0, 0.0]) for i in range(3)], "id long, img array<double>")
+    assert {(r["x"], r["y"]) for r in pca_2d(same).collect()} == {(0.0, 0.0)}
