@@ -8,12 +8,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..session import saved
+from ..session import new_path, saved
 from ..sources import store
 
 #: Endings of picture addresses.
 PICTURES = ("jpg", "jpeg", "png", "webp")
 
+#: What a crawl keeps of each level.
+KEPT = {"seen": "url string", "visited": "number long, url string", "found": "number long, url string, name string, source string, hash string, page long"}
+
 
 @dataclass
 class Crawl:
@@ -59,19 +62,23 @@ def crawl(seeds: DataFrame, pages: DataFrame, pictures: DataFrame, *, robots: Da
     brings the last picture asked for.  None lifts a cap.  Null and empty addresses name nothing; of rows that share
     an address one is taken.
 
-    A level is a bounded number of joins, whatever its size; its state is written to shared storage.
+    A level is a bounded number of joins, whatever its size; what it adds is written to shared storage once.
     """
-    spark = seeds.sparkSession
-    seeds = saved(store.numbered(store.first_of(seeds.where("url <> ''"), ["url"], [F.col("pos")]), ["pos"], name="turn").select("turn", "url"))
-    domains = seeds.select(host(F.col("url")).alias("_host")).distinct()
-    seen, front, level = saved(seeds.select("url")), seeds, 0
-    hashes = (known or spark.createDataFrame([], "hash string")).select("hash").distinct()
-    visited = spark.createDataFrame([], "number long, url string, level int")
-    found = spark.createDataFrame([], "number long, url string, name string, source string, hash string")
+    spark, folder = seeds.sparkSession, new_path(seeds.sparkSession, "crawl")
+    front = store.numbered(store.first_of(seeds.where("url <> ''"), ["url"], [F.col("pos")]), ["pos"], name="turn").select("turn", "url")
+    domains = front.select(host(F.col("url")).alias("_host")).distinct()
+    known = (spark.createDataFrame([], "hash string") if known is None else known).select("hash").distinct()
     fetched = pages.where("html is not null").select("url", "html")
     files = pictures.where(store.keepable(F.col("size"), F.col("width"), F.col("height"))).select("url", "hash")
-    n_pages = n_found = 0
-    while depth is None or level <= depth:
+
+    def keep(rows: DataFrame, what: str, level: int) -> DataFrame:
+        """Levels are added to what is there; none is written again."""
+        rows.write.parquet(f"{folder}/{what}/level={level}")
+        return spark.read.schema(f"{KEPT[what]}, level int").parquet(f"{folder}/{what}")
+
+    seen = keep(front.select("url"), "seen", -1)
+    hashes, n_pages, n_found, level = known, 0, 0, 0
+    while True:
         left = None if max_pages is None else max_pages - n_pages
         # only the level's own pages are compared with their copies, not the table's
         here = store.first_of(polite(front, robots).join(fetched, "url"), ["url"], [F.xxhash64("html"), F.col("html")])
@@ -89,17 +96,18 @@ def crawl(seeds: DataFrame, pages: DataFrame, pictures: DataFrame, *, robots: Da
         new = polite(fresh.where("kind = 0"), robots).join(files, "url")
         new = store.first_of(new, ["url"], [F.col("hash")]).join(hashes, "hash", "left_anti")
         new = store.first_of(new, ["hash"], [F.col(c) for c in order])
-        new = saved(store.numbered(new, order, None if max_pictures is None else max_pictures - n_found, name="n"))
-        added = new.count()
-        full = max_pictures is not None and n_found + added >= max_pictures
+        new = store.numbered(new, order, None if max_pictures is None else max_pictures - n_found, name="n")
+        found = keep(new.select((F.col("n") + n_found).alias("number"), "url", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), "source", "hash", F.col("number").alias("page")), "found", level)
+        own = found.where(F.col("level") == level).agg(F.count("*").alias("n"), F.max("page").alias("last")).first()
+        full = max_pictures is not None and n_found + own["n"] >= max_pictures
         if full:
-            here = here.join(F.broadcast(new.agg(F.max("number").alias("_last"))), F.col("number") <= F.col("_last")).drop("_last")
-        visited = saved(visited.unionByName(here.select("number", "url", F.lit(level).alias("level"))))
-        found = saved(found.unionByName(new.select((F.col("n") + n_found).alias("number"), "url", F.regexp_extract("url", "([^/]*)$", 1).alias("name"), "source", "hash")))
-        n_pages, n_found, level = visited.count(), n_found + added, level + 1
-        seen = saved(seen.unionByName(fresh.select("url")))
-        hashes = hashes.unionByName(new.select("hash"))
-        front = saved(store.numbered(fresh.where("kind = 1"), order, name="turn").select("turn", "url"))
-        if full or n_pages == max_pages or not front.limit(1).count():
+            here = here.where(F.col("number") <= own["last"]) if own["n"] else here.limit(0)
+        visited = keep(here.select("number", "url"), "visited", level)
+        n_pages, n_found, level = visited.count(), n_found + own["n"], level + 1
+        if full or n_pages == max_pages or (depth is not None and level > depth):
+            break
+        front = store.numbered(fresh.where("kind = 1").select("url", *order), order, name="turn").select("turn", "url")
+        if front.isEmpty():
             break
-    return Crawl(visited, found)
+        seen, hashes = keep(fresh.select("url"), "seen", level - 1), known.unionByName(found.select("hash"))
+    return Crawl(visited.select("number", "url", "level"), found.select("number", "url", "name", "source", "hash"))
