@@ -189,23 +189,15 @@ l4 AS (SELECT * FROM (SELECT qid, id, list_dot_product(img, qv) AS score, row_nu
 """
 
 
-def _cascade(spark, sf):
+def _run_cascade(spark, sf):
     items = gallery(spark, sf)
     scale = items.agg((F.max(F.array_max(F.transform("img", lambda x: F.abs(x)))) / 127).alias("scale"))
-    model = F.broadcast(books(items).crossJoin(scale))
-    filed = retrieve.assign_cells(items.crossJoin(model), F.col("cents"))
-    asked = queries(items).select("qid", "qv").crossJoin(model)
-    # the model's columns stand on both sides; the queries' copy is dropped once its tables are made
-    asked = asked.withColumnsRenamed({"cents": "q_cents", "books": "q_books", "scale": "q_scale"})
-    return filed, asked
-
-
-def _run_cascade(spark, sf):
-    filed, asked = _cascade(spark, sf)
-    near = retrieve.probe_cells(asked, F.col("q_cents"), PROBES)
-    near = near.withColumn("qsign", vec.bits("qv")).withColumn("tables", retrieve.adc_tables(F.col("qv"), F.col("q_books"), SUB)).withColumn("q8", retrieve.int8_codes(F.col("qv"), F.array_repeat("q_scale", 64))).drop("q_cents", "q_books", "q_scale")
-    coded = filed.withColumn("sign", vec.bits("img")).withColumn("codes", retrieve.pq_encode(F.col("img"), F.col("books"), SUB)).withColumn("i8", retrieve.int8_codes(F.col("img"), F.array_repeat("scale", 64))).drop("cents", "books", "scale")
-    return retrieve.funnel(coded.join(F.broadcast(near), "cell"), k=5, keep=tuple(shares(gallery(spark, sf), *KEEP, least=5)))
+    model = F.broadcast(saved(books(items).crossJoin(scale)))
+    coded = retrieve.assign_cells(blocks.in_order(items.select("id", "img"), "id", "img").crossJoin(model), F.col("cents"))
+    i8 = lambda c: retrieve.int8_codes(F.col(c), F.array_repeat("scale", 64))
+    coded = coded.select("id", "img", "cell", vec.bits("img").alias("sign"), retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"), i8("img").alias("i8"))
+    asked = queries(items).crossJoin(model).select("qid", "qv", retrieve.near_cells(F.col("cents"), PROBES).alias("cells"), vec.bits("qv").alias("qsign"), retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"), i8("qv").alias("q8"))
+    return retrieve.funnel(asked, coded, k=5, keep=tuple(shares(items, *KEEP, least=5)))
 
 
 @query(CASCADE_SQL + "SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM l4")
