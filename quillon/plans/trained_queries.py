@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vec
-from ..operators import index, retrieve
+from ..operators import blocks, index, retrieve
 from ..session import saved
 from ..sources.gallery import queries, gallery
 from .registry import query
@@ -92,12 +92,7 @@ def cascade_trained(spark, sf):
     scale = items.agg((F.max(F.array_max(F.transform("img", lambda x: F.abs(x)))) / 127).alias("scale"))
     m = F.broadcast(model(spark, cents=index.kmeans(some, CELLS), books=index.pq_train(some, BOOKS, WORDS)).crossJoin(scale))
     i8 = lambda c: retrieve.int8_codes(F.col(c), F.array_repeat("scale", 64))
-    coded = retrieve.assign_cells(items.drop("tags").crossJoin(m), F.col("cents"))
+    coded = retrieve.assign_cells(blocks.in_order(items.drop("tags"), "id", "img").crossJoin(m), F.col("cents"))
     coded = coded.select("id", "img", "cell", vec.bits("img").alias("sign"), retrieve.pq_encode(F.col("img"), F.col("books"), SUB).alias("codes"), i8("img").alias("i8"))
-    asked, keep, out = queries(items), share(items, *KEEP, k=5), None
-    for part in retrieve.parts(asked, times=CASCADE_PROBES * (2 + BOOKS * WORDS // 64)):
-        near = retrieve.probe_cells(part.crossJoin(m), F.col("cents"), CASCADE_PROBES)
-        near = near.select("qid", "qv", "cell", vec.bits("qv").alias("qsign"), retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"), i8("qv").alias("q8"))
-        best = retrieve.funnel(coded.join(F.broadcast(near), "cell"), k=5, keep=tuple(keep))[0].select("qid", "id", "score")
-        out = best if out is None else out.unionByName(best)
-    return show(retrieve.top_k(out, 5))
+    asked = queries(items).crossJoin(m).select("qid", "qv", retrieve.near_cells(F.col("cents"), CASCADE_PROBES).alias("cells"), vec.bits("qv").alias("qsign"), retrieve.adc_tables(F.col("qv"), F.col("books"), SUB).alias("tables"), i8("qv").alias("q8"))
+    return show(retrieve.funnel(asked, coded, k=5, keep=tuple(share(items, *KEEP, k=5)))[0])

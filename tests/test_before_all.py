@@ -68,7 +68,7 @@ def test_funnel(spark, x, small):
         assert got[q["qid"]] == ids and [alive[q["qid"], n] for n in range(5)] == levels
 
 
-@pytest.mark.parametrize("name", ["cascade_survivors", "cascade_search"])
+@pytest.mark.parametrize("name", ["cascade_survivors", "cascade_search", "cascade_trained"])
 def test_no_pair_is_a_row(spark, data, name):
     """Rows that reach a shuffle or a window are hits and counts, not queries by items."""
     plan = catalogue.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
