@@ -51,7 +51,8 @@ def test_funnel(spark, x, small):
     """Every level ranks over all items, and the counts are of the rows alive."""
     d, a = coded(spark, x), asked(spark, x)
     items = d.collect()
-    hits, counts = retrieve.funnel(a, blocks.in_order(d, "id", "img"), k=4, keep=(50, 20, 9))
+    model = F.broadcast(spark.range(1).select(F.col("id").alias("one")))
+    hits, counts = retrieve.funnel(a, blocks.in_order(d, "id", "img").crossJoin(model), k=4, keep=(50, 20, 9))
     assert len(blocks._write(blocks.in_order(d, "id", "img"), "id", "img")) > 5
     got, alive = {}, {(r["qid"], r["level"]): r["alive"] for r in counts.collect()}
     for r in hits.orderBy("qid", "rank").collect():
