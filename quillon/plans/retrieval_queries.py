@@ -142,8 +142,8 @@ def int8_search(spark, sf):
     scales = peak.agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.when(F.col("m") == 0, 1.0).otherwise(F.col("m") / 127).alias("s")))), lambda s: s["s"]).alias("scales"))
     coded = items.crossJoin(F.broadcast(scales)).select("id", "img", retrieve.int8_codes(F.col("img"), F.col("scales")).alias("i8"))
     asked = queries(items).crossJoin(F.broadcast(scales)).select("qid", "qv", F.zip_with("scales", "qv", lambda s, x: s * x).alias("sq"))
-    s = retrieve.meet(coded, asked).select("qid", "id", vec.dot("i8", "sq").alias("score"), vec.dot("img", "qv").alias("cos"))
-    by_codes, exact = retrieve.top_k(s, 10), retrieve.top_k(s, 10, by="cos").select("qid", "id", F.lit(1).alias("right"))
+    by_codes = retrieve.exact_blocks(asked.select("qid", F.col("sq").alias("qv")), coded, 10, column="i8")
+    exact = retrieve.exact_blocks(asked, coded, 10).select("qid", "id", F.lit(1).alias("right"))
     return by_codes.join(exact, ["qid", "id"], "left").groupBy("qid").agg((F.count("right") / 10).alias("recall"), F.round(F.max("score"), 6).alias("best"))
 
 

@@ -11,7 +11,7 @@ from quillon.sources import store
 
 
 #: Queries that made a row of every pair.
-PAIRS = ("exact_topk", "evidence")
+PAIRS = ("exact_topk", "evidence", "int8_search")
 
 
 @pytest.mark.parametrize("name", PAIRS)
