@@ -23,8 +23,10 @@ def norm(v: Column | str) -> Column:
 
 def unit(v: Column | str) -> Column:
     """Scaled to length 1; a zero vector stays zero."""
-    n = F.coalesce(F.nullif(norm(v), F.lit(0.0)), F.lit(1.0))
-    return F.transform(_c(v), lambda x: x / n)
+    length = lambda u: F.coalesce(F.nullif(norm(u), F.lit(0.0)), F.lit(1.0))
+    # the vector and its length are bound first, else each element would compute them again
+    by = lambda u: F.get(F.transform(F.array(length(u)), lambda n: F.transform(u, lambda x: x / n)), F.lit(0))
+    return F.get(F.transform(F.array(_c(v)), by), F.lit(0))
 
 
 def scaled(v: Column | str, by: Column | float) -> Column:

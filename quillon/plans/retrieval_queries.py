@@ -373,8 +373,9 @@ def phrased(drafts, items, k=5, least=MIN_MARGIN):
     ``drafts`` holds (qid, phrasing, qv), unit vectors.  A phrasing's margin is its best hit's score over the
     mean of the other k - 1; where none reaches ``least``, the unit mean of all phrasings asks (``chose`` -1).
     """
-    w = Window.partitionBy("qid", "phrasing").orderBy(F.desc("score"), "id")
-    s = retrieve.score_all(drafts, items, "fused").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    numbered = saved(drafts.withColumn("n", F.monotonically_increasing_id()))
+    s = retrieve.exact_blocks(numbered.select(F.col("n").alias("qid"), "qv"), items, k, column=retrieve.MODES["fused"])
+    s = s.withColumnRenamed("qid", "n").join(numbered.select("n", "qid", "phrasing"), "n")
     m = s.groupBy("qid", "phrasing").agg(F.round(F.max(F.when(F.col("rank") == 1, F.col("score"))) - F.avg(F.when(F.col("rank") > 1, F.col("score"))), 9).alias("margin"))
     best = m.groupBy("qid").agg(F.max_by(F.struct("phrasing", "margin"), F.struct("margin", -F.col("phrasing"))).alias("b"))
     best = best.select("qid", F.when(F.col("b.margin") >= least, F.col("b.phrasing")).otherwise(-1).alias("chose"), F.col("b.margin").alias("margin"))
@@ -382,7 +383,9 @@ def phrased(drafts, items, k=5, least=MIN_MARGIN):
     mean = mean.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda x: x["x"]).alias("mv"))
     own = drafts.select("qid", F.col("phrasing").alias("chose"), "qv")
     asked = best.join(mean, "qid").join(own, ["qid", "chose"], "left").select("qid", "chose", "margin", F.coalesce("qv", vec.unit("mv")).alias("qv"))
-    return retrieve.top_k(retrieve.score_all(asked, items, "fused").withColumn("by", F.round("score", 9)), k, by="by").select("qid", "chose", "margin", "rank", "id", "score")
+    asked = saved(asked)
+    hits = retrieve.exact_blocks(asked, items, k, column=retrieve.MODES["fused"], digits=9)
+    return hits.join(asked.drop("qv"), "qid").select("qid", "chose", "margin", "rank", "id", "score")
 
 
 @query(PHRASE_SQL)
