@@ -98,15 +98,11 @@ def pq_search(spark, sf):
 
 def _by_codes(items: DataFrame, column: str) -> DataFrame:
     turned = items.withColumn("_v", F.col(column))
-    model = F.broadcast(books(turned.withColumn("img", F.col("_v"))))
-    coded = turned.crossJoin(model).select("id", "img", retrieve.pq_encode(F.col("_v"), F.col("books"), SUB).alias("codes"))
+    model = F.broadcast(saved(books(turned.withColumn("img", F.col("_v")))))
+    coded = blocks.in_order(turned.select("id", "img", "_v"), "id", "img").crossJoin(model).select("id", "img", retrieve.pq_encode(F.col("_v"), F.col("books"), SUB).alias("codes"))
     asked = turned.where("id % 20 = 0").crossJoin(model).select(F.col("id").alias("qid"), F.col("img").alias("qv"), retrieve.adc_tables(F.col("_v"), F.col("books"), SUB).alias("tables"))
     (left,) = shares(items, SHORT, least=10)
-    rows = retrieve.meet(coded, asked).select("qid", "id", F.round(retrieve.adc_score(F.col("codes"), F.col("tables")), 9).alias("score"), vec.dot("img", "qv").alias("exact"))
-    short = saved(retrieve.top_k(rows, left))
-    exact = retrieve.top_k(short.select("qid", "id", F.col("exact").alias("score")), 10)
-    show = lambda d, s: d.select(F.lit(s).alias("stage"), "qid", "id", "rank", F.round("score", 6).alias("score"))
-    return show(short.where("rank <= 10"), "codes").unionByName(show(exact, "exact"))
+    return retrieve.second_look(asked, coded, left=left, k=10).select("stage", "qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 @query(f"""WITH {MODEL_SQL} SELECT id, round(sqrt(sum(d)), 6) AS error FROM (SELECT d.id, d.d FROM dist d JOIN codes USING (id, j, c)) GROUP BY id""")
