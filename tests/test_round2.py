@@ -11,7 +11,7 @@ from quillon.sources import store
 
 
 #: Queries that made a row of every pair.
-PAIRS = ("exact_topk", "evidence", "int8_search", "phrasing_search", "opq_search", "pq_search")
+PAIRS = ("exact_topk", "evidence", "int8_search", "phrasing_search", "opq_search", "pq_search", "recall_bench")
 
 
 @pytest.mark.parametrize("name", PAIRS)
