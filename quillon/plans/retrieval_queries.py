@@ -310,19 +310,17 @@ f AS (SELECT *, 1.0::DOUBLE / row_number() OVER (PARTITION BY qid ORDER BY cos_i
 """
 
 
-def _candidates(spark, sf):
-    items = gallery(spark, sf)
-    asked = items.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
-    return rank.candidates(retrieve.meet(items, asked).where("qid <> id"))
+def _asked(items: DataFrame) -> DataFrame:
+    return items.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("img").alias("qv"), F.col("txt").alias("qt"), F.col("tags").alias("qtags"))
 
 
 @query(CAND_SQL + """, s AS (SELECT *, 0.5 * (cos_image + cos_image * 6 * tag_overlap) + 0.5 * cos_text AS dcn FROM f), r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(dcn, 9) DESC, id) AS rank FROM s)
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(dcn, 6) AS dcn_score FROM r WHERE rank <= 10""")
 def cross_rerank(spark, sf):
     """Feature-cross re-ranking with one hand-set cross: image cosine by tag overlap."""
-    c = _candidates(spark, sf)
-    s = c.withColumn("dcn_score", rank.dcn_score(rank.features(), rank.hand_set(4, 2, 0, 0, 2, 6.0))).withColumn("by", F.round("dcn_score", 9))
-    return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("dcn_score", 6).alias("dcn_score"))
+    items = gallery(spark, sf)
+    hits = rank.reranked(_asked(items), items, rank.crossing(rank.hand_set(4, 2, 0, 0, 2, 6.0)), 10)
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("dcn_score"))
 
 
 
