@@ -331,11 +331,12 @@ s AS (SELECT qid, id, (1 - 0.3125) * b + 0.3125 * lr AS score FROM m), r AS (SEL
 SELECT qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10""")
 def learned_rerank(spark, sf):
     """Blend of base and learned scores after five likes a query (weights by Rocchio, n = 5)."""
-    c = _candidates(spark, sf).withColumn("features", rank.features()).withColumn("base_score", (F.col("cos_image") + F.col("cos_text")) / 2)
-    liked = c.where("rank_prior >= 0.2").select("qid", "features", F.lit(1).alias("label"))
-    w = rank.rocchio(liked, "qid")
-    s = rank.blend(c.join(F.broadcast(w), "qid"), F.col("w"), F.lit(5.0)).withColumn("by", F.round("score", 9))
-    return retrieve.top_k(s, 10, by="by").select("qid", "id", "rank", F.round("score", 6).alias("score"))
+    items = gallery(spark, sf)
+    asked = _asked(items)
+    liked = rank.best_candidates(asked, items, 5).select("qid", rank.features().alias("features"), F.lit(1).alias("label"))
+    w = saved(rank.rocchio(liked, "qid"))
+    hits = rank.reranked(asked.join(w, "qid"), items, rank.blending(5.0), 10, extra=("w",))
+    return hits.select("qid", "id", "rank", F.round("score", 6).alias("score"))
 
 
 
