@@ -343,7 +343,8 @@ def learned_rerank(spark, sf):
 @query()
 def ranknet_fit(spark, sf):
     """Weights and importances per query from ordered feedback on its best candidates."""
-    c = retrieve.top_k(_candidates(spark, sf), 12, by="cos_image").select(F.col("qid").alias("user_id"), F.col("rank").alias("seq"), rank.features().alias("features"), (F.col("id") % 2).cast("int").alias("label"))
+    items = gallery(spark, sf)
+    c = rank.best_candidates(_asked(items), items, 12).select(F.col("qid").alias("user_id"), F.col("rank").alias("seq"), rank.features().alias("features"), (F.col("id") % 2).cast("int").alias("label"))
     fit = rank.ranknet(c)
     return fit.select("user_id", "n", "n_pairs", F.transform("w", lambda x: F.round(x, 6)).alias("w"), F.transform(rank.importance(F.col("w")), lambda x: F.round(x, 3)).alias("importance"))
 
