@@ -11,7 +11,7 @@ from quillon.sources import store
 
 
 #: Queries that made a row of every pair.
-PAIRS = ("exact_topk", "evidence", "int8_search", "phrasing_search", "opq_search", "pq_search", "recall_bench", "softmax_shares", "cross_rerank", "learned_rerank", "ranknet_fit", "label_probabilities", "topk_by_mode", "describe", "guarded_feedback")
+PAIRS = ("exact_topk", "evidence", "int8_search", "phrasing_search", "opq_search", "pq_search", "recall_bench", "softmax_shares", "cross_rerank", "learned_rerank", "ranknet_fit", "label_probabilities", "topk_by_mode", "describe", "guarded_feedback", "similarity_matrix")
 
 
 @pytest.mark.parametrize("name", PAIRS)
