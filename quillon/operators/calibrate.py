@@ -166,12 +166,14 @@ def gate_at(spark: SparkSession, path: str, signal: DataFrame, *, alpha: float =
     return ruled.select(F.lit(True).alias("frozen"), "level", (F.col("level") != "drift").alias("passed"), "reasons")
 
 
-def contaminate(sample: DataFrame, fraction: float, drop: float = 0.2, *, value: str = "value", order: str = "seq") -> DataFrame:
+def contaminate(sample: DataFrame, fraction: float, drop: float = 0.2, *, value: str = "value", order: str = "seq", mark: str | None = None) -> DataFrame:
     """An evenly spaced share of rows (half-up count) lowered by ``drop``, not below 0.
 
-    Row p is hit if some i < k has floor(i n / k) = p.  ``order`` numbers the rows from 0.
+    Row p is hit if some i < k has floor(i n / k) = p.  ``order`` numbers the rows from 0; ``mark`` names a column that
+    says whether a row is hit, which its value doesn't tell where it was 0 or null before.
     """
     n = sample.agg(F.count("*").alias("n")).withColumn("k", F.floor(F.lit(float(fraction)) * F.col("n") + 0.5))
     p, k, n_ = F.col(order), F.col("k"), F.col("n")
     hit = (k > 0) & (F.floor((F.ceil(p * k / n_) * n_) / k) == p) & (F.ceil(p * k / n_) < k)
-    return sample.crossJoin(F.broadcast(n)).withColumn(value, F.when(hit, F.greatest(F.lit(0.0), F.col(value) - drop)).otherwise(F.col(value))).drop("n", "k")
+    out = sample.crossJoin(F.broadcast(n))
+    return (out if mark is None else out.withColumn(mark, hit)).withColumn(value, F.when(hit, F.greatest(F.lit(0.0), F.col(value) - drop)).otherwise(F.col(value))).drop("n", "k")
