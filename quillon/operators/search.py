@@ -23,19 +23,24 @@ def search(queries: DataFrame, items: DataFrame, *, method: str = "exact", mode:
 
     ``ivf`` expects items filed by ``cell`` and the centroids, ``int8`` the scales, ``opq`` trained books and a
     rotation (none: plain product codes), of whose best ``short`` rows the exact products decide; all rank by image.
+    ``int8`` looks exactly at every row that its codes' error may hide among the best, so its hits are the exact ones;
+    ``exact`` takes dense blocks beyond FEW_PAIRS.
     """
     k, probes = min(MOST_HITS, max(1, k)), min(MOST_PROBES, max(1, probes))
+    if method == "exact" and queries.count() * items.count() > FEW_PAIRS:
+        method = "blocks"
     if method == "exact":
         hits = retrieve.top_k(retrieve.score_all(queries, items, mode), k)
     elif method == "blocks":
-        hits = retrieve.exact_blocks(queries, items, k, column={"image": "img", "text": "txt"}[mode])
+        hits = retrieve.exact_blocks(queries, items, k, column=retrieve.MODES[mode])
     elif method == "ivf" and centroids is not None:
         hits = retrieve.ivf_search(queries, items, centroids, k, probes)
     elif method == "int8" and scales is not None:
         coded = items.withColumn("_i8", retrieve.int8_codes(F.col("img"), scales))
         asked = queries.withColumn("_sq", F.zip_with("qv", scales, lambda x, s: x * s))
-        rough = retrieve.top_k(retrieve.meet(coded, asked).withColumn("score", vec.dot("_i8", "_sq")), 4 * k)
-        hits = retrieve.top_k(rough.drop("rank").withColumn("score", vec.dot("img", "qv")), k)
+        # a value is at most half its scale from its code
+        asked = asked.withColumn("_off", F.aggregate("_sq", F.lit(0.0), lambda s, x: s + F.abs(x) / 2))
+        hits = retrieve.exact_blocks(asked, coded, k, rough=("_i8", "_sq", "_off"))
     elif method == "opq" and books is not None:
         coded = items.select("id", "codes") if "codes" in items.columns else index.coded(items.select("id", "img"), books, rotation).select("id", "codes")
         asked = index.tabled(queries.select("qid", "qv"), books, rotation)
