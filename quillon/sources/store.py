@@ -36,9 +36,12 @@ def upsert(old: DataFrame, new: DataFrame, key: str, seq: str) -> DataFrame:
     return first_of(old.unionByName(new, allowMissingColumns=True), [key], [F.desc(seq)])
 
 
-def publish(records: DataFrame, model: str) -> DataFrame:
-    """Tower rows: records stamped with their model and time, one a path, the last by ``seq``."""
-    stamped = first_of(records, ["path"], [F.desc("seq")])
+def publish(records: DataFrame, model: str, *, key: str = "path") -> DataFrame:
+    """Tower rows: records stamped with their model and time, one a key, the last by ``seq``.
+
+    ``key`` is another column where two records may share a path without being versions of one.
+    """
+    stamped = first_of(records, [key], [F.desc("seq")])
     return stamped.select("path", "caption", "labels", "item_emb", F.lit(model).alias("model"), F.date_trunc("second", F.current_timestamp()).alias("created_at"))
 
 
