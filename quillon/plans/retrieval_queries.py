@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import vec
@@ -93,14 +93,14 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 SELECT 'codes' AS stage, qid, id, CAST(rank AS INTEGER) AS rank, round(adc, 6) AS score FROM r WHERE rank <= 10 UNION ALL SELECT 'exact', qid, id, CAST(rank AS INTEGER), round(score, 6) FROM f WHERE rank <= 10""")
 def pq_search(spark, sf):
     """Search over product codes, and the same after an exact second look at SHORT of the table."""
-    return _by_codes(gallery(spark, sf), "img")
+    return _by_codes(gallery(spark, sf), F.col("img"))
 
 
-def _by_codes(items: DataFrame, column: str) -> DataFrame:
-    turned = items.withColumn("_v", F.col(column))
-    model = F.broadcast(saved(books(turned.withColumn("img", F.col("_v")))))
-    coded = blocks.in_order(turned.select("id", "img", "_v"), "id", "img").crossJoin(model).select("id", "img", retrieve.pq_encode(F.col("_v"), F.col("books"), SUB).alias("codes"))
-    asked = turned.where("id % 20 = 0").crossJoin(model).select(F.col("id").alias("qid"), F.col("img").alias("qv"), retrieve.adc_tables(F.col("_v"), F.col("books"), SUB).alias("tables"))
+def _by_codes(items: DataFrame, turn: Column) -> DataFrame:
+    """``turn``: the vector that is coded, made of img after the shuffle."""
+    model = saved(books(items.withColumn("img", turn)))
+    coded = retrieve.pq_coded(blocks.in_order(items.select("id", "img"), "id", "img").withColumn("_v", turn), model.first()["books"], column="_v")
+    asked = items.where("id % 20 = 0").crossJoin(F.broadcast(model)).select(F.col("id").alias("qid"), F.col("img").alias("qv"), retrieve.adc_tables(turn, F.col("books"), SUB).alias("tables"))
     (left,) = shares(items, SHORT, least=10)
     return retrieve.second_look(asked, coded, left=left, k=10).select("stage", "qid", "id", "rank", F.round("score", 6).alias("score"))
 
@@ -123,7 +123,7 @@ f AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS
 SELECT 'codes' AS stage, qid, id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score FROM r WHERE rank <= 10 UNION ALL SELECT 'exact', qid, id, CAST(rank AS INTEGER), round(score, 6) FROM f WHERE rank <= 10""")
 def opq_search(spark, sf):
     """Product codes after a given rotation (here a shift of the axes; ``opq_trained`` learns one), then the exact second look."""
-    return _by_codes(gallery(spark, sf).withColumn("turn", F.concat(F.slice("img", 2, 63), F.slice("img", 1, 1))), "turn")
+    return _by_codes(gallery(spark, sf), F.concat(F.slice("img", 2, 63), F.slice("img", 1, 1)))
 
 
 @query(f"""WITH {PAIRS}, sc AS (SELECT list(CASE WHEN m = 0 THEN 1 ELSE m / 127 END ORDER BY p) AS s FROM (SELECT p, max(abs(img[p])) AS m FROM gallery, (SELECT unnest(range(1, 65)) AS p) GROUP BY p)),
